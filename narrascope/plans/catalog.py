@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
 from narrascope.operators import entities as N
+from narrascope.operators import framing as FR
 from narrascope.operators import queries as Q
 from narrascope.operators import sentiment as S
 from narrascope.plans import params as P
@@ -283,3 +284,85 @@ def q_paginate(spark, sf_dir):
 def q_node_groups(spark, sf_dir):
     nodes, _ = _network(bindings(spark, sf_dir))
     return Q.node_groups(nodes)
+
+
+# ------------------------------------------------------------ 2.5 framing
+def _targets(b: Bindings) -> DataFrame:
+    return N.framing_targets(mentions(b))
+
+
+def _occ(b: Bindings) -> DataFrame:
+    return FR.occurrences(b.articles, _targets(b), b.stopwords)
+
+
+_OCC_KEY = ["article_id", "entity_word", "sent_idx", (F.col("start") - 1).alias("token_idx")]
+
+
+@register("entity_occurrences")
+def q_entity_occurrences(spark, sf_dir):
+    return _occ(bindings(spark, sf_dir)).select(*_OCC_KEY)
+
+
+@register("context_windows")
+def q_context_windows(spark, sf_dir):
+    return FR.windows(_occ(bindings(spark, sf_dir))).select(*_OCC_KEY, "window")
+
+
+@register("split_segments")
+def q_split_segments(spark, sf_dir):
+    return FR.segments(FR.windows(_occ(bindings(spark, sf_dir)))).select(*_OCC_KEY, "seg_idx", "segment")
+
+
+@register("trim_stopwords")
+def q_trim_stopwords(spark, sf_dir):
+    s = FR.trimmed(FR.segments(FR.windows(_occ(bindings(spark, sf_dir)))))
+    return s.select(*_OCC_KEY, "seg_idx", "trimmed")
+
+
+@register("phrase_rule")
+def q_phrase_rule(spark, sf_dir):
+    c = FR.candidates(FR.trimmed(FR.segments(FR.windows(_occ(bindings(spark, sf_dir))))))
+    return c.select(*_OCC_KEY, "seg_idx", "cand_idx", "phrase")
+
+
+@register("maximal_phrases")
+def q_maximal_phrases(spark, sf_dir):
+    """F8 applied to the candidate lists of each (article, entity)."""
+    c = FR.candidates(FR.trimmed(FR.segments(FR.windows(_occ(bindings(spark, sf_dir))))))
+    g = c.groupBy("article_id", "entity_word").agg(F.collect_list("phrase").alias("cands"))
+    return g.select("article_id", "entity_word", F.explode(FR.maximal_phrases(F.col("cands"))).alias("phrase"))
+
+
+def framing(b: Bindings) -> DataFrame:
+    return FR.frame_entities(b.articles, _targets(b), b.stopwords)
+
+
+@register("frame_entities")
+def q_frame_entities(spark, sf_dir):
+    return framing(bindings(spark, sf_dir))
+
+
+@register("corpus_phrases")
+def q_corpus_phrases(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return FR.corpus_phrases(b.articles, b.entity, b.stopwords)
+
+
+@register("corpus_phrase_sources")
+def q_corpus_phrase_sources(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return FR.corpus_phrase_sources(b.articles, b.entity, b.stopwords)
+
+
+@register("corpus_maximal")
+def q_corpus_maximal(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    ap = FR.article_phrases_for(b.articles, b.entity, b.stopwords)
+    agg = ap.groupBy("phrase").agg(F.count("*").alias("count"))
+    return FR.corpus_maximal(agg)
+
+
+@register("phrases")
+def q_phrases(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return Q.phrases(b.articles, framing(b), b.entity, P.RANGE_START, P.RANGE_END)

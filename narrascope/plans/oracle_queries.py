@@ -166,3 +166,104 @@ oracle("paginate", f"""
 SELECT id, "group", count FROM graph_ranked
 WHERE rn > {P.PAGE * P.PAGE_ROWS} AND rn <= {(P.PAGE + 1) * P.PAGE_ROWS}""", ["graph_ranked"])
 oracle("node_groups", 'SELECT DISTINCT "group" FROM graph_nodes ORDER BY "group"', ["graph_nodes"])
+
+# ------------------------------------------------------------ 2.5 framing
+from narrascope.plans.oracle import sql_split_words, sql_strip_non_word  # noqa: E402
+
+
+def sql_word_tokens(x: str) -> str:
+    return sql_split_words(sql_strip_non_word(f"lower({x})"))
+
+
+def framing_chain(p: str, pairs_sql: str, pair_deps: list[str]) -> None:
+    """CTEs ``{p}_occ`` .. ``{p}_max`` for (article_id, entity_word[, url]) pairs."""
+    cte(f"{p}_pairs", pairs_sql, pair_deps)
+    cte(f"{p}_sents", f"""
+SELECT article_id, CAST(unnest(generate_series(0, len(ss) - 1)) AS INTEGER) AS sent_idx, unnest(ss) AS s
+FROM (SELECT id AS article_id, {sql_split_sentences(sql_clean_sentences(sql_text()))} AS ss FROM articles) x""",
+        ["articles"])
+    cte(f"{p}_qual", f"""
+SELECT t.article_id, t.entity_word, s.sent_idx, {sql_word_tokens('s.s')} AS toks,
+       {sql_word_tokens('t.entity_word')} AS et
+FROM {p}_pairs t JOIN {p}_sents s ON s.article_id = t.article_id AND contains(s.s, lower(t.entity_word))""",
+        [f"{p}_pairs", f"{p}_sents"])
+    cte(f"{p}_occ", f"""
+SELECT article_id, entity_word, sent_idx, toks, et, i FROM (
+  SELECT *, unnest(generate_series(1, len(toks) - len(et) + 1)) AS i FROM {p}_qual
+  WHERE len(et) >= 1 AND len(toks) >= len(et)) x
+WHERE list_slice(toks, i, i + len(et) - 1) = et""", [f"{p}_qual"])
+    cte(f"{p}_win", f"""
+SELECT *, list_slice(toks, greatest(1, i - 7), least(len(toks), i + len(et) - 1 + 7)) AS win FROM {p}_occ""",
+        [f"{p}_occ"])
+    cte(f"{p}_wtok", f"""
+SELECT article_id, entity_word, sent_idx, i, et, unnest(win) AS tok, unnest(generate_series(1, len(win))) AS wpos
+FROM {p}_win""", [f"{p}_win"])
+    cte(f"{p}_wmark", f"""
+SELECT *, list_contains(et, tok) AS is_ent,
+       sum(CASE WHEN list_contains(et, tok) THEN 1 ELSE 0 END)
+         OVER (PARTITION BY article_id, entity_word, sent_idx, i ORDER BY wpos) AS cut
+FROM {p}_wtok""", [f"{p}_wtok"])
+    cte(f"{p}_seg", f"""
+SELECT article_id, entity_word, sent_idx, i,
+       CAST(dense_rank() OVER (PARTITION BY article_id, entity_word, sent_idx, i ORDER BY cut) - 1 AS INTEGER) AS seg_idx,
+       segment FROM (
+  SELECT article_id, entity_word, sent_idx, i, cut, list(tok ORDER BY wpos) AS segment
+  FROM {p}_wmark WHERE NOT is_ent GROUP BY article_id, entity_word, sent_idx, i, cut) g""", [f"{p}_wmark"])
+    cte(f"{p}_bounds", f"""
+SELECT article_id, entity_word, sent_idx, i, seg_idx, min(q) AS lo, max(q) AS hi FROM (
+  SELECT article_id, entity_word, sent_idx, i, seg_idx, unnest(segment) AS tok,
+         unnest(generate_series(1, len(segment))) AS q FROM {p}_seg) x
+WHERE tok NOT IN (SELECT word FROM stopwords)
+GROUP BY article_id, entity_word, sent_idx, i, seg_idx""", [f"{p}_seg", "stopwords"])
+    cte(f"{p}_trim", f"""
+SELECT s.article_id, s.entity_word, s.sent_idx, s.i, s.seg_idx, s.segment,
+       CASE WHEN b.lo IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_slice(s.segment, b.lo, b.hi) END AS trimmed
+FROM {p}_seg s LEFT JOIN {p}_bounds b USING (article_id, entity_word, sent_idx, i, seg_idx)""",
+        [f"{p}_seg", f"{p}_bounds"])
+    cte(f"{p}_cand", f"""
+SELECT article_id, entity_word, sent_idx, i, seg_idx,
+       CAST(unnest(generate_series(0, len(ph) - 1)) AS INTEGER) AS cand_idx, unnest(ph) AS phrase FROM (
+  SELECT *, CASE WHEN len(trimmed) BETWEEN 2 AND 8 THEN [array_to_string(trimmed, ' ')]
+                 WHEN len(trimmed) > 8 THEN [array_to_string(list_slice(trimmed, 1, 6), ' '),
+                                             array_to_string(list_slice(trimmed, len(trimmed) - 5, len(trimmed)), ' ')]
+                 ELSE CAST([] AS VARCHAR[]) END AS ph
+  FROM {p}_trim) x""", [f"{p}_trim"])
+    cte(f"{p}_dist", f"SELECT DISTINCT article_id, entity_word, phrase FROM {p}_cand", [f"{p}_cand"])
+    cte(f"{p}_max", f"""
+SELECT d.* FROM {p}_dist d
+WHERE NOT EXISTS (SELECT 1 FROM {p}_dist o WHERE o.article_id = d.article_id AND o.entity_word = d.entity_word
+                  AND o.phrase <> d.phrase AND contains(o.phrase, d.phrase))""", [f"{p}_dist"])
+
+
+framing_chain("fr", f"SELECT DISTINCT article_id, word AS entity_word FROM mentions WHERE entity_group IN {_valuable}",
+              ["mentions"])
+OCC_COLS = "article_id, entity_word, sent_idx, CAST(i - 1 AS INTEGER) AS token_idx"
+oracle("entity_occurrences", f"SELECT {OCC_COLS} FROM fr_occ", ["fr_occ"])
+oracle("context_windows", f"SELECT {OCC_COLS}, win AS window FROM fr_win", ["fr_win"])
+oracle("split_segments", f"SELECT {OCC_COLS}, seg_idx, segment FROM fr_seg", ["fr_seg"])
+oracle("trim_stopwords", f"SELECT {OCC_COLS}, seg_idx, trimmed FROM fr_trim", ["fr_trim"])
+oracle("phrase_rule", f"SELECT {OCC_COLS}, seg_idx, cand_idx, phrase FROM fr_cand", ["fr_cand"])
+oracle("maximal_phrases", "SELECT article_id, entity_word, phrase FROM fr_max", ["fr_max"])
+oracle("frame_entities", """
+SELECT article_id, entity_word, phrase AS framing_phrase, 'ngram_window' AS method_name FROM fr_max""", ["fr_max"])
+cte("framing", "SELECT article_id, entity_word, phrase AS framing_phrase FROM fr_max", ["fr_max"])
+oracle("phrases", f"""
+SELECT f.framing_phrase, count(DISTINCT a.id) AS count
+FROM framing f JOIN articles a ON a.id = f.article_id
+WHERE lower(f.entity_word) = lower({ENT}) AND a.{IN_RANGE}
+GROUP BY f.framing_phrase ORDER BY count DESC, f.framing_phrase LIMIT 50""", ["framing", "articles", "entity"])
+
+framing_chain("cp", "SELECT a.id AS article_id, e.entity AS entity_word FROM articles a, entity e",
+              ["articles", "entity"])
+cte("cp_agg", """
+SELECT m.phrase, count(*) AS count, count(DISTINCT CASE WHEN a.url <> '' THEN a.url END) AS n_sources
+FROM cp_max m JOIN articles a ON a.id = m.article_id GROUP BY m.phrase""", ["cp_max", "articles"])
+cte("cp_kept", """
+SELECT * FROM cp_agg a
+WHERE NOT EXISTS (SELECT 1 FROM cp_agg b WHERE b.phrase <> a.phrase AND contains(b.phrase, a.phrase))""", ["cp_agg"])
+oracle("corpus_maximal", "SELECT phrase, count FROM cp_kept", ["cp_kept"])
+oracle("corpus_phrases", "SELECT * FROM cp_kept WHERE count > 1 ORDER BY count DESC, phrase", ["cp_kept"])
+oracle("corpus_phrase_sources", """
+SELECT DISTINCT m.phrase, a.url FROM cp_max m JOIN articles a ON a.id = m.article_id
+WHERE a.url IS NOT NULL AND a.url <> '' AND m.phrase IN (SELECT phrase FROM cp_kept WHERE count > 1)""",
+       ["cp_max", "articles", "cp_kept"])
