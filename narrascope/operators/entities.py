@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrascope.functions import text as X
+from narrascope.functions.arrays import prefix_sum
 from narrascope.operators.util import sized_broadcast
 
 NER_MAX_CHARS = 2000
@@ -46,8 +47,11 @@ def prepare_gazetteer(gazetteer: DataFrame) -> DataFrame:
 
 
 def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
-                 max_chars: int = NER_MAX_CHARS, method: str = GAZETTEER_METHOD) -> DataFrame:
-    """One row per mention in the first ``max_chars`` characters of ``title. summary``.
+                 max_chars: int | None = None, method: str = GAZETTEER_METHOD) -> DataFrame:
+    """One row per mention in ``title. summary``.
+
+    The whole text is tagged by default; ``max_chars=NER_MAX_CHARS`` reproduces
+    the reference model's input cut when parity with it is wanted.
 
     Output: article_id, method_name, entity_group, word (surface form),
     score, start_char, end_char (0-based, end exclusive).
@@ -58,28 +62,33 @@ def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
         return articles.sparkSession.createDataFrame([], MENTION_SCHEMA)
     gz = sized_broadcast(gz)
 
-    text = F.substring(X.article_text("title", "summary", ". "), 1, max_chars)
+    text = X.article_text("title", "summary", ". ")
+    if max_chars:
+        text = F.substring(text, 1, max_chars)
     base = articles.select(F.col(id_col).alias("article_id"), text.alias("text"))
     base = base.withColumn("pieces", F.regexp_extract_all("text", F.lit(_PIECE), 0))
-    # end offset of every token = running length of the pieces (one pass)
-    ends = F.aggregate(
-        "pieces", F.array().cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p))))
-    base = base.select("article_id", "text", F.transform(
+    # end offset of every token = running length of the pieces (linear scan)
+    ends = prefix_sum(F.transform("pieces", lambda p: F.length(p)))
+    base = base.select("article_id", "pieces", F.transform(
         F.arrays_zip(F.col("pieces").alias("p"), ends.alias("e")),
-        lambda z: F.struct((z["e"] - F.length(F.regexp_extract(z["p"], f"[{X.WORD_CLASS}]+$", 0))).alias("s"),
-                           z["e"].alias("e"))).alias("spans"))
+        lambda z: F.struct((z["e"] - F.length(F.regexp_extract(z["p"], f"[{X.WORD_CLASS}]+$", 0))).cast("int").alias("s"),
+                           z["e"].cast("int").alias("e"),
+                           F.regexp_extract(z["p"], f"[{X.WORD_CLASS}]+$", 0).alias("t"))).alias("spans"))
     size = F.size("spans")
+    # surface of tokens i..i+n-1 = token i + the pieces (separator + token) after it;
+    # built from the pieces, never by substring() of the text (O(offset) on UTF-8)
     grams = F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
         lambda i: F.transform(
             F.sequence(F.lit(1), F.least(F.lit(max_n), size - i + 1)),
             lambda n: F.struct(F.element_at("spans", i)["s"].alias("start"),
-                               F.element_at("spans", i + n - 1)["e"].alias("end")))))
+                               F.element_at("spans", i + n - 1)["e"].alias("end"),
+                               F.concat(F.element_at("spans", i)["t"],
+                                        F.array_join(F.slice("pieces", i + 1, n - 1), "")).alias("word")))))
     cand = (base.where(size > 0)
-            .select("article_id", "text", F.explode(grams).alias("g"))
+            .select("article_id", F.explode(grams).alias("g"))
             .select("article_id", F.col("g.start").alias("start_char"), F.col("g.end").alias("end_char"),
-                    F.expr("substring(text, g.start + 1, g.end - g.start)").alias("word")))
+                    F.col("g.word").alias("word")))
     hits = cand.join(gz, F.lower(cand["word"]) == gz["key"], "inner").drop("key", "ntok")
     # drop a match that lies strictly inside a longer one of the same article
     w = (Window.partitionBy("article_id").orderBy(F.asc("start_char"), F.desc("end_char"))
@@ -102,14 +111,16 @@ MENTION_SCHEMA = T.StructType([
 
 
 def tag_entities_model(articles: DataFrame, predict_fn: Callable[[str], Iterable[dict]],
-                       method: str, id_col: str = "id", max_chars: int = NER_MAX_CHARS) -> DataFrame:
+                       method: str, id_col: str = "id", max_chars: int | None = None) -> DataFrame:
     """Any user model, applied per Arrow batch with ``mapInPandas``.
 
     ``predict_fn(text) -> iterable of dicts`` (keys entity_group, word, score,
     start, end, any may be missing). A failure on one article gives an empty
     list for it, as in the reference. Output: article_id, method, entities.
     """
-    text = F.substring(X.article_text("title", "summary", ". "), 1, max_chars)
+    text = X.article_text("title", "summary", ". ")
+    if max_chars:
+        text = F.substring(text, 1, max_chars)
     src = articles.select(F.col(id_col).alias("article_id"), text.alias("text"))
     out_schema = T.StructType([T.StructField("article_id", T.LongType()),
                                T.StructField("method", T.StringType()),

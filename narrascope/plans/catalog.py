@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
+from narrascope.operators import clean as C
 from narrascope.operators import entities as N
 from narrascope.operators import framing as FR
 from narrascope.operators import queries as Q
@@ -295,34 +296,35 @@ def _occ(b: Bindings) -> DataFrame:
     return FR.occurrences(b.articles, _targets(b), b.stopwords)
 
 
-_OCC_KEY = ["article_id", "entity_word", "sent_idx", (F.col("start") - 1).alias("token_idx")]
+def _occ_key():
+    return ["article_id", "entity_word", "sent_idx", (F.col("start") - 1).alias("token_idx")]
 
 
 @register("entity_occurrences")
 def q_entity_occurrences(spark, sf_dir):
-    return _occ(bindings(spark, sf_dir)).select(*_OCC_KEY)
+    return _occ(bindings(spark, sf_dir)).select(*_occ_key())
 
 
 @register("context_windows")
 def q_context_windows(spark, sf_dir):
-    return FR.windows(_occ(bindings(spark, sf_dir))).select(*_OCC_KEY, "window")
+    return FR.windows(_occ(bindings(spark, sf_dir))).select(*_occ_key(), "window")
 
 
 @register("split_segments")
 def q_split_segments(spark, sf_dir):
-    return FR.segments(FR.windows(_occ(bindings(spark, sf_dir)))).select(*_OCC_KEY, "seg_idx", "segment")
+    return FR.segments(FR.windows(_occ(bindings(spark, sf_dir)))).select(*_occ_key(), "seg_idx", "segment")
 
 
 @register("trim_stopwords")
 def q_trim_stopwords(spark, sf_dir):
     s = FR.trimmed(FR.segments(FR.windows(_occ(bindings(spark, sf_dir)))))
-    return s.select(*_OCC_KEY, "seg_idx", "trimmed")
+    return s.select(*_occ_key(), "seg_idx", "trimmed")
 
 
 @register("phrase_rule")
 def q_phrase_rule(spark, sf_dir):
     c = FR.candidates(FR.trimmed(FR.segments(FR.windows(_occ(bindings(spark, sf_dir))))))
-    return c.select(*_OCC_KEY, "seg_idx", "cand_idx", "phrase")
+    return c.select(*_occ_key(), "seg_idx", "cand_idx", "phrase")
 
 
 @register("maximal_phrases")
@@ -366,3 +368,42 @@ def q_corpus_maximal(spark, sf_dir):
 def q_phrases(spark, sf_dir):
     b = bindings(spark, sf_dir)
     return Q.phrases(b.articles, framing(b), b.entity, P.RANGE_START, P.RANGE_END)
+
+
+# ------------------------------------------------------------ 2.3 cleaning
+def _clean(b: Bindings):
+    return C.clean_pipeline(b.articles, b.language_model, P.TARGET_LANG)
+
+
+@register("dedup_greedy")
+def q_dedup_greedy(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return C.deduplicate(C.normalize_articles(b.articles)).select("id", "ord", "content_hash", "url")
+
+
+@register("detect_language")
+def q_detect_language(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    norm = C.normalize_articles(b.articles)
+    from narrascope.operators.language import detect_language
+    det = detect_language(norm, b.language_model, X.article_text("title", "summary", " "))
+    return C.flag_language(norm, b.language_model, P.TARGET_LANG).join(det, "id").select(
+        "id", "detected_lang", "is_target_lang")
+
+
+@register("clean_articles")
+def q_clean_articles(spark, sf_dir):
+    _, _, kept = _clean(bindings(spark, sf_dir))
+    return kept.select("id", "ord", "title", "summary", "url", "content_hash", "published_at", "source")
+
+
+@register("clean_stats")
+def q_clean_stats(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    _, unique, _ = _clean(b)
+    return C.clean_stats(b.articles, unique)
+
+
+@register("limit_articles")
+def q_limit_articles(spark, sf_dir):
+    return C.limit_articles(bindings(spark, sf_dir).articles, P.LIMIT_N).select("id", "ord", "title")

@@ -156,5 +156,12 @@ class Bindings:
     def entity(self) -> str:
         return self._get("entity", lambda: search_entity(self.ranked).first()["entity"])
 
+    @property
+    def language_model(self):
+        from narrascope.operators.language import train_language_model
+
+        # trained on the whole labelled documents table
+        return self._get("lm", lambda: train_language_model(self.table("documents"), "text", "lang"))
+
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)

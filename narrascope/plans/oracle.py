@@ -90,10 +90,13 @@ def sql_split_sentences(x: str) -> str:
 
 # ---------------------------------------------------------------- fixture CTEs
 CTES: dict[str, tuple[str, list[str]]] = {}
+RECURSIVE: set[str] = set()
 
 
-def cte(name: str, sql: str, deps: list[str] | None = None):
+def cte(name: str, sql: str, deps: list[str] | None = None, recursive: bool = False):
     CTES[name] = (sql, deps or [])
+    if recursive:
+        RECURSIVE.add(name)
 
 
 cte("articles", f"""
@@ -147,7 +150,7 @@ FROM (SELECT lower(word) AS key, entity_group, CAST(score AS DOUBLE) AS score FR
 GROUP BY key""", ["gazetteer"])
 
 cte("ner_text", f"""
-SELECT id, substr({sql_text()}, 1, {P.NER_MAX_CHARS}) AS text FROM articles""", ["articles"])
+SELECT id, {sql_text()} AS text FROM articles""", ["articles"])
 
 cte("ner_pieces", f"""
 SELECT id, unnest(regexp_extract_all(text, '[^{W}]*[{W}]+')) AS piece,
@@ -229,4 +232,5 @@ def with_ctes(final_sql: str, needs: list[str]) -> str:
     if not order:
         return final_sql
     body = ",\n".join(f"{n} AS ({CTES[n][0].strip()})" for n in order)
-    return f"WITH {body}\n{final_sql}"
+    kw = "WITH RECURSIVE" if RECURSIVE.intersection(order) else "WITH"
+    return f"{kw} {body}\n{final_sql}"

@@ -267,3 +267,66 @@ oracle("corpus_phrase_sources", """
 SELECT DISTINCT m.phrase, a.url FROM cp_max m JOIN articles a ON a.id = m.article_id
 WHERE a.url IS NOT NULL AND a.url <> '' AND m.phrase IN (SELECT phrase FROM cp_kept WHERE count > 1)""",
        ["cp_max", "articles", "cp_kept"])
+
+# ------------------------------------------------------------ 2.3 cleaning
+cte("normalized", f"""
+SELECT id, ord, {sql_normalize_text('title')} AS title, {sql_normalize_text('summary')} AS summary, url,
+       published_at, source, lang
+FROM articles""", ["articles"])
+cte("normalized_h", """
+SELECT *, md5(lower(title || '|' || summary)) AS content_hash FROM normalized""", ["normalized"])
+# C5 as the sequential rule itself: walk the rows in order, carrying the kept keys.
+cte("dd_rows", """
+SELECT row_number() OVER (ORDER BY ord) AS rn, id, ord, content_hash AS h, coalesce(url, chr(0)) AS u
+FROM normalized_h""", ["normalized_h"])
+cte("dd_walk", """
+SELECT 0 AS rn, CAST([] AS VARCHAR[]) AS hs, CAST([] AS VARCHAR[]) AS us, false AS keep
+UNION ALL
+SELECT rn, CASE WHEN keep THEN list_append(hs, h) ELSE hs END, CASE WHEN keep THEN list_append(us, u) ELSE us END, keep
+FROM (SELECT r.rn, w.hs, w.us, r.h, r.u, NOT list_contains(w.hs, r.h) AND NOT list_contains(w.us, r.u) AS keep
+      FROM dd_walk w JOIN dd_rows r ON r.rn = w.rn + 1) s""", ["dd_rows"], recursive=True)
+cte("dd_kept", """
+SELECT n.* FROM normalized_h n JOIN dd_rows r ON r.id = n.id JOIN dd_walk w ON w.rn = r.rn WHERE w.keep""",
+    ["normalized_h", "dd_rows", "dd_walk"])
+oracle("dedup_greedy", "SELECT id, ord, content_hash, url FROM dd_kept", ["dd_kept"])
+
+# The same naive Bayes, trained and scored relationally.
+cte("lm_docs", "SELECT lang, lower(coalesce(text, '')) AS t FROM documents WHERE lang IS NOT NULL")
+cte("lm_counts", """
+SELECT lang, substr(t, i, 3) AS gram, count(*) AS c
+FROM (SELECT lang, t, unnest(generate_series(1, length(t) - 2)) AS i FROM lm_docs) x
+GROUP BY lang, gram""", ["lm_docs"])
+cte("lm_langs", """
+SELECT lang, CAST(round(-ln(total + (SELECT count(DISTINCT gram) FROM lm_counts)) * 1000000) AS BIGINT) AS base,
+       CAST(round(ln(docs / (SELECT count(*) FROM lm_docs)) * 1000000) AS BIGINT) AS prior
+FROM (SELECT lang, count(*) AS docs, sum(greatest(length(t) - 2, 0)) AS total FROM lm_docs GROUP BY lang) x""",
+    ["lm_docs", "lm_counts"])
+cte("lm_delta", "SELECT lang, gram, CAST(round(ln(c + 1) * 1000000) AS BIGINT) AS delta FROM lm_counts", ["lm_counts"])
+cte("lt_docs", "SELECT id, lower(title || ' ' || summary) AS t FROM normalized", ["normalized"])
+cte("lt_best", """
+SELECT id, lang FROM (
+  SELECT s.id, s.lang, row_number() OVER (PARTITION BY s.id ORDER BY s.score DESC, s.lang DESC) AS rn FROM (
+    SELECT h.id, h.lang, l.prior + greatest(length(d.t) - 2, 0) * l.base + h.sd AS score
+    FROM (SELECT g.id, m.lang, sum(m.delta) AS sd
+          FROM (SELECT id, substr(t, i, 3) AS gram
+                FROM (SELECT id, t, unnest(generate_series(1, length(t) - 2)) AS i FROM lt_docs) a) g
+          JOIN lm_delta m ON m.gram = g.gram GROUP BY g.id, m.lang) h
+    JOIN lm_langs l ON l.lang = h.lang JOIN lt_docs d ON d.id = h.id) s) r
+WHERE rn = 1""", ["lt_docs", "lm_delta", "lm_langs"])
+cte("detected", f"""
+SELECT n.id, n.ord, b.lang AS detected_lang,
+       (length(n.title || ' ' || n.summary) >= 20 AND coalesce(b.lang = '{P.TARGET_LANG}', false)) AS is_target_lang
+FROM normalized n LEFT JOIN lt_best b ON b.id = n.id""", ["normalized", "lt_best"])
+oracle("detect_language", "SELECT id, detected_lang, is_target_lang FROM detected", ["detected"])
+cte("unique_flagged", """
+SELECT k.*, d.is_target_lang FROM dd_kept k JOIN detected d ON d.id = k.id""", ["dd_kept", "detected"])
+oracle("clean_articles", """
+SELECT id, ord, title, summary, url, content_hash, published_at, source FROM unique_flagged WHERE is_target_lang""",
+       ["unique_flagged"])
+oracle("clean_stats", """
+SELECT CAST(count(*) AS BIGINT) AS total_input, CAST(count(u.is_target_lang) AS BIGINT) AS after_dedup,
+       CAST(count_if(u.is_target_lang) AS BIGINT) AS target_lang_only,
+       CAST(count_if(u.is_target_lang IS NULL) AS BIGINT) AS removed_duplicates,
+       CAST(count_if(NOT u.is_target_lang) AS BIGINT) AS removed_other_lang
+FROM articles a LEFT JOIN unique_flagged u ON u.ord = a.ord""", ["articles", "unique_flagged"])
+oracle("limit_articles", f"SELECT id, ord, title FROM articles ORDER BY ord LIMIT {P.LIMIT_N}", ["articles"])

@@ -24,3 +24,7 @@ MAX_SCORE = 1.0
 GROUPS = ("PER", "ORG", "NOR", "LAW", "EVT")
 PAGE = 1
 PAGE_ROWS = 10
+
+# Language kept by the cleaning stage, and the first-n limit of S6.
+TARGET_LANG = "en"
+LIMIT_N = 100
