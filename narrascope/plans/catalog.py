@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
@@ -407,3 +407,124 @@ def q_clean_stats(spark, sf_dir):
 @register("limit_articles")
 def q_limit_articles(spark, sf_dir):
     return C.limit_articles(bindings(spark, sf_dir).articles, P.LIMIT_N).select("id", "ord", "title")
+
+
+# ------------------------------------------------------------ 2.6 storage
+from narrascope.operators import storage as W  # noqa: E402
+import datetime as _dt  # noqa: E402
+
+
+def at_rest_articles(b: Bindings) -> DataFrame:
+    """Run 1's articles table: first row per url (by ord)."""
+    w = Window.partitionBy("url").orderBy("ord")
+    a = b.articles.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    return a.select("id", "title", "url", "source", "summary", "published_at",
+                    F.lit(P.RUN1).alias("run_id"), F.lit(_dt.date.fromisoformat(P.RUN1_DATE)).alias("run_date"))
+
+
+def incoming_articles(b: Bindings) -> DataFrame:
+    """Run 2's articles: every document again under url ``2 * id``, title and source changed."""
+    a = b.articles
+    return a.select(F.col("ord"), F.concat(F.lit(P.URL_PREFIX), (F.col("id") * 2).cast("string")).alias("url"),
+                    F.concat(F.lit("updated: "), F.col("title")).alias("title"), "summary",
+                    F.lit(P.INCOMING_SOURCE).alias("source"),
+                    (F.col("published_at") + F.expr("INTERVAL 1 DAY")).alias("published_at"))
+
+
+def upserted(b: Bindings) -> DataFrame:
+    return W.upsert_articles(at_rest_articles(b), incoming_articles(b), P.RUN2, P.RUN2_DATE)
+
+
+@register("upsert_articles")
+def q_upsert_articles(spark, sf_dir):
+    return upserted(bindings(spark, sf_dir))
+
+
+@register("replace_by_key")
+def q_replace_by_key(spark, sf_dir):
+    """Rerun of the tagger on the English articles with a stricter method."""
+    b = bindings(spark, sf_dir)
+    m = mentions(b)
+    attempted = b.articles.where(F.col("lang") == P.RERUN_LANG).select(F.col("id").alias("article_id"))
+    new = (m.join(attempted, "article_id", "left_semi").where(F.length("word") >= P.RERUN_MIN_WORD)
+           .withColumn("method_name", F.lit(P.RERUN_METHOD)))
+    return W.replace_by_key(m, new, attempted)
+
+
+def run_ledger(b: Bindings) -> DataFrame:
+    """One run per user that signed up, started at the user's first event."""
+    e = b.table("events")
+    signed = e.where(F.col("event_type") == "signup").select("user_id").distinct()
+    first = e.join(signed, "user_id", "left_semi").groupBy("user_id").agg(F.min("ts").alias("started_at"))
+    return first.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
+        F.to_date("started_at").alias("run_date"), F.col("started_at").cast("timestamp_ntz").alias("started_at"),
+        F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.lit("running").alias("status"),
+        *[F.lit(False).alias(f) for f in W.RUN_FLAGS], *[F.lit(None).cast("long").alias(t) for t in W.RUN_TOTALS],
+        F.lit(None).cast("string").alias("errors"))
+
+
+def run_updates(b: Bindings) -> DataFrame:
+    """Every event is an update of its user's run."""
+    e = b.table("events")
+    et = F.col("event_type")
+    stage = (F.when(et == "view", "collect").when(et == "click", "parse").when(et == "purchase", "clean")
+             .when(et == "signup", "signal"))
+    v = F.floor("value").cast("long")
+    stats = (F.when(et == "view", F.create_map(F.lit("total_fetched"), v))
+             .when(et == "purchase", F.create_map(F.lit("total_cleaned"), v))
+             .when(et == "click", F.create_map(F.lit("not_a_total"), v)))
+    return e.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"),
+                    F.col("ts").cast("timestamp_ntz").alias("event_time"), stage.alias("stage"), stats.alias("stats"),
+                    F.when(et == "error", "failed").when(et == "signup", "completed").alias("status"),
+                    F.when(et == "error", F.col("props")).otherwise(F.lit("")).alias("errors"))
+
+
+@register("update_run")
+def q_update_run(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return W.update_runs(run_ledger(b), run_updates(b))
+
+
+@register("melt_stats")
+def q_melt_stats(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    _, unique, _ = _clean(b)
+    clean = W.melt_stats(C.clean_stats(b.articles, unique), P.RUN1, "clean")
+    signal = W.melt_stats(S.sentiment_stats(sentiments(b)), P.RUN1, "signal")
+    return clean.unionByName(signal)
+
+
+def event_runs(b: Bindings) -> DataFrame:
+    """One finished run per event (FIXTURES ``runs``)."""
+    e = b.table("events")
+    k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
+    ts = F.col("ts").cast("timestamp_ntz")
+    return e.select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
+        F.to_date("ts").alias("run_date"),
+        F.when(k != "0", ts).alias("started_at"),
+        F.when(F.col("event_type") != "error",
+               F.expr("timestampadd(SECOND, CAST(floor(value) AS INT), CAST(ts AS TIMESTAMP_NTZ))")).alias("completed_at"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+        F.repeat(F.col("props"), P.ERROR_REPEAT).alias("errors"))
+
+
+@register("recent_runs")
+def q_recent_runs(spark, sf_dir):
+    return W.recent_runs(event_runs(bindings(spark, sf_dir)), P.RECENT_N)
+
+
+@register("check_integrity")
+def q_check_integrity(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return W.check_integrity(upserted(b), sentiments(b), mentions(b), framing(b))
+
+
+@register("write_tables")
+def q_write_tables(spark, sf_dir):
+    """Run 2's articles table written partitioned by run_date, read back."""
+    from narrascope.session import scratch_dir
+    b = bindings(spark, sf_dir)
+    path = W.write_table(upserted(b), "articles", scratch_dir(spark, "tables"))
+    return spark.read.parquet(path)

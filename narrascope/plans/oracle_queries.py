@@ -330,3 +330,118 @@ SELECT CAST(count(*) AS BIGINT) AS total_input, CAST(count(u.is_target_lang) AS
        CAST(count_if(NOT u.is_target_lang) AS BIGINT) AS removed_other_lang
 FROM articles a LEFT JOIN unique_flagged u ON u.ord = a.ord""", ["articles", "unique_flagged"])
 oracle("limit_articles", f"SELECT id, ord, title FROM articles ORDER BY ord LIMIT {P.LIMIT_N}", ["articles"])
+
+# ------------------------------------------------------------ 2.6 storage
+cte("w_existing", f"""
+SELECT id, title, url, source, summary, published_at, '{P.RUN1}' AS run_id, DATE '{P.RUN1_DATE}' AS run_date
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord) AS rn FROM articles) x WHERE rn = 1""", ["articles"])
+cte("w_incoming", f"""
+SELECT ord, '{P.URL_PREFIX}' || CAST(id * 2 AS VARCHAR) AS url, 'updated: ' || title AS title, summary,
+       '{P.INCOMING_SOURCE}' AS source, published_at + INTERVAL 1 DAY AS published_at
+FROM articles""", ["articles"])
+cte("w_upserted", f"""
+SELECT e.id, i.title, e.url, e.source, i.summary, e.published_at, e.run_id, e.run_date
+FROM w_existing e JOIN w_incoming i ON e.url = i.url
+UNION ALL
+SELECT * FROM w_existing WHERE url NOT IN (SELECT url FROM w_incoming)
+UNION ALL
+SELECT CAST((SELECT max(id) FROM w_existing) + row_number() OVER (ORDER BY ord) AS BIGINT), title, url, source,
+       summary, published_at, '{P.RUN2}', DATE '{P.RUN2_DATE}'
+FROM w_incoming WHERE url NOT IN (SELECT url FROM w_existing)""", ["w_existing", "w_incoming"])
+oracle("upsert_articles", "SELECT * FROM w_upserted", ["w_upserted"])
+oracle("replace_by_key", f"""
+SELECT * FROM mentions WHERE article_id NOT IN (SELECT id FROM articles WHERE lang = '{P.RERUN_LANG}')
+UNION ALL
+SELECT article_id, '{P.RERUN_METHOD}' AS method_name, entity_group, word, score, start_char, end_char
+FROM mentions WHERE article_id IN (SELECT id FROM articles WHERE lang = '{P.RERUN_LANG}')
+  AND length(word) >= {P.RERUN_MIN_WORD}""", ["mentions", "articles"])
+
+cte("w_ledger", """
+SELECT 'run-' || CAST(user_id AS VARCHAR) AS run_id, CAST(min(ts) AS DATE) AS run_date, min(ts) AS started_at
+FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id""")
+cte("w_updates", """
+SELECT 'run-' || CAST(user_id AS VARCHAR) AS run_id, ts AS event_time,
+       CASE event_type WHEN 'view' THEN 'collect' WHEN 'click' THEN 'parse' WHEN 'purchase' THEN 'clean'
+                       WHEN 'signup' THEN 'signal' END AS stage,
+       CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) END AS total_fetched,
+       CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END AS total_cleaned,
+       CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'completed' END AS status,
+       CASE WHEN event_type = 'error' THEN props ELSE '' END AS errors
+FROM events""")
+oracle("update_run", """
+SELECT l.run_id, l.run_date, l.started_at, u.completed_at, coalesce(u.status, 'running') AS status,
+       coalesce(u.c1, false) AS collect_completed, coalesce(u.c2, false) AS parse_completed,
+       coalesce(u.c3, false) AS clean_completed, coalesce(u.c4, false) AS signal_completed,
+       CAST(NULL AS BIGINT) AS total_sources, u.total_fetched, CAST(NULL AS BIGINT) AS total_parsed,
+       u.total_cleaned, CAST(NULL AS BIGINT) AS total_analyzed, u.errors
+FROM w_ledger l LEFT JOIN (
+  SELECT run_id, bool_or(stage = 'collect') AS c1, bool_or(stage = 'parse') AS c2, bool_or(stage = 'clean') AS c3,
+         bool_or(stage = 'signal') AS c4,
+         arg_max(total_fetched, event_time) FILTER (WHERE total_fetched IS NOT NULL) AS total_fetched,
+         arg_max(total_cleaned, event_time) FILTER (WHERE total_cleaned IS NOT NULL) AS total_cleaned,
+         arg_max(status, event_time) FILTER (WHERE status IS NOT NULL) AS status,
+         max(event_time) FILTER (WHERE status = 'completed') AS completed_at,
+         arg_max(errors, event_time) FILTER (WHERE errors <> '') AS errors
+  FROM w_updates GROUP BY run_id) u ON u.run_id = l.run_id""", ["w_ledger", "w_updates"])
+
+cte("w_dist", """
+SELECT coalesce(f.label, c.label) AS label, coalesce(c.n, 0) AS count
+FROM (SELECT unnest(['positive', 'negative', 'neutral']) AS label) f
+FULL OUTER JOIN (SELECT label, count(*) AS n FROM sentiments GROUP BY label) c ON f.label = c.label""",
+    ["sentiments"])
+oracle("melt_stats", f"""
+SELECT '{P.RUN1}' AS run_id, 'clean' AS stage, metric_name, CAST(metric_value AS DOUBLE) AS metric_value,
+       CAST(NULL AS VARCHAR) AS details
+FROM (SELECT count(*) AS total_input, count(u.is_target_lang) AS after_dedup,
+             count_if(u.is_target_lang) AS target_lang_only, count_if(u.is_target_lang IS NULL) AS removed_duplicates,
+             count_if(NOT u.is_target_lang) AS removed_other_lang
+      FROM articles a LEFT JOIN unique_flagged u ON u.ord = a.ord) s
+UNPIVOT (metric_value FOR metric_name IN (total_input, after_dedup, target_lang_only, removed_duplicates,
+                                          removed_other_lang))
+UNION ALL
+SELECT '{P.RUN1}', 'signal', 'total_analyzed', CAST(sum(count) AS DOUBLE), NULL FROM w_dist
+UNION ALL
+SELECT '{P.RUN1}', 'signal', 'sentiment_distribution', NULL,
+       '{{' || string_agg('"' || label || '":' || CAST(count AS VARCHAR), ',' ORDER BY label) || '}}' FROM w_dist""",
+       ["articles", "unique_flagged", "w_dist"])
+
+cte("w_runs", f"""
+SELECT 'run-' || CAST(event_id AS VARCHAR) AS run_id, CAST(ts AS DATE) AS run_date,
+       CASE WHEN regexp_extract(props, '"k": *([0-9]+)', 1) <> '0' THEN ts END AS started_at,
+       CASE WHEN event_type <> 'error' THEN ts + CAST(floor(value) AS INTEGER) * INTERVAL 1 SECOND END AS completed_at,
+       CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
+       repeat(props, {P.ERROR_REPEAT}) AS errors
+FROM events""")
+oracle("recent_runs", f"""
+SELECT run_id, run_date, status, coalesce(strftime(started_at, '%Y-%m-%d %H:%M'), '-') AS started,
+       CASE WHEN started_at IS NULL OR completed_at IS NULL THEN '-'
+            ELSE (CASE WHEN d // 86400 <> 0 THEN CAST(d // 86400 AS VARCHAR) ||
+                        CASE WHEN d // 86400 = 1 THEN ' day, ' ELSE ' days, ' END ELSE '' END)
+                 || CAST((d % 86400) // 3600 AS VARCHAR) || ':' || lpad(CAST((d % 3600) // 60 AS VARCHAR), 2, '0')
+                 || ':' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') END AS duration,
+       CASE WHEN length(errors) > 45 THEN substr(errors, 1, 45) || '...' ELSE coalesce(nullif(errors, ''), '-') END AS errors
+FROM (SELECT *, date_diff('second', started_at, completed_at) AS d FROM w_runs) x
+ORDER BY started_at DESC NULLS FIRST, run_id LIMIT {P.RECENT_N}""", ["w_runs"])
+
+
+def _count(rule: str, sql: str) -> str:
+    return f"SELECT '{rule}' AS rule, count(*) AS violations FROM ({sql}) x"
+
+
+_checks = [_count("articles.url unique", "SELECT url FROM w_upserted GROUP BY url HAVING count(*) > 1")]
+_checks += [_count(f"articles.{c} not null", f"SELECT 1 FROM w_upserted WHERE {c} IS NULL")
+            for c in ["title", "url", "source", "run_id", "run_date"]]
+_checks += [_count(f"{name}.{c} length <= {n}", f"SELECT 1 FROM {tbl} WHERE length({c}) > {n}")
+            for tbl, name, c, n in [("w_upserted", "articles", "url", 512), ("w_upserted", "articles", "source", 100),
+                                    ("w_upserted", "articles", "run_id", 50),
+                                    ("sentiments", "sentiment_analysis", "method_name", 50),
+                                    ("sentiments", "sentiment_analysis", "label", 20),
+                                    ("mentions", "named_entity_recognition", "entity_group", 50),
+                                    ("mentions", "named_entity_recognition", "word", 255),
+                                    ("framing", "entity_framing", "entity_word", 255),
+                                    ("framing", "entity_framing", "framing_phrase", 255)]]
+_checks += [_count(f"{name}.article_id references articles",
+                   f"SELECT 1 FROM {tbl} t WHERE NOT EXISTS (SELECT 1 FROM w_upserted a WHERE a.id = t.article_id)")
+            for tbl, name in [("sentiments", "sentiment_analysis"), ("mentions", "named_entity_recognition"),
+                              ("framing", "entity_framing")]]
+oracle("check_integrity", "\nUNION ALL\n".join(_checks), ["w_upserted", "sentiments", "mentions", "framing"])

@@ -28,3 +28,13 @@ PAGE_ROWS = 10
 # Language kept by the cleaning stage, and the first-n limit of S6.
 TARGET_LANG = "en"
 LIMIT_N = 100
+
+# Storage keys: the table at rest is written by run 1, the incoming rows by run 2.
+RUN1, RUN1_DATE = "run-1", "2024-01-01"
+RUN2, RUN2_DATE = "run-2", "2024-02-01"
+INCOMING_SOURCE = "feed-b"
+RERUN_METHOD = "gazetteer-v2"
+RERUN_LANG = "en"
+RERUN_MIN_WORD = 6
+ERROR_REPEAT = 4
+RECENT_N = 5
