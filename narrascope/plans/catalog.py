@@ -528,3 +528,64 @@ def q_write_tables(spark, sf_dir):
     b = bindings(spark, sf_dir)
     path = W.write_table(upserted(b), "articles", scratch_dir(spark, "tables"))
     return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------ 2.1 sources and sinks
+from narrascope.plans import landing as L  # noqa: E402
+from narrascope.sources import feeds as SF  # noqa: E402
+from narrascope.sources import files as SR  # noqa: E402
+
+
+def _landing_root(spark):
+    from narrascope.session import scratch_dir
+    return scratch_dir(spark, "landing")
+
+
+@register("read_feeds")
+def q_read_feeds(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    path, listed = L.land_feeds(b, _landing_root(spark))
+    return SF.read_feeds(spark, path, listed)
+
+
+@register("feed_rejects")
+def q_feed_rejects(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    path, listed = L.land_feeds(b, _landing_root(spark))
+    return SF.feed_stats(spark, path, listed)
+
+
+@register("archive_raw")
+def q_archive_raw(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    root = _landing_root(spark)
+    path, _ = L.land_feeds(b, root)
+    out = SF.archive_raw(spark, path, f"{root}/archive", P.RUN1)
+    return spark.read.parquet(out).select("run_id", "source", F.length("content").alias("bytes"))
+
+
+@register("write_jsonl")
+def q_write_jsonl(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    a = b.articles.select("title", "url", "summary", F.col("published_at").alias("published"), "source")
+    path = SR.write_jsonl(a, f"{_landing_root(spark)}/articles_jsonl")
+    return spark.read.text(path)
+
+
+@register("read_jsonl")
+def q_read_jsonl(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return SR.read_jsonl(spark, L.land_jsonl(b, _landing_root(spark)))
+
+
+@register("load_lexicon")
+def q_load_lexicon(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    from narrascope.plans.fixtures import lexicon
+    return SR.load_lexicon(spark, L.land_lexicon(b, _landing_root(spark), lexicon(b.ranked)))
+
+
+@register("load_stopwords")
+def q_load_stopwords(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return SR.load_stopwords(spark, L.land_stopwords(b, _landing_root(spark), b.stopwords))

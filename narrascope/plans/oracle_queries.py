@@ -445,3 +445,10 @@ _checks += [_count(f"{name}.article_id references articles",
             for tbl, name in [("sentiments", "sentiment_analysis"), ("mentions", "named_entity_recognition"),
                               ("framing", "entity_framing")]]
 oracle("check_integrity", "\nUNION ALL\n".join(_checks), ["w_upserted", "sentiments", "mentions", "framing"])
+
+# ------------------------------------------------------------ 2.1 sources
+oracle("read_jsonl", """
+SELECT title, url, summary, CASE WHEN lang = 'de' THEN NULL ELSE published_at END AS published, source
+FROM articles""", ["articles"])
+oracle("load_lexicon", "SELECT word, weight FROM lexicon", ["lexicon"])
+oracle("load_stopwords", "SELECT word FROM stopwords", ["stopwords"])
