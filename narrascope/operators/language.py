@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions.arrays import bind
-from narrascope.operators.util import sized_broadcast
+from narrascope.operators.util import cut_lineage, sized_broadcast
 
 NGRAM = 3
 SCALE = 1_000_000
@@ -52,8 +52,8 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
                          n: int = NGRAM, prefix: int | None = None) -> LanguageModel:
     docs = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), char_ngrams(F.col(text_col), n, prefix).alias("g"))
-    counts = (docs.select("lang", F.explode("g").alias("gram"))
-              .groupBy("lang", "gram").agg(F.count("*").alias("c")))
+    counts = cut_lineage(docs.select("lang", F.explode("g").alias("gram"))
+                         .groupBy("lang", "gram").agg(F.count("*").alias("c")))
     vocab = counts.select("gram").distinct().count()
     per_lang = (docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("g")).alias("total")))
     all_docs = F.sum("docs").over(Window.partitionBy())  # one row per language
@@ -62,7 +62,9 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
         F.round(-F.log(F.col("total") + F.lit(vocab)) * SCALE).cast("long").alias("base"),
         F.round(F.log(F.col("docs") / all_docs) * SCALE).cast("long").alias("prior"))
     grams = counts.select("lang", "gram", F.round(F.log(F.col("c") + 1) * SCALE).cast("long").alias("delta"))
-    return LanguageModel(grams, langs)
+    # a trained model is data: materialise it once (reliable checkpoint), so that
+    # its size check and every scoring job reuse it instead of retraining
+    return LanguageModel(cut_lineage(grams), cut_lineage(langs))
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text: Column, id_col: str = "id",

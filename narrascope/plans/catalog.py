@@ -589,3 +589,39 @@ def q_load_lexicon(spark, sf_dir):
 def q_load_stopwords(spark, sf_dir):
     b = bindings(spark, sf_dir)
     return SR.load_stopwords(spark, L.land_stopwords(b, _landing_root(spark), b.stopwords))
+
+
+# ------------------------------------------------------------ 2.8 repeated runs
+def resources(b: Bindings):
+    from narrascope.plans.pipeline import Resources
+    return Resources(b.stopwords, b.stem_map, b.positive, b.negative, b.gazetteer, b.language_model, P.TARGET_LANG)
+
+
+@register("run_pipeline")
+def q_run_pipeline(spark, sf_dir):
+    """One full run over the documents; returns the entity framing table at rest."""
+    from narrascope.plans.pipeline import run_pipeline
+    from narrascope.session import scratch_dir
+    b = bindings(spark, sf_dir)
+    out = run_pipeline(spark, b.articles, scratch_dir(spark, "tables"), resources(b), run_id=P.RUN1,
+                       run_date=_dt.date.fromisoformat(P.RUN1_DATE))
+    return out["entity_framing"]
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, sf_dir):
+    """The articles land as JSONL in two drops; each drop is one AvailableNow run."""
+    from narrascope.plans.pipeline import current
+    from narrascope.session import scratch_dir
+    from narrascope.streaming.ingest import incremental_ingest
+    b = bindings(spark, sf_dir)
+    base = scratch_dir(spark, "ingest")
+    a = b.articles.select("title", "url", "summary",
+                          F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published"), "source", "ord")
+    half = a.agg(F.percentile_approx("ord", 0.5)).first()[0]
+    res = resources(b)
+    a.where(F.col("ord") <= half).write.mode("overwrite").json(f"{base}/landing/drop=1")
+    incremental_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint", res)
+    a.where(F.col("ord") > half).write.mode("overwrite").json(f"{base}/landing/drop=2")
+    incremental_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint", res)
+    return current(spark, f"{base}/tables", "articles")

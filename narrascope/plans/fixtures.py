@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as T
+from narrascope.operators.util import cut_lineage
 
 # Fixed values of the bindings.
 URL_PREFIX = "https://news.example/"
@@ -146,7 +147,8 @@ class Bindings:
 
     @property
     def stem_map(self) -> DataFrame:
-        return self._get("stem_map", lambda: stem_map(self.articles))
+        # a stemming dictionary: derived once and materialised (reliable checkpoint)
+        return self._get("stem_map", lambda: cut_lineage(stem_map(self.articles)))
 
     @property
     def gazetteer(self) -> DataFrame:
