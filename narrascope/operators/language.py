@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.functions.arrays import bind
 from narrascope.operators.util import cut_lineage, sized_broadcast
 
 NGRAM = 3
@@ -32,14 +31,9 @@ def char_ngrams(text: Column, n: int = NGRAM, prefix: int | None = None) -> Colu
     t = F.lower(F.coalesce(text, F.lit("")))
     if prefix:
         t = F.substring(t, 1, prefix)
-    # Code points once (a regex pass), then n-grams by index: substring() on
-    # UTF-8 walks from the start, so per-position substrings would be O(n^2).
-    chars = F.regexp_extract_all(t, F.lit("(?s)."), 0)
-    return bind(chars, lambda cs: F.when(
-        F.size(cs) >= n,
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - n + 1, F.lit(1))),
-                    lambda i: F.concat(*[F.element_at(cs, i + j) for j in range(n)]))
-    ).otherwise(F.array().cast("array<string>")))
+    # One native regex pass: a capturing lookahead yields every overlapping
+    # n-gram of code points (substring() per position would be O(n^2) on UTF-8).
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
 @dataclass
