@@ -625,3 +625,17 @@ def q_incremental_ingest(spark, sf_dir):
     a.where(F.col("ord") > half).write.mode("overwrite").json(f"{base}/landing/drop=2")
     incremental_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint", res)
     return current(spark, f"{base}/tables", "articles")
+
+
+# ------------------------------------------------------------ N1b: a user model
+def capitalized_runs(text: str):
+    """A small stand-in model: runs of capitalised words (no group or score given)."""
+    import re
+    for m in re.finditer(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", text):
+        yield {"word": m.group(0), "start": m.start(), "end": m.end()}
+
+
+@register("tag_entities_model")
+def q_tag_entities_model(spark, sf_dir):
+    b = bindings(spark, sf_dir)
+    return N.explode_entities(N.tag_entities_model(b.articles, capitalized_runs, method="capitalized_runs"))
