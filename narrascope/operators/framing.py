@@ -140,8 +140,9 @@ def occurrences(articles: DataFrame, targets: DataFrame, stopwords: DataFrame,
     per_article = targets.groupBy("article_id").agg(F.collect_set("entity_word").alias("ents"))
     a = articles.select(F.col(id_col).alias("article_id"), X.article_text("title", "summary", ". ").alias("text"))
     j = a.join(per_article, "article_id")
-    j = j.select("article_id", F.explode("ents").alias("entity_word"),
-                 sentence_structs(F.col("text"), stop).alias("sents"))
+    # sentences once per article, in their own projection below the explode
+    j = j.select("article_id", "ents", sentence_structs(F.col("text"), stop).alias("sents"))
+    j = j.select("article_id", "sents", F.explode("ents").alias("entity_word"))
     j = j.select("article_id", "entity_word", F.posexplode("sents").alias("sent_idx", "st"))
     j = j.where(F.col("st.s").contains(F.lower("entity_word")))
     j = j.select("article_id", "entity_word", "sent_idx", F.col("st.t").alias("tokens"),
