@@ -36,10 +36,27 @@ def char_ngrams(text: Column, n: int = NGRAM, prefix: int | None = None) -> Colu
     return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
+MAX_LANGUAGES = 1000
+
+
 @dataclass
 class LanguageModel:
     grams: DataFrame   # (lang, gram, delta): scaled log(count + 1)
     langs: DataFrame   # (lang, base, prior): scaled -log(N_L + V) and log prior
+    _wide: tuple | None = None
+
+    def wide(self):
+        """(language constants, profile with one row per gram and an array of deltas, null where unseen)."""
+        if self._wide is None:
+            consts = sorted((r["lang"], r["base"], r["prior"]) for r in
+                            self.langs.limit(MAX_LANGUAGES + 1).collect())  # one row per language
+            if len(consts) > MAX_LANGUAGES:
+                raise ValueError(f"more than {MAX_LANGUAGES} languages")
+            names = [c[0] for c in consts]
+            g = self.grams.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "delta"))).alias("m"))
+            prof = g.select("gram", F.array(*[F.col("m")[x] for x in names]).alias("d"))
+            self._wide = (consts, cut_lineage(prof))
+        return self._wide
 
 
 def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -64,15 +81,23 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
 def detect_language(df: DataFrame, model: LanguageModel, text: Column, id_col: str = "id",
                     n: int = NGRAM, prefix: int | None = None) -> DataFrame:
     """(id, detected_lang) for every input row; null when no language shares an n-gram."""
+    consts, prof = model.wide()
     src = df.select(F.col(id_col).alias("_id"), char_ngrams(text, n, prefix).alias("g"))
-    hits = (src.select("_id", F.size("g").alias("ng"), F.explode("g").alias("gram"))
-            .join(sized_broadcast(model.grams), "gram")
-            .groupBy("_id", "lang").agg(F.sum("delta").alias("sd"), F.max("ng").alias("ng")))
-    scored = (hits.join(F.broadcast(model.langs), "lang")  # one row per language
-              .select("_id", "lang", (F.col("prior") + F.col("ng") * F.col("base") + F.col("sd")).alias("score")))
-    best = scored.groupBy("_id").agg(F.max(F.struct("score", "lang")).alias("b"))
-    return (src.select("_id").join(best, "_id", "left")
-            .select(F.col("_id").alias(id_col), F.col("b.lang").alias("detected_lang")))
+    # one row per n-gram (outer, so a text without any still reaches the sum),
+    # carrying every language's delta; one partial aggregation per text
+    ex = src.select("_id", F.size("g").alias("ng"), F.explode_outer("g").alias("gram"))
+    j = ex.join(sized_broadcast(prof), "gram", "left")
+    aggs = [F.max("ng").alias("ng")]
+    for i in range(len(consts)):
+        aggs += [F.sum(F.col("d")[i]).alias(f"s{i}"), F.count(F.col("d")[i]).alias(f"c{i}")]
+    per = j.groupBy("_id").agg(*aggs)
+    cands = [F.when(F.col(f"c{i}") > 0, F.struct(
+        (F.lit(prior).cast("long") + F.col("ng").cast("long") * F.lit(base).cast("long") + F.col(f"s{i}"))
+        .alias("score"), F.lit(lang).alias("lang")))
+        for i, (lang, base, prior) in enumerate(consts)]
+    best = F.greatest(*cands) if len(cands) > 1 else (cands[0] if cands else F.lit(None))
+    return per.select(F.col("_id").alias(id_col), best["lang"].alias("detected_lang") if cands
+                      else F.lit(None).cast("string").alias("detected_lang"))
 
 
 def is_target_language(detected: Column, text: Column, target: str, min_length: int = MIN_LENGTH) -> Column:
