@@ -34,5 +34,6 @@ def _scan_step(step: int):
         n = F.size(xs)
         shifted = F.concat(F.array_repeat(F.lit(0).cast("long"), F.least(F.lit(step), n)),
                            F.slice(xs, 1, F.greatest(n - step, F.lit(0))))
-        return F.zip_with(xs, shifted, lambda a, b: a + b)
+        # once ``step`` reaches the length the array is final: skip the work
+        return F.when(n > step, F.zip_with(xs, shifted, lambda a, b: a + b)).otherwise(xs)
     return body

@@ -66,14 +66,15 @@ def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
     if max_chars:
         text = F.substring(text, 1, max_chars)
     base = articles.select(F.col(id_col).alias("article_id"), text.alias("text"))
-    base = base.withColumn("pieces", F.regexp_extract_all("text", F.lit(_PIECE), 0))
+    # pieces (separator + token) and tokens come from two native regex passes
+    base = base.select("article_id", F.regexp_extract_all("text", F.lit(_PIECE), 0).alias("pieces"),
+                       F.regexp_extract_all("text", F.lit(f"[{X.WORD_CLASS}]+"), 0).alias("toks"))
     # end offset of every token = running length of the pieces (linear scan)
     ends = prefix_sum(F.transform("pieces", lambda p: F.length(p)))
     base = base.select("article_id", "pieces", F.transform(
-        F.arrays_zip(F.col("pieces").alias("p"), ends.alias("e")),
-        lambda z: F.struct((z["e"] - F.length(F.regexp_extract(z["p"], f"[{X.WORD_CLASS}]+$", 0))).cast("int").alias("s"),
-                           z["e"].cast("int").alias("e"),
-                           F.regexp_extract(z["p"], f"[{X.WORD_CLASS}]+$", 0).alias("t"))).alias("spans"))
+        F.arrays_zip(F.col("toks").alias("t"), ends.alias("e")),
+        lambda z: F.struct((z["e"] - F.length(z["t"])).cast("int").alias("s"), z["e"].cast("int").alias("e"),
+                           z["t"].alias("t"))).alias("spans"))
     size = F.size("spans")
     # surface of tokens i..i+n-1 = token i + the pieces (separator + token) after it;
     # built from the pieces, never by substring() of the text (O(offset) on UTF-8)
