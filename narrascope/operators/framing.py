@@ -184,28 +184,43 @@ def article_phrases_for(articles: DataFrame, entity: str, stopwords: DataFrame,
     return a.select("article_id", "url", F.explode(ph).alias("phrase"))
 
 
-def corpus_maximal(phrases: DataFrame, col: str = "phrase") -> DataFrame:
+def corpus_maximal(phrases: DataFrame, col: str = "phrase", key_len: int = 8) -> DataFrame:
     """keep the rows whose phrase is no character substring of another distinct phrase.
 
-    Every suffix of every distinct phrase is listed once; sorted, the entries
-    that start with a phrase ``p`` follow ``p`` directly, so ``p`` lies inside
-    another phrase exactly when its next entry starts with it. The sort is
-    partitioned by the first ``k`` characters (``k`` at most the shortest
-    phrase length, so a phrase and every entry starting with it share a key);
-    no pair of phrases is ever emitted and no nested-loop join is planned.
+    Every suffix of every distinct phrase is listed once (its own full string
+    marked ``self``). A phrase ``p`` lies inside another exactly when some
+    other entry starts with ``p``:
+
+    * ``p`` shorter than ``key_len``: each suffix emits its prefixes of those
+      lengths and a ``groupBy(prefix).count()`` (partial aggregation, so a hot
+      prefix costs one row per partition) finds ``p`` twice or more;
+    * longer ``p``: suffixes sorted within a ``key_len``-character prefix key;
+      the entries starting with ``p`` follow it directly, so the next entry is
+      tested (``lead``).
+
+    No pair of phrases is ever emitted and no nested-loop join is planned.
     """
     d = phrases.select(F.col(col).alias("p")).distinct()
     shortest = d.agg(F.min(F.length("p"))).first()[0]
     if shortest is None:
         return phrases
-    k = max(1, min(3, shortest))  # every phrase has at least k characters
+    lo = max(1, shortest)
     suf = d.select("p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p"), F.lit(1)))).alias("pos"))
     suf = suf.select("p", F.expr("substring(p, pos)").alias("s"), (F.col("pos") == 1).alias("self"))
-    suf = suf.where(F.length("s") >= k)  # a shorter suffix cannot hold any phrase
-    w = Window.partitionBy(F.substring("s", 1, k)).orderBy(F.asc("s"), F.desc("self"))
-    flagged = suf.select("p", "s", "self", F.lead("s").over(w).alias("nxt"))
-    inside = flagged.where(F.col("self") & F.col("nxt").isNotNull()
-                           & (F.substring("nxt", 1, F.length("s")) == F.col("s"))).select("p")
+    suf = suf.where(F.length("s") >= lo)  # a shorter suffix cannot hold any phrase
+    # short phrases: exact prefix counts
+    pref = suf.select(F.explode(F.sequence(F.lit(lo), F.least(F.lit(key_len - 1), F.length("s")))).alias("n"), "s")
+    counts = (pref.where(F.col("n") >= lo).select(F.expr("substring(s, 1, n)").alias("key"))
+              .groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= 2))
+    short = d.where(F.length("p") < key_len)
+    inside_short = short.join(counts, short["p"] == counts["key"], "left_semi")
+    # long phrases: sorted suffixes within a key_len prefix
+    longs = suf.where(F.length("s") >= key_len)
+    w = Window.partitionBy(F.substring("s", 1, key_len)).orderBy(F.asc("s"), F.desc("self"))
+    flagged = longs.select("p", "s", "self", F.lead("s").over(w).alias("nxt"))
+    inside_long = flagged.where(F.col("self") & F.col("nxt").isNotNull()
+                                & (F.substring("nxt", 1, F.length("s")) == F.col("s"))).select("p")
+    inside = inside_short.unionByName(inside_long)
     return phrases.join(inside, phrases[col] == inside["p"], "left_anti")
 
 

@@ -50,8 +50,9 @@ def test_corpus_maximal_matches_brute_force(spark):
     words = ["ab", "abc", "b", "ca", "bca", "c", "aab"]
     ps = {" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 4))) for _ in range(400)}
     df = spark.createDataFrame([(p,) for p in ps], "phrase string")
-    got = sorted(r[0] for r in FR.corpus_maximal(df).collect())
-    assert got == brute_maximal(ps)
+    for key_len in (3, 6, 8, 40):
+        got = sorted(r[0] for r in FR.corpus_maximal(df, key_len=key_len).collect())
+        assert got == brute_maximal(ps)
 
 
 def test_corpus_maximality_before_count_rule(spark):
