@@ -97,8 +97,10 @@ def phrase_rule(tokens: Column) -> Column:
 
 def maximal_phrases(phrases: Column) -> Column:
     """F8: distinct phrases that are no character substring of another distinct phrase."""
+    # only a strictly longer phrase can hold another (equal-length distinct ones cannot),
+    # so the cheap length test runs before ``contains``
     return _bind(F.array_distinct(phrases), lambda d: F.filter(
-        d, lambda x: ~F.exists(d, lambda y: (y != x) & y.contains(x))))
+        d, lambda x: ~F.exists(d, lambda y: (F.length(y) > F.length(x)) & y.contains(x))))
 
 
 def sentence_candidates(sent: Column, etoks: Column, size: int = WINDOW) -> Column:
