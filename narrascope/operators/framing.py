@@ -60,7 +60,9 @@ def occurrence_starts(tokens: Column, etoks: Column) -> Column:
     last = F.size(tokens) - n + 1
     return F.when((n >= 1) & (last >= 1),
                   F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                           lambda i: F.slice(tokens, i, n) == etoks)
+                           # first token before the slice: most positions allocate nothing
+                           lambda i: (F.element_at(tokens, i) == F.element_at(etoks, 1))
+                           & (F.slice(tokens, i, n) == etoks))
                   ).otherwise(F.array().cast("array<int>"))
 
 
