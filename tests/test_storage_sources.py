@@ -80,3 +80,33 @@ def test_melt_stats_numbers_and_json(spark):
     s = spark.createDataFrame([(3, True, {"a": 1})], "n long, ok boolean, d map<string,bigint>")
     got = {r["metric_name"]: (r["metric_value"], r["details"]) for r in W.melt_stats(s, "r", "x").collect()}
     assert got == {"n": (3.0, None), "ok": (1.0, None), "d": (None, '{"a":1}')}
+
+
+def test_recent_runs_nulls_first_duration_and_errors(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("r1", t.date(), t, t + dt.timedelta(days=1, seconds=3723, microseconds=9), "completed", "x" * 50),
+            ("r2", t.date(), None, None, "failed", ""),
+            ("r3", t.date(), t - dt.timedelta(days=1), t, "completed", None)]
+    runs = spark.createDataFrame(rows, "run_id string, run_date date, started_at timestamp_ntz, "
+                                       "completed_at timestamp_ntz, status string, errors string")
+    got = [(r["run_id"], r["started"], r["duration"], r["errors"]) for r in W.recent_runs(runs, 3).collect()]
+    d1 = str(dt.timedelta(days=1, seconds=3723, microseconds=9)).split(".")[0]
+    assert got == [("r2", "-", "-", "-"), ("r1", "2024-01-01 00:00", d1, "x" * 45 + "..."),
+                   ("r3", "2023-12-31 00:00", str(dt.timedelta(days=1)), "-")]
+
+
+def test_update_runs_latest_wins_and_unknown_run_is_noop(spark):
+    t = dt.datetime(2024, 1, 1)
+    runs = spark.createDataFrame([("r1", t.date(), t, None, "running", False, False, False, False,
+                                   None, None, None, None, None, None)], W.RUN_SCHEMA)
+    upd = spark.createDataFrame([
+        ("r1", t + dt.timedelta(minutes=1), "collect", {"total_fetched": 5, "bogus": 1}, None, ""),
+        ("r1", t + dt.timedelta(minutes=2), None, {"total_fetched": 7}, "completed", None),
+        ("r1", t + dt.timedelta(minutes=3), None, None, "failed", "boom"),
+        ("zz", t, "clean", {"total_cleaned": 1}, "completed", "x")], W.UPDATE_SCHEMA)
+    out = W.update_runs(runs, upd).collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r["collect_completed"], r["clean_completed"], r["total_fetched"], r["status"], r["errors"]) == \
+        (True, False, 7, "failed", "boom")
+    assert r["completed_at"] == t + dt.timedelta(minutes=2)
