@@ -55,7 +55,7 @@ def fill(children: DataFrame, parent: list[str]) -> DataFrame:
     """
     d = "decimal(20,0)"
     c = children.withColumn("cap", F.when(F.col("w") > 0, F.col("cap")).otherwise(0).cast(d))
-    order = Window.partitionBy(*parent).orderBy((F.col("cap").cast("double") / F.col("w").cast("double")).asc_nulls_last(), "name")
+    order = Window.partitionBy(*parent).orderBy(F.try_divide(F.col("cap").cast("double"), F.col("w").cast("double")).asc_nulls_last(), "name")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*parent)
     zero = F.lit(0).cast(d)

@@ -169,7 +169,7 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_lines: int = MIN_L
     total = scanned.agg(F.sum("n_lines").alias("n")).first()["n"]
     n = F.lit(float(total))
     pmi = F.log2(F.col("n_te") * n / (F.col("n_t").cast("double") * F.col("n_e")))
-    share = pmi / F.log2(n / F.col("n_e"))
+    share = F.try_divide(pmi, F.log2(n / F.col("n_e")))
     return (both.join(n_e, "entity").join(terms, "term").filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= threshold)
             .select("entity", "term", "share", F.col("n_t").alias("term_lines")))
 

@@ -52,7 +52,7 @@ def group_shards(groups: DataFrame, key: str, size: str, shards: int, units_per_
     parts = ranged.groupBy("part").agg(F.sum("sz").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"),
-                                       F.sum("total").over(Window.partitionBy()).alias("all")), "lpt-offsets")
+                                       F.greatest(F.sum("total").over(Window.partitionBy()), F.lit(1)).alias("all")), "lpt-offsets")
     inside = Window.partitionBy("part").orderBy(F.desc("sz"), "k").rowsBetween(Window.unboundedPreceding, -1)
     rows = (ranged.withColumn("run", F.coalesce(F.sum("sz").over(inside), F.lit(0)))
             .join(offsets, "part")

@@ -4,11 +4,11 @@
    Rows are counted per (host, segments) at once, so everything after works on distinct shapes.
 2. Under each (host, prefix) a segment seen in under ``MIN_SHARE`` of the prefix's urls, or under
    ``MIN_SUPPORT`` urls, is variable: it becomes ``*``.
-3. Sibling branches are merged where they are statistically alike: a literal branch is compared
-   with the pool of its siblings, by the total variation between their distributions over what follows
-   and by their labelled rates, and becomes ``{*}`` if neither differs by more than sampling would
-   explain. A branch without labels has no rate to compare, so it stays apart. Each branch meets only
-   the pool, never its siblings one by one.
+3. Sibling branches are merged where they are statistically alike: literal branches with the same
+   most frequent continuation form a pool, and a branch is compared with its pool, by the total
+   variation between their distributions over what follows and by their labelled rates. If neither
+   differs by more than sampling would explain, it becomes ``{*}``. A branch without labels has no rate
+   to compare, so it stays apart. Each branch meets only its pool, never its siblings one by one.
 4. A template is rejected if its smoothed purity, ``(blocked + ALPHA * r) / (labelled + ALPHA)`` with ``r`` the
    blocked share of all labelled urls, reaches ``REJECT``.
 
@@ -91,24 +91,27 @@ def merge_branches(templates: DataFrame) -> DataFrame:
     """``templates`` (host, template, n, labelled, blocked) with ``merged``: alike sibling branches as ``{*}``."""
     e = materialize(_exploded(templates, "template", "n", "labelled", "blocked"), "url-branches")
     literal = e.filter((F.col("tok") != "*") & ~F.contains("tok", F.lit("<")))
-    parent, branch = ["host", "prefix"], ["host", "prefix", "tok"]
+    branch = ["host", "prefix", "tok"]
     suffix = literal.groupBy(*branch, "rest").agg(F.sum("n").alias("n_bs"))
-    of_branch = literal.groupBy(*branch).agg(F.sum("n").alias("n_b"), F.sum("labelled").alias("lab_b"), F.sum("blocked").alias("blk_b"))
-    pool_suffix = literal.groupBy(*parent, "rest").agg(F.sum("n").alias("n_s"))
-    pool = literal.groupBy(*parent).agg(F.sum("n").alias("n_all"), F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"))
+    of_branch = (literal.groupBy(*branch).agg(F.sum("n").alias("n_b"), F.sum("labelled").alias("lab_b"), F.sum("blocked").alias("blk_b"))
+                 .join(suffix.groupBy(*branch).agg(F.max(F.struct("n_bs", "rest"))["rest"].alias("mode")), branch))
+    parent = ["host", "prefix", "mode"]
+    suffix = suffix.join(of_branch, branch)
+    pool_suffix = suffix.groupBy(*parent, "rest").agg(F.sum("n_bs").alias("n_s"))
     kinds = pool_suffix.groupBy(*parent).agg(F.count(F.lit(1)).alias("k"))
+    pool = of_branch.groupBy(*parent).agg(F.sum("n_b").alias("n_all"), F.sum("lab_b").alias("lab"), F.sum("blk_b").alias("blk"))
     p, q = F.col("n_bs") / F.col("n_b"), F.col("n_s") / F.col("n_all")
     gap = F.round((F.abs(p - q) - q) * UNIT).cast("long")
-    facts = (suffix.join(of_branch, branch).join(pool_suffix, [*parent, "rest"]).join(pool, parent)
-             .groupBy(*branch).agg((F.sum(gap) + UNIT).alias("gap"), *[F.first(c).alias(c) for c in ("n_b", "lab_b", "blk_b", "lab", "blk")])
+    facts = (suffix.join(pool_suffix, [*parent, "rest"]).join(pool, parent)
+             .groupBy(*branch, "mode").agg((F.sum(gap) + UNIT).alias("gap"), *[F.first(c).alias(c) for c in ("n_b", "lab_b", "blk_b", "lab", "blk")])
              .join(kinds, parent))
     variation = F.col("gap") / (2.0 * UNIT)
-    rate = F.col("blk") / F.col("lab")
+    rate = F.try_divide("blk", "lab")
     alike = ((F.col("lab_b") > 0) & (variation <= MAX_VARIATION + F.sqrt(F.col("k") / F.col("n_b")) / 2)
-             & (F.abs(F.col("blk_b") / F.col("lab_b") - rate) <= MAX_RATE_GAP + 2 * F.sqrt(rate * (1 - rate) / F.col("lab_b"))))
-    judged = facts.select(*branch, F.when(F.col("lab_b") > 0, alike).otherwise(False).alias("alike"))
-    several = judged.filter("alike").groupBy(*parent).agg(F.count(F.lit(1)).alias("n_alike")).filter("n_alike > 1")
-    merged = judged.filter("alike").join(several, parent, "left_semi").select(*branch, F.lit("{*}").alias("one"))
+             & (F.abs(F.try_divide("blk_b", "lab_b") - rate) <= MAX_RATE_GAP + 2 * F.sqrt(F.try_divide(rate * (1 - rate), "lab_b"))))
+    judged = facts.filter(F.coalesce(alike, F.lit(False))).select(*branch, "mode")
+    several = judged.groupBy(*parent).agg(F.count(F.lit(1)).alias("n_alike")).filter("n_alike > 1")
+    merged = judged.join(several, parent, "left_semi").select(*branch, F.lit("{*}").alias("one"))
     labelled = e.join(merged, branch, "left").withColumn("label", F.coalesce("one", "tok"))
     return _rebuilt(templates, labelled, "template", "merged")
 
@@ -130,7 +133,7 @@ def op1_url_tree(pages: DataFrame, rules=RULES) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     templates = materialize(shapes.groupBy("host", "template").agg(*sums), "url-tree")
     merged = materialize(merge_branches(templates), "url-merged")
-    prior = merged.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("r"))
+    prior = merged.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("r"))
     rate = float(prior.first()["r"])
     final = merged.groupBy("host", "merged").agg(*sums).withColumn("r", F.lit(rate))
     purity = (F.col("blocked") + ALPHA * F.col("r")) / (F.col("labelled") + ALPHA)
@@ -176,16 +179,18 @@ b AS (
 lit AS (SELECT * FROM b WHERE tok <> '*' AND NOT contains(tok, '<')),
 suffix AS (SELECT host, prefix, tok, rest, sum(n)::BIGINT AS n_bs FROM lit GROUP BY ALL),
 br AS (SELECT host, prefix, tok, sum(n)::BIGINT AS n_b, sum(labelled)::BIGINT AS lab_b, sum(blocked)::BIGINT AS blk_b FROM lit GROUP BY ALL),
-ps AS (SELECT host, prefix, rest, sum(n)::BIGINT AS n_s FROM lit GROUP BY ALL),
-pool AS (SELECT host, prefix, sum(n)::BIGINT AS n_all, sum(labelled)::BIGINT AS lab, sum(blocked)::BIGINT AS blk FROM lit GROUP BY ALL),
-kinds AS (SELECT host, prefix, count(*) AS k FROM ps GROUP BY ALL),
+modes AS (SELECT host, prefix, tok, max(struct_pack(n := n_bs, rest := rest)).rest AS mode FROM suffix GROUP BY ALL),
+sm AS (SELECT * FROM suffix JOIN br USING (host, prefix, tok) JOIN modes USING (host, prefix, tok)),
+ps AS (SELECT host, prefix, mode, rest, sum(n_bs)::BIGINT AS n_s FROM sm GROUP BY ALL),
+pool AS (SELECT host, prefix, mode, sum(n_b)::BIGINT AS n_all, sum(lab_b)::BIGINT AS lab, sum(blk_b)::BIGINT AS blk FROM br JOIN modes USING (host, prefix, tok) GROUP BY ALL),
+kinds AS (SELECT host, prefix, mode, count(*) AS k FROM ps GROUP BY ALL),
 facts AS (
-  SELECT host, prefix, tok, n_b, lab_b, blk_b, lab, blk, k,
+  SELECT host, prefix, mode, tok, n_b, lab_b, blk_b, lab, blk, k,
          sum(round((abs(n_bs / n_b - n_s / n_all) - n_s / n_all) * {UNIT})::BIGINT)::BIGINT + {UNIT} AS gap
-  FROM suffix JOIN br USING (host, prefix, tok) JOIN ps USING (host, prefix, rest) JOIN pool USING (host, prefix) JOIN kinds USING (host, prefix)
+  FROM sm JOIN ps USING (host, prefix, mode, rest) JOIN pool USING (host, prefix, mode) JOIN kinds USING (host, prefix, mode)
   GROUP BY ALL),
 alike AS (
-  SELECT *, count(*) OVER (PARTITION BY host, prefix) AS n_alike FROM facts
+  SELECT *, count(*) OVER (PARTITION BY host, prefix, mode) AS n_alike FROM facts
   WHERE lab_b > 0 AND gap / {2.0 * UNIT:.1f}::DOUBLE <= {MAX_VARIATION}::DOUBLE + sqrt(k / n_b) / 2
     AND abs(blk_b / lab_b - blk / lab) <= {MAX_RATE_GAP}::DOUBLE + 2 * sqrt((blk / lab) * (1 - blk / lab) / lab_b)),
 merged AS (
