@@ -14,34 +14,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrascope.operators.util import sized_broadcast
+from narrascope.operators.util import cut_lineage, sized_broadcast
 
 ARTICLE_COLS = ["id", "title", "url", "source", "summary", "published_at", "run_id", "run_date"]
-RANK_BUCKETS = 64
-
 
 class DuplicateKeyError(ValueError):
     pass
 
 
-def global_rank(df: DataFrame, order: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+class NullKeyError(ValueError):
+    pass
+
+
+def global_rank(df: DataFrame, *order: str) -> DataFrame:
     """Add ``rank`` = 1..n by ``order`` (unique) without a single-partition window.
 
-    Rows are cut into ``order`` ranges at approximate quantiles; each range is
-    numbered by its own window partition, and a range's offset is the count of
-    all earlier ranges (a table of ``buckets`` rows). Exact whatever the
-    quantile error, since only the range boundaries come from it.
+    Rows are range-partitioned by the order, as many partitions as the session shuffles into, and
+    written with their partition number; each partition is numbered by itself and offset by the
+    counts of the partitions before it (a table of one row per partition).
     """
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order, qs, 0.01))) if qs else []
-    b = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<double>"),
-                        lambda x: x < F.col(order).cast("double"))) if bounds else F.lit(0)
-    d = df.withColumn("_bucket", b)
-    counts = d.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_off"))
-    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
-    return (ranked.join(F.broadcast(offsets), "_bucket")  # at most ``buckets`` rows
-            .withColumn("rank", F.col("_off") + F.col("_rn")).drop("_bucket", "_rn", "_off"))
+    d = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
+    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return (ranked.join(F.broadcast(offsets), "_part")  # one row per partition
+            .withColumn("rank", F.col("_off") + F.col("_rn")).drop("_part", "_rn", "_off"))
 
 
 def assert_unique(df: DataFrame, key: str, what: str = "incoming") -> None:
@@ -50,34 +47,37 @@ def assert_unique(df: DataFrame, key: str, what: str = "incoming") -> None:
         raise DuplicateKeyError(f"{what} holds {key} {dup[0][0]!r} more than once")
 
 
-def upsert_articles(existing: DataFrame, incoming: DataFrame, run_id: str, run_date,
-                    order: str = "ord") -> DataFrame:
-    """Insert by url; on conflict update only title and summary.
+def upsert_rows(existing: DataFrame, incoming: DataFrame, run_id: str, run_date, max_id: int, order: str = "ord") -> DataFrame:
+    """W1, the rows it writes: inserts by url; on conflict only title and summary change.
 
-    Source, published_at, run_id, run_date and id keep their first values.
-    New rows get ids after the current maximum, in ``order`` of the incoming
-    rows. A url repeated inside ``incoming`` is an error, as in PostgreSQL.
+    Source, published_at, run_id, run_date and id keep their first values. New rows get ids after
+    ``max_id``, in ``order`` of the incoming rows. A url repeated inside ``incoming``, or a null one, is an
+    error, as in PostgreSQL.
     """
     assert_unique(incoming, "url")
+    bad = incoming.where(F.col("url").isNull()).count()
+    if bad:
+        raise NullKeyError(f"{bad} incoming articles have no url")
     run_date = _dt.date.fromisoformat(run_date) if isinstance(run_date, str) else run_date
-    e = existing.select(*ARTICLE_COLS)
+    e = existing.select(F.col("url").alias("_url"), "id", *[F.col(c).alias(f"_{c}") for c in ("source", "published_at", "run_id", "run_date")])
     i = incoming.select("url", "title", "summary", "source", "published_at", F.col(order).alias("_ord"))
-    j = e.alias("e").join(i.alias("i"), F.col("e.url") == F.col("i.url"), "full_outer")
-    kept_or_updated = j.where(F.col("e.id").isNotNull()).select(
-        F.col("e.id").alias("id"),
-        F.when(F.col("i.url").isNotNull(), F.col("i.title")).otherwise(F.col("e.title")).alias("title"),
-        F.col("e.url").alias("url"), F.col("e.source").alias("source"),
-        F.when(F.col("i.url").isNotNull(), F.col("i.summary")).otherwise(F.col("e.summary")).alias("summary"),
-        F.col("e.published_at").alias("published_at"), F.col("e.run_id").alias("run_id"),
-        F.col("e.run_date").alias("run_date"))
-    new = j.where(F.col("e.id").isNull()).select(
-        F.col("i.url").alias("url"), F.col("i.title").alias("title"), F.col("i.summary").alias("summary"),
-        F.col("i.source").alias("source"), F.col("i.published_at").alias("published_at"), F.col("i._ord").alias("_ord"))
-    max_id = existing.agg(F.max("id")).first()[0] or 0  # one number
-    new = global_rank(new, "_ord")
+    j = cut_lineage(i.join(e, F.col("url") == F.col("_url"), "left"))
+    updated = j.where(F.col("id").isNotNull()).select(
+        "id", "title", "url", F.col("_source").alias("source"), "summary", F.col("_published_at").alias("published_at"),
+        F.col("_run_id").alias("run_id"), F.col("_run_date").alias("run_date"))
+    new = global_rank(j.where(F.col("id").isNull()).select("url", "title", "summary", "source", "published_at", "_ord"), "_ord")
     inserted = new.select((F.lit(max_id) + F.col("rank")).cast("long").alias("id"), "title", "url", "source", "summary",
                           "published_at", F.lit(run_id).alias("run_id"), F.lit(run_date).alias("run_date"))
-    return kept_or_updated.unionByName(inserted)
+    return updated.unionByName(inserted)
+
+
+def upsert_articles(existing: DataFrame, incoming: DataFrame, run_id: str, run_date,
+                    order: str = "ord") -> DataFrame:
+    """W1 over a whole table: the rows not touched, and those ``upsert_rows`` writes."""
+    max_id = existing.agg(F.max("id")).first()[0] or 0  # one number
+    e = existing.select(*ARTICLE_COLS)
+    untouched = e.join(incoming.select(F.col("url").alias("_u")), F.col("url") == F.col("_u"), "left_anti")
+    return untouched.unionByName(upsert_rows(e, incoming, run_id, run_date, max_id, order))
 
 
 def upserted_ids(table: DataFrame, incoming: DataFrame) -> DataFrame:

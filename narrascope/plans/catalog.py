@@ -597,15 +597,29 @@ def resources(b: Bindings):
     return Resources(b.stopwords, b.stem_map, b.positive, b.negative, b.gazetteer, b.language_model, P.TARGET_LANG)
 
 
-@register("run_pipeline")
-def q_run_pipeline(spark, sf_dir):
-    """One full run over the documents; returns the entity framing table at rest."""
+def two_runs(spark, sf_dir):
+    """I2 twice over overlapping urls: run 1 of all articles, run 2 of the second half, retitled."""
     from narrascope.plans.pipeline import run_pipeline
     from narrascope.session import scratch_dir
     b = bindings(spark, sf_dir)
-    out = run_pipeline(spark, b.articles, scratch_dir(spark, "tables"), resources(b), run_id=P.RUN1,
-                       run_date=_dt.date.fromisoformat(P.RUN1_DATE))
-    return out["entity_framing"]
+    root, res = scratch_dir(spark, "tables"), resources(b)
+    run_pipeline(spark, b.articles, root, res, run_id=P.RUN1, run_date=_dt.date.fromisoformat(P.RUN1_DATE))
+    half = b.articles.agg(F.expr("percentile_disc(0.5) within group (order by ord)").alias("m")).first()["m"]
+    again = b.articles.where(F.col("ord") > half).withColumn("title", F.concat(F.lit(P.RETITLE), "title"))
+    return run_pipeline(spark, again, root, res, run_id=P.RUN2, run_date=_dt.date.fromisoformat(P.RUN2_DATE))
+
+
+@register("run_pipeline")
+def q_run_pipeline(spark, sf_dir):
+    """The articles table at rest after two runs with overlapping urls."""
+    return two_runs(spark, sf_dir)["articles"].drop("id")
+
+
+@register("run_pipeline_framing")
+def q_run_pipeline_framing(spark, sf_dir):
+    """The entity framing at rest after the same two runs, by article url."""
+    out = two_runs(spark, sf_dir)
+    return out["entity_framing"].join(out["articles"].select(F.col("id").alias("article_id"), "url"), "article_id").drop("article_id")
 
 
 @register("incremental_ingest")
@@ -618,13 +632,17 @@ def q_incremental_ingest(spark, sf_dir):
     base = scratch_dir(spark, "ingest")
     a = b.articles.select("title", "url", "summary",
                           F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published"), "source", "ord")
-    half = a.agg(F.percentile_approx("ord", 0.5)).first()[0]
+    half = a.agg(F.expr("percentile_disc(0.5) within group (order by ord)").alias("m")).first()["m"]
     res = resources(b)
-    a.where(F.col("ord") <= half).write.mode("overwrite").json(f"{base}/landing/drop=1")
-    incremental_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint", res)
-    a.where(F.col("ord") > half).write.mode("overwrite").json(f"{base}/landing/drop=2")
-    incremental_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint", res)
-    return current(spark, f"{base}/tables", "articles")
+
+    def land(rows, drop):
+        (rows.repartitionByRange("ord").sortWithinPartitions("ord").drop("ord")
+         .write.option("ignoreNullFields", "false").json(f"{base}/landing/drop={drop}"))
+        incremental_ingest(spark, f"{base}/landing", f"{base}/tables", f"{base}/checkpoint", res)
+
+    land(a.where(F.col("ord") <= half), 1)
+    land(a.where(F.col("ord") > half), 2)
+    return current(spark, f"{base}/tables", "articles").drop("id", "run_date")
 
 
 # ------------------------------------------------------------ N1b: a user model

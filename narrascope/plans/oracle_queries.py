@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from narrascope.operators.entities import VALUABLE_ENTITY_GROUPS
 from narrascope.plans import params as P
 from narrascope.plans.oracle import (
-    cte, q, sql_clean_sentences, sql_clean_tokens, sql_norm_ws, sql_normalize_text,
+    CTES, RECURSIVE, cte, q, sql_clean_sentences, sql_clean_tokens, sql_norm_ws, sql_normalize_text,
     sql_split_sentences, sql_strip_html, sql_text, sql_tokenize, with_ctes,
 )
 
@@ -452,3 +454,65 @@ SELECT title, url, summary, CASE WHEN lang = 'de' THEN NULL ELSE published_at EN
 FROM articles""", ["articles"])
 oracle("load_lexicon", "SELECT word, weight FROM lexicon", ["lexicon"])
 oracle("load_stopwords", "SELECT word FROM stopwords", ["stopwords"])
+
+# ------------------------------------------------------------ 2.8 repeated runs, 2.6 W7
+#: derived resources, the same for every run
+RESOURCES = {"vocab", "ranked", "stopwords", "lexicon", "positive", "negative", "stem_map", "gazetteer", "entity", "gaz",
+             "lm_docs", "lm_counts", "lm_langs", "lm_delta"}
+
+
+def clone(target: str, suffix: str, base: dict[str, str]) -> str:
+    """Copy ``target`` and the CTEs below it, with other inputs: ``base`` maps CTE names to what stands for them."""
+    names: list[str] = []
+
+    def visit(n: str) -> None:
+        if n in names or n in RESOURCES or n in base:
+            return
+        for d in CTES[n][1]:
+            visit(d)
+        names.append(n)
+
+    visit(target)
+    to = {n: n + suffix for n in names} | base
+    word = re.compile(r"\b(" + "|".join(map(re.escape, to)) + r")\b")
+    for n in names:
+        sql, deps = CTES[n]
+        cte(to[n], word.sub(lambda m: to[m[0]], sql), [to.get(d, d) for d in deps], recursive=n in RECURSIVE)
+    return to[target]
+
+
+MEDIAN = "(SELECT quantile_disc(ord, 0.5) FROM articles)"
+CLEAN_COLS = "id, ord, title, summary, url, published_at, source"
+
+
+def runs_at_rest(p: str, first: str, second: str, ids: tuple[str, str], dates: str) -> None:
+    """CTEs ``{p}_1``, ``{p}_2`` (what each run kept) and ``{p}_articles`` (the table after both)."""
+    for n, rows in (("1", first), ("2", second)):
+        cte(f"{p}_in{n}", rows, ["articles"])
+        flagged = clone("unique_flagged", f"_{p}{n}", {"articles": f"{p}_in{n}"})
+        cte(f"{p}_{n}", f"SELECT {CLEAN_COLS} FROM {flagged} WHERE is_target_lang", [flagged])
+    cte(f"{p}_articles", f"""
+SELECT coalesce(b.title, a.title) AS title, a.url, a.source, CASE WHEN b.url IS NULL THEN a.summary ELSE b.summary END AS summary,
+       a.published_at, '{ids[0]}' AS run_id{dates.format(P.RUN1_DATE)}
+FROM {p}_1 a LEFT JOIN {p}_2 b ON a.url = b.url
+UNION ALL
+SELECT title, url, source, summary, published_at, '{ids[1]}'{dates.format(P.RUN2_DATE)}
+FROM {p}_2 WHERE url NOT IN (SELECT url FROM {p}_1)""", [f"{p}_1", f"{p}_2"])
+
+
+runs_at_rest("rp", "SELECT * FROM articles", f"SELECT * REPLACE ('{P.RETITLE}' || title AS title) FROM articles WHERE ord > {MEDIAN}",
+             (P.RUN1, P.RUN2), ", DATE '{}' AS run_date")
+oracle("run_pipeline", "SELECT * FROM rp_articles", ["rp_articles"])
+for _n in ("1", "2"):
+    _tagged = clone("tagged", f"_rp{_n}", {"articles": f"rp_{_n}"})
+    clone("framing", f"_rp{_n}", {"articles": f"rp_{_n}", "mentions": _tagged})
+oracle("run_pipeline_framing", """
+SELECT a.url, f.entity_word, f.framing_phrase, 'ngram_window' AS method_name
+FROM framing_rp1 f JOIN rp_1 a ON a.id = f.article_id WHERE a.url NOT IN (SELECT url FROM rp_2)
+UNION ALL
+SELECT a.url, f.entity_word, f.framing_phrase, 'ngram_window' FROM framing_rp2 f JOIN rp_2 a ON a.id = f.article_id""",
+       ["framing_rp1", "framing_rp2", "rp_1", "rp_2"])
+runs_at_rest("ii", f"SELECT * FROM articles WHERE ord <= {MEDIAN}", f"SELECT * FROM articles WHERE ord > {MEDIAN}",
+             ("batch-00000000", "batch-00000001"), "")
+oracle("incremental_ingest", "SELECT * FROM ii_articles", ["ii_articles"])
+oracle("write_tables", "SELECT * FROM w_upserted", ["w_upserted"])

@@ -38,3 +38,4 @@ RERUN_LANG = "en"
 RERUN_MIN_WORD = 6
 ERROR_REPEAT = 4
 RECENT_N = 5
+RETITLE = "Update: "

@@ -40,29 +40,117 @@ def snapshot(spark, root):
             for t in ("articles", "sentiment_analysis", "named_entity_recognition", "entity_framing")}
 
 
+def status(spark, root):
+    return {r["run_id"]: r["status"] for r in current(spark, root, "pipeline_runs").collect()}
+
+
 def test_rerun_gives_same_tables(spark, res, tmp_path):
     root = str(tmp_path / "tables")
-    out = run_pipeline(spark, articles(spark), root, res, run_id="r1", run_date=dt.date(2024, 1, 1))
+    out = run_pipeline(spark, articles(spark), root, res, run_id="run-9", run_date=dt.date(2024, 1, 1))
     assert out["total_cleaned"] == 2  # row 2 is a copy of row 0, row 1 is French
     first = snapshot(spark, root)
-    run_pipeline(spark, articles(spark), root, res, run_id="r2", run_date=dt.date(2024, 1, 2))
-    assert snapshot(spark, root) == first
-    runs = {r["run_id"]: r["status"] for r in current(spark, root, "pipeline_runs").collect()}
-    assert runs == {"r1": "completed", "r2": "completed"}
+    for run_id in ("run-9", "run-10", "2024-01-02_00-00-00"):  # the same id again, then ids that sort before it as text
+        run_pipeline(spark, articles(spark), root, res, run_id=run_id, run_date=dt.date(2024, 1, 2))
+        assert snapshot(spark, root) == first
+    assert status(spark, root) == dict.fromkeys(("run-9", "run-10", "2024-01-02_00-00-00"), "completed")
+    stats = current(spark, root, "run_statistics").filter("run_id = 'run-9'")
+    assert {r["stage"] for r in stats.collect()} == {"collect", "parse", "clean", "signal"}
+    assert stats.filter("metric_name = 'total_sources'").first()["metric_value"] == 1.0
+
+
+def test_runs_add_up_and_ids_stay(spark, res, tmp_path):
+    root = str(tmp_path / "tables")
+    for n in (9, 10, 11):
+        rows = articles(spark).where(F.col("ord").isin(0, 3)).withColumn("url", F.concat(F.lit(f"http://{n}/"), F.col("ord").cast("string")))
+        rows = rows.withColumn("title", F.concat("title", F.lit(f" {n}")))
+        run_pipeline(spark, rows.drop("id").withColumnRenamed("published_at", "published"), root, res, run_id=f"run-{n}", run_date=dt.date(2024, 1, n))
+    got = current(spark, root, "articles").collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 4, 5, 6] and {r["run_id"] for r in got} == {"run-9", "run-10", "run-11"}
+    assert current(spark, root, "sentiment_analysis").select("article_id").distinct().count() == 6
+
+
+@pytest.mark.parametrize("stage", ["C.clean_pipeline", "W.upsert_rows", "S.analyze_sentiment", "N.tag_entities", "FR.frame_entities"])
+def test_a_failed_run_changes_the_ledger_only(spark, res, tmp_path, monkeypatch, stage):
+    from narrascope.plans import pipeline as PL
+
+    root = str(tmp_path / "tables")
+    store = PL.TableStore(spark, root)
+    # one finished run, written directly: what a failure must leave alone
+    at = store.begin("r1")
+    at.put("articles", spark.createDataFrame([(7, "t", "http://a/0", "s", "x", dt.datetime(2024, 1, 1), "r1", dt.date(2024, 1, 1))], PL.ARTICLES_SCHEMA))
+    at.max_id = 7
+    at.publish()
+    before = sorted(map(str, current(spark, root, "articles").collect()))
+
+    def fail(*_, **__):
+        raise RuntimeError(f"{stage} broke")
+    module, name = stage.split(".")
+    monkeypatch.setattr(getattr(PL, module), name, fail)
+    with pytest.raises(RuntimeError, match="broke"):
+        run_pipeline(spark, articles(spark), root, res, run_id="r2", run_date=dt.date(2024, 1, 2))
+    assert sorted(map(str, current(spark, root, "articles").collect())) == before
+    row = current(spark, root, "pipeline_runs").filter("run_id = 'r2'").first()
+    assert row["status"] == "failed" and "broke" in row["errors"]
+    if stage == "FR.frame_entities":  # a retry goes through and keeps the old id
+        monkeypatch.undo()
+        run_pipeline(spark, articles(spark), root, res, run_id="r2", run_date=dt.date(2024, 1, 2))
+        assert status(spark, root)["r2"] == "completed"
+        assert {r["url"]: r["id"] for r in current(spark, root, "articles").collect()} == {"http://a/0": 7, "http://a/3": 8}
+
+
+def test_bad_rows_are_counted_or_refused(spark, res, tmp_path):
+    root = str(tmp_path / "tables")
+    none = articles(spark).withColumn("url", F.when(F.col("ord") > 0, F.col("url")))
+    run_pipeline(spark, none, root, res, run_id="r1", run_date=dt.date(2024, 1, 1))
+    stats = current(spark, root, "run_statistics").filter("metric_name = 'rejected_no_url'").collect()
+    assert [r["metric_value"] for r in stats] == [1.0]
+    with pytest.raises(ValueError, match="no order"):
+        run_pipeline(spark, none.withColumn("ord", F.when(F.col("ord") > 0, F.col("ord"))), root, res, run_id="r2")
+
+
+def test_deltas_compact_and_latest_wins(spark, tmp_path, monkeypatch):
+    from narrascope.plans import tables as TB
+
+    monkeypatch.setattr(TB, "MAX_DELTAS", 2)
+    store = TB.TableStore(spark, str(tmp_path / "t"))
+    schema = "article_id long, label string"
+    assert store.view("sentiment_analysis") is None
+    for n in range(5):
+        at = store.begin(f"r{n}")
+        keys = spark.createDataFrame([(n,), (n + 1,)], "article_id long")
+        at.put("sentiment_analysis", spark.createDataFrame([(n, f"r{n}")], schema), keys)
+        at.publish()
+        got = {(r["article_id"], r["label"]) for r in store.view("sentiment_analysis").collect()}
+        assert got == {(i, f"r{i}") for i in range(n + 1)}
+    assert len(store.state().tables["sentiment_analysis"]) <= 2
+    late = store.begin("late")
+    other = store.begin("other")
+    for a in (late, other):
+        a.put("sentiment_analysis", spark.createDataFrame([(9, a.run_id)], schema))
+    outcomes = []
+    for a in (late, other):
+        try:
+            a.publish()
+            outcomes.append(a.run_id)
+        except TB.ConcurrentRunError:
+            pass
+    assert store.view("sentiment_analysis").filter("article_id = 9").first()["label"] in outcomes
 
 
 def test_ingest_twice_adds_nothing(spark, res, tmp_path):
+    from narrascope.sources.files import write_jsonl
     from narrascope.streaming.ingest import incremental_ingest
 
     land = tmp_path / "landing"
-    land.mkdir()
-    with open(land / "a.json", "w", encoding="utf-8") as f:
-        for o, t, s, u, src in ROWS:
-            f.write(json.dumps({"title": t, "summary": s, "url": u, "source": src, "ord": o,
-                                "published": "2024-01-01T00:00:00"}) + "\n")
+    write_jsonl(articles(spark).select("title", "url", "summary", F.col("published_at").alias("published"), "source").coalesce(1), str(land / "a"))
+    (land / "a" / "bad.json").write_text("{not json\n")
     root, ck = str(tmp_path / "tables"), str(tmp_path / "ck")
-    incremental_ingest(spark, str(land), root, ck, res)
+    incremental_ingest(spark, str(land / "*"), root, ck, res)
     first = snapshot(spark, root)
-    incremental_ingest(spark, str(land), root, ck, res)
+    incremental_ingest(spark, str(land / "*"), root, ck, res)
+    assert snapshot(spark, root) == first
+    assert len(first["articles"]) == 2  # S4's own files, which carry no order
+    stats = current(spark, root, "run_statistics").filter("metric_name = 'rejected_lines'").collect()
+    assert [r["metric_value"] for r in stats] == [1.0]
+    incremental_ingest(spark, str(land / "*"), root, str(tmp_path / "ck2"), res)  # the whole stream replayed
     assert snapshot(spark, root) == first
-    assert len(first["articles"]) == 2
