@@ -7,6 +7,9 @@ functions, inside one projection); no Python runs per row.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +25,10 @@ WORD_CLASS = r"\p{L}\p{N}_"
 # Tokens the treebank word tokenizer splits in two even without
 # punctuation (fixed values): cannot, gimme, gonna, gotta, lemme, wanna.
 SPLIT_CONTRACTIONS = ("cannot", "gimme", "gonna", "gotta", "lemme", "wanna")
-# Named character references decoded by ``strip_html`` (fixed values).
-HTML_ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "hellip": "…",
-    "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
-    "euro": "€", "middot": "·", "bull": "•", "deg": "°",
-}
+# What windows-1252 has at 128-159; a place it leaves undefined stands for itself.
+CP1252 = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+# Elements whose text does not count (fixed values): script, style, template, and ruby annotations.
+SILENT_ELEMENTS = ("script", "style", "template", "rt", "rp")
 # ---------------------------------------------------------------------------
 
 SENTENCE_MARK = "\u0001"  # control character; removed from tokens by T1
@@ -45,44 +44,64 @@ def remove_images(col) -> Column:
 
 
 def code_point_to_string(n: Column) -> Column:
-    """One code point as a string (``chr`` wraps at 256, so go via UTF-32)."""
+    """One code point as a string (``chr`` wraps at 256, so go via UTF-32); 128-159 as windows-1252."""
     valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     enc = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.when(valid, enc).otherwise(F.lit("�"))
+    return (F.when(n.between(128, 159), F.substr(F.lit(CP1252), n.cast("int") - 127, F.lit(1)))
+            .when(valid, enc).otherwise(F.lit("\ufffd")))
+
+
+def entity_names() -> dict[str, str]:
+    """HTML's named character references, without the semicolon, from the standard library's table."""
+    return {k.rstrip(";"): v for k, v in html.entities.html5.items()}
 
 
 def decode_entities(col) -> Column:
-    """Decode ``&name;``, ``&#NNN;`` and ``&#xHHH;`` references."""
-    names = F.create_map(*[x for k, v in HTML_ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+    """Decode ``&name;``, ``&#NNN;`` and ``&#xHHH;`` references; the semicolon may be missing.
+
+    A name counts only as a whole (up to the next character that is no letter or digit); an unknown one is
+    left alone. The common names are tried before the whole table.
+    """
+    names = entity_names()
+    common = ("amp", "lt", "gt", "quot", "nbsp", "apos")
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
     def piece(p: Column, i: Column) -> Column:
-        dec = F.regexp_extract(p, r"^#([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
-        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        dec = F.regexp_extract(p, "^#([0-9]+)", 1)
+        hexa = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+)", 1)
+        name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*)", 1)
+        known = F.lit(None).cast("string")
+        for n in common:
+            known = F.when(name == n, F.lit(names[n])).otherwise(known)
+        known = F.when(name != "", F.coalesce(known, F.try_element_at(table, name)))
+        rest = lambda taken: F.regexp_replace(p, f"^{taken};?", "")
+        number = lambda x, base: F.coalesce(F.when(F.length(x) <= 12, F.conv(x, base, 10).cast("long")), F.lit(-1).cast("long"))
         return (
             F.when(i == 0, p)
-            .when(dec != "", F.concat(code_point_to_string(dec.cast("int")),
-                                      F.regexp_replace(p, r"^#[0-9]{1,7};", "")))
-            .when(hexa != "", F.concat(code_point_to_string(F.conv(hexa, 16, 10).cast("int")),
-                                       F.regexp_replace(p, r"^#[xX][0-9a-fA-F]{1,6};", "")))
-            .when(F.element_at(names, name).isNotNull(),
-                  F.concat(F.element_at(names, name), F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9]*;", "")))
+            .when(dec != "", F.concat(code_point_to_string(number(dec, 10)), rest("#[0-9]+")))
+            .when(hexa != "", F.concat(code_point_to_string(number(hexa, 16)), rest("#[xX][0-9a-fA-F]+")))
+            .when(known.isNotNull(), F.concat(known, rest("[A-Za-z][A-Za-z0-9]*")))
             .otherwise(F.concat(F.lit("&"), p))
         )
 
-    return F.array_join(F.transform(F.split(_c(col), "&", -1), piece), "")
+    decoded = F.array_join(F.transform(F.split(_c(col), "&", -1), piece), "")
+    return F.when(F.contains(_c(col), F.lit("&")), decoded).otherwise(_c(col))
 
 
 def strip_html(col) -> Column:
     """Text of an HTML fragment, joined with no separator.
 
-    Script, style and comment bodies are dropped (as the pinned parser does),
-    then every tag, then character references are decoded; null gives ''.
+    Comments and the bodies of elements whose text does not count are dropped (as the pinned parser
+    does), then every tag (a quoted attribute value may hold ``>``), then character references are
+    decoded; null gives ''.
     """
     x = F.coalesce(_c(col), F.lit(""))
-    x = F.regexp_replace(x, r"(?is)<script\b.*?(</script\s*>|\z)", "")
-    x = F.regexp_replace(x, r"(?is)<style\b.*?(</style\s*>|\z)", "")
     x = F.regexp_replace(x, r"(?s)<!--.*?(-->|\z)", "")
+    for name in SILENT_ELEMENTS[:2]:
+        x = F.regexp_replace(x, rf"(?is)<{name}\b.*?(</{name}\s*>|\z)", "")
+    for name in SILENT_ELEMENTS[2:]:
+        x = F.regexp_replace(x, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
+    x = F.regexp_replace(x, r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", "")
     x = F.regexp_replace(x, r"<(/?[A-Za-z]|!|\?)[^>]*>", "")
     return decode_entities(x)
 

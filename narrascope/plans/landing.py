@@ -22,33 +22,54 @@ def xml_escape(c) -> F.Column:
     return F.regexp_replace(F.regexp_replace(c, "<", "&lt;"), ">", "&gt;")
 
 
+def feed_format(source) -> F.Column:
+    """0: RSS 2.0, 1: Atom, 2: RSS 1.0, by the number in the source's name."""
+    return F.pmod(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int"), F.lit(3))
+
+
+def landed_date(at, lang, n) -> F.Column:
+    """A date in the forms feeds use, by ``n`` modulo 4; French articles have an unreadable one."""
+    day = lambda t: F.date_format(t, "EEE, dd MMM yyyy HH:mm")
+    k = n % 4
+    return (F.when(lang == "fr", F.lit("sometime"))
+            .when(k == 0, F.concat(day(at), F.lit(":00 +0000")))
+            .when(k == 1, F.concat(day(at), F.lit(":00 GMT")))
+            .when(k == 2, F.concat(day(at - F.expr("INTERVAL 5 HOURS")), F.lit(" EST")))
+            .otherwise(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))))
+
+
 def land_feeds(b: Bindings, root: str):
-    """One RSS document per (source, block of FEED_BLOCK ids); returns (path, feeds list).
+    """One feed per (source, block of FEED_BLOCK ids), RSS 2.0, Atom or RSS 1.0; returns (path, feeds list).
 
-    German articles lose their title element, Spanish ones get a blank link,
-    French ones an unreadable date, and the feeds of ``src0`` are cut in half
-    (malformed).
+    German articles lose their title element, Spanish ones get a blank link, French ones an unreadable
+    date, and the feeds of ``src0`` lack their closing tags (malformed, all text kept).
     """
-    a = b.articles
+    a = b.articles.withColumn("fmt", feed_format(F.col("source")))
     feed = F.concat(F.col("source"), F.lit("-"), F.lpad(F.floor(F.col("id") / FEED_BLOCK).cast("string"), 8, "0"))
-    title = F.when(F.col("lang") == "de", F.lit("")).otherwise(
-        F.concat(F.lit("<title>"), xml_escape(F.col("title")), F.lit("</title>")))
-    link = F.when(F.col("lang") == "es", F.lit("<link> </link>")).otherwise(
-        F.concat(F.lit("<link>"), xml_escape(F.col("url")), F.lit("</link>")))
-    desc = F.concat(F.lit("<description>"),
-                    xml_escape(F.concat(F.lit("<p>"), F.col("summary"), F.lit("<img src=\"a.png\"/></p>"))),
-                    F.lit("</description>"))
-    date = F.when(F.col("lang") == "fr", F.lit("sometime")).otherwise(
-        F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
-    item = F.concat(F.lit("<item>"), title, link, desc, F.lit("<pubDate>"), date, F.lit("</pubDate></item>"))
-    items = a.select(feed.alias("feed"), "id", "source", item.alias("item"))
-    docs = items.groupBy("feed", "source").agg(
+    tag = lambda name, body: F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))
+    atom, rdf = F.col("fmt") == 1, F.col("fmt") == 2
+    title = F.when(F.col("lang") == "de", F.lit("")).otherwise(tag("title", xml_escape(F.col("title"))))
+    url = F.when(F.col("lang") == "es", F.lit(" ")).otherwise(xml_escape(F.col("url")))
+    link = F.when(atom, F.concat(F.lit('<link rel="self" href="https://feed.example/"/><link href="'), url, F.lit('"/>'))).otherwise(tag("link", url))
+    body = xml_escape(F.concat(F.lit("<p>"), F.col("summary"), F.lit("<img src=\"a.png\"/></p>")))
+    desc = F.when(atom, F.concat(F.lit('<summary type="html">'), body, F.lit("</summary>"))).otherwise(tag("description", body))
+    day = landed_date(F.col("published_at"), F.col("lang"), F.col("id"))
+    date = F.when(atom, tag("published", day)).when(rdf, tag("dc:date", day)).otherwise(tag("pubDate", day))
+    inner = F.concat(title, link, desc, date)
+    item = F.when(atom, tag("entry", inner)).otherwise(tag("item", inner))
+    items = a.select(feed.alias("feed"), "id", "source", "fmt", item.alias("item"))
+    docs = items.groupBy("feed", "source", "fmt").agg(
         F.min("id").alias("position"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda s: s["item"]), "")
         .alias("items"))  # at most FEED_BLOCK items per group
-    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>'),
-                   F.col("feed"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>"))
-    xml = F.when(F.col("source") == "src0", F.substring(xml, 1, 200)).otherwise(xml)
+    head = tag("title", F.col("feed"))
+    rss2 = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>'), head, "items")
+    rss2 = F.concat(rss2, F.when(F.col("source") == "src0", F.lit("")).otherwise(F.lit("</channel></rss>")))
+    atoms = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">'), head, "items", F.lit("</feed>"))
+    rdfs = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
+                          'xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'),
+                    head, F.lit("</channel>"), "items", F.lit("</rdf:RDF>"))
+    xml = F.when(atom, atoms).when(rdf, rdfs).otherwise(rss2)
     path = f"{root}/feeds"
     docs.select("feed", xml.alias("value")).write.mode("overwrite").partitionBy("feed").text(path)
     listed = docs.select("feed", "position").unionByName(

@@ -7,11 +7,17 @@ mistake in the array-expression operators does not pass twice.
 
 from __future__ import annotations
 
-from narrascope.functions.text import HTML_ENTITIES, SPLIT_CONTRACTIONS, WORD_CLASS, WS_CLASS
+import html.entities
+
 from narrascope.plans import params as P
 
-WS = WS_CLASS
-W = WORD_CLASS
+# Fixed values, spelled out apart from the operators': Python's white space and word characters, the
+# contractions that split, the code points windows-1252 leaves undefined, and HTML's names.
+WS = (r"\x09-\x0d\x1c-\x1f\x20\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}-\x{2029}\x{202f}\x{205f}\x{3000}")
+W = r"\p{L}\p{N}_"
+CONTRACTIONS = ("cannot", "gimme", "gonna", "gotta", "lemme", "wanna")
+NO_CP1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+CP1252 = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in NO_CP1252}
 
 
 def q(s: str) -> str:
@@ -28,26 +34,35 @@ def sql_norm_ws(x: str) -> str:
 
 
 def sql_decode_entities(x: str) -> str:
-    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in HTML_ENTITIES.items()) + "}"
-    cp = lambda n: (f"(CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
+    table = {}
+    for k, v in html.entities.html5.items():
+        table[k.replace(";", "")] = v
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in table.items()) + "}"
+    low = "MAP {" + ", ".join(f"{n}: {q(v)}" for n, v in CP1252.items()) + "}"
+    cp = lambda n: (f"(CASE WHEN {n} BETWEEN 128 AND 159 AND {low}[{n}] IS NOT NULL THEN {low}[{n}] "
+                    f"WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
                     f"THEN chr(CAST({n} AS INTEGER)) ELSE chr(65533) END)")
-    dec = "regexp_extract(p, '^#([0-9]{1,7});', 1)"
-    hexa = "regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1)"
-    name = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)"
+    dec = "regexp_extract(p, '^#([0-9]+)', 1)"
+    hexa = "regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1)"
+    name = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*)', 1)"
+    big = lambda d, v: f"(CASE WHEN length({d}) <= 12 THEN CAST({v} AS BIGINT) ELSE -1 END)"
     body = (f"CASE WHEN i = 1 THEN p "
-            f"WHEN {dec} <> '' THEN {cp('CAST(' + dec + ' AS BIGINT)')} || regexp_replace(p, '^#[0-9]{{1,7}};', '') "
-            f"WHEN {hexa} <> '' THEN {cp('CAST((' + chr(39) + '0x' + chr(39) + ' || ' + hexa + ') AS BIGINT)')} "
-            f"|| regexp_replace(p, '^#[xX][0-9a-fA-F]{{1,6}};', '') "
-            f"WHEN {names}[{name}] IS NOT NULL THEN {names}[{name}] || regexp_replace(p, '^[A-Za-z][A-Za-z0-9]*;', '') "
+            f"WHEN {dec} <> '' THEN {cp(big(dec, dec))} || regexp_replace(p, '^#[0-9]+;?', '') "
+            f"WHEN {hexa} <> '' THEN {cp(big(hexa, chr(39) + '0x' + chr(39) + ' || ' + hexa))} "
+            f"|| regexp_replace(p, '^#[xX][0-9a-fA-F]+;?', '') "
+            f"WHEN {names}[{name}] IS NOT NULL THEN {names}[{name}] || regexp_replace(p, '^[A-Za-z][A-Za-z0-9]*;?', '') "
             f"ELSE '&' || p END")
     return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {body}), '')"
 
 
 def sql_strip_html(x: str) -> str:
-    y = f"coalesce({x}, '')"
+    y = f"regexp_replace(coalesce({x}, ''), '(?s)<!--.*?(-->|\\z)', '', 'g')"
     y = f"regexp_replace({y}, '(?is)<script\\b.*?(</script\\s*>|\\z)', '', 'g')"
     y = f"regexp_replace({y}, '(?is)<style\\b.*?(</style\\s*>|\\z)', '', 'g')"
-    y = f"regexp_replace({y}, '(?s)<!--.*?(-->|\\z)', '', 'g')"
+    y = f"regexp_replace({y}, '(?is)<template\\b[^>]*>.*?</template\\s*>', '', 'g')"
+    y = f"regexp_replace({y}, '(?is)<rt\\b[^>]*>.*?</rt\\s*>', '', 'g')"
+    y = f"regexp_replace({y}, '(?is)<rp\\b[^>]*>.*?</rp\\s*>', '', 'g')"
+    y = f"regexp_replace({y}, '</?[A-Za-z]([^>\"'']|\"[^\"]*\"|''[^'']*'')*>', '', 'g')"
     y = f"regexp_replace({y}, '<(/?[A-Za-z]|!|\\?)[^>]*>', '', 'g')"
     return sql_decode_entities(y)
 
@@ -66,7 +81,7 @@ def sql_clean_tokens(x: str) -> str:
 
 
 def sql_split_words(x: str) -> str:
-    special = "[" + ", ".join(q(w) for w in SPLIT_CONTRACTIONS) + "]"
+    special = "[" + ", ".join(q(w) for w in CONTRACTIONS) + "]"
     parts = f"list_filter(string_split_regex({x}, '[{WS}]+'), lambda t: t <> '')"
     return (f"flatten(list_transform({parts}, lambda t: CASE WHEN list_contains({special}, lower(t)) "
             f"THEN [substr(t, 1, 3), substr(t, 4, 10)] ELSE [t] END))")

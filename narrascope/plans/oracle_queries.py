@@ -7,7 +7,7 @@ import re
 from narrascope.operators.entities import VALUABLE_ENTITY_GROUPS
 from narrascope.plans import params as P
 from narrascope.plans.oracle import (
-    CTES, RECURSIVE, cte, q, sql_clean_sentences, sql_clean_tokens, sql_norm_ws, sql_normalize_text,
+    CTES, RECURSIVE, WS, cte, q, sql_clean_sentences, sql_clean_tokens, sql_norm_ws, sql_normalize_text,
     sql_split_sentences, sql_strip_html, sql_text, sql_tokenize, with_ctes,
 )
 
@@ -516,3 +516,60 @@ runs_at_rest("ii", f"SELECT * FROM articles WHERE ord <= {MEDIAN}", f"SELECT * F
              ("batch-00000000", "batch-00000001"), "")
 oracle("incremental_ingest", "SELECT * FROM ii_articles", ["ii_articles"])
 oracle("write_tables", "SELECT * FROM w_upserted", ["w_upserted"])
+
+# ------------------------------------------------------------ 2.1 feeds and JSONL
+_CTRL_SQL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
+def _landed(x: str) -> str:
+    """A text as it comes back from XML: control characters as spaces, line ends as LF."""
+    return f"replace(replace(regexp_replace(coalesce({x}, ''), '{_CTRL_SQL}', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+def _esc(x: str) -> str:
+    return f"replace(replace(replace(regexp_replace(coalesce({x}, ''), '{_CTRL_SQL}', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+cte("fd_items", f"""
+SELECT *, source || '-' || lpad(CAST(id // 400 AS VARCHAR), 8, '0') AS feed,
+       CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 3 AS fmt FROM articles""", ["articles"])
+cte("fd_rows", f"""
+SELECT *, min(id) OVER (PARTITION BY feed) AS position FROM fd_items""", ["fd_items"])
+_strip_sql = lambda x: f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+oracle("read_feeds", f"""
+SELECT CASE WHEN lang = 'de' THEN 'No Title' ELSE {_strip_sql(_landed('title'))} END AS title, url,
+       '<p>' || {_landed('summary')} || '</p>' AS summary,
+       CASE WHEN lang <> 'fr' THEN published_at END AS published, feed AS source,
+       row_number() OVER (ORDER BY position, feed, id) - 1 AS ord
+FROM fd_rows WHERE source <> 'src0' AND lang <> 'es'""", ["fd_rows"])
+oracle("feed_rejects", """
+SELECT count(DISTINCT feed) + 1 AS total_sources, count(DISTINCT feed) AS successful, CAST(1 AS BIGINT) AS failed,
+       count(*) FILTER (WHERE source <> 'src0' AND lang <> 'es') AS total_articles FROM fd_items""", ["fd_items"])
+_day = "strftime({}, '%a, %d %b %Y %H:%M')"
+cte("fd_xml", f"""
+SELECT feed, source, fmt, string_agg(
+    CASE WHEN fmt = 1 THEN '<entry>' ELSE '<item>' END ||
+    CASE WHEN lang = 'de' THEN '' ELSE '<title>' || {_esc('title')} || '</title>' END ||
+    CASE WHEN fmt = 1 THEN '<link rel="self" href="https://feed.example/"/><link href="' ELSE '<link>' END ||
+    CASE WHEN lang = 'es' THEN ' ' ELSE {_esc('url')} END || CASE WHEN fmt = 1 THEN '"/>' ELSE '</link>' END ||
+    CASE WHEN fmt = 1 THEN '<summary type="html">' ELSE '<description>' END ||
+    {_esc("'<p>' || summary || '<img src=\"a.png\"/></p>'")} ||
+    CASE WHEN fmt = 1 THEN '</summary>' ELSE '</description>' END ||
+    CASE fmt WHEN 1 THEN '<published>' WHEN 2 THEN '<dc:date>' ELSE '<pubDate>' END ||
+    CASE WHEN lang = 'fr' THEN 'sometime' WHEN id % 4 = 0 THEN {_day.format('published_at')} || ':00 +0000'
+         WHEN id % 4 = 1 THEN {_day.format('published_at')} || ':00 GMT'
+         WHEN id % 4 = 2 THEN {_day.format('published_at - INTERVAL 5 HOUR')} || ' EST'
+         ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S') || 'Z' END ||
+    CASE fmt WHEN 1 THEN '</published></entry>' WHEN 2 THEN '</dc:date></item>' ELSE '</pubDate></item>' END, '' ORDER BY id) AS items
+FROM fd_items GROUP BY feed, source, fmt""", ["fd_items"])
+oracle("archive_raw", f"""
+SELECT '{P.RUN1}' AS run_id, feed AS source, CAST(strlen('<?xml version="1.0" encoding="UTF-8"?>' || CASE fmt
+    WHEN 1 THEN '<feed xmlns="http://www.w3.org/2005/Atom"><title>' || feed || '</title>' || items || '</feed>'
+    WHEN 2 THEN '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+                || 'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>' || feed || '</title></channel>' || items || '</rdf:RDF>'
+    ELSE '<rss version="2.0"><channel><title>' || feed || '</title>' || items || '</channel></rss>' END || chr(10)) AS INTEGER) AS bytes
+FROM fd_xml WHERE source <> 'src0'""", ["fd_xml"])
+oracle("write_jsonl", """
+SELECT CAST(json_object('title', title, 'url', url, 'summary', summary,
+            'published', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), 'source', source) AS VARCHAR) AS value FROM articles""",
+       ["articles"])

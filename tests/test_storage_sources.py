@@ -110,3 +110,36 @@ def test_update_runs_latest_wins_and_unknown_run_is_noop(spark):
     assert (r["collect_completed"], r["clean_completed"], r["total_fetched"], r["status"], r["errors"]) == \
         (True, False, 7, "failed", "boom")
     assert r["completed_at"] == t + dt.timedelta(minutes=2)
+
+
+def test_feed_dates(spark):
+    import datetime as dt
+
+    from narrascope.sources.feeds import parse_date
+
+    at = dt.datetime(2024, 1, 1, 10, 0)
+    forms = {"Mon, 01 Jan 2024 10:00:00 GMT": at, "Mon, 01 Jan 2024 10:00:00 +0000": at, "1 Jan 2024 05:00 EST": at, "Monday, 01 January 2024 12:00:00 +0200": at,
+             "01 Jan 24 10:00:00 UT": at, "01 Jan 99 10:00 Z": at.replace(year=1999), "2024-01-01T10:00:00Z": at, "2024-01-01T12:00:00+02:00": at,
+             "2024-01-01T10:00": at, "2024-01-01": at.replace(hour=0), "  01-Jan-2024 03:00:00 PDT ": at, "sometime": None, "": None, None: None, "32 Jan 2024 10:00": None}
+    df = spark.createDataFrame([(k,) for k in forms], "s string").select("s", parse_date(F.col("s")).alias("d"))
+    assert {r["s"]: r["d"] for r in df.collect()} == forms
+
+
+def test_feed_formats_and_broken_feeds(spark, tmp_path):
+    from narrascope.sources import feeds as SF
+
+    rss1 = ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">'
+            "<channel><title>c</title></channel><item><title>One</title><link>http://1/</link><description>d &lt;img src='x'&gt;</description><dc:date>2024-01-01T10:00:00Z</dc:date></item></rdf:RDF>")
+    atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><entry><title type="text"> Two </title><link rel="self" href="http://no/"/>'
+            '<link rel="alternate" href="http://2/"/><content type="html">body</content><updated>2024-01-01T10:00:00Z</updated></entry><entry><title>no link</title></entry></feed>')
+    docs = {"a": rss1, "b": atom, "c": "<rss><channel><item><link>http://3/</link></item>", "d": "<html><body>hi</body></html>"}
+    for n, x in docs.items():
+        (tmp_path / f"feed={n}").mkdir()
+        (tmp_path / f"feed={n}" / "f.xml").write_text(x)
+    listed = spark.createDataFrame([("a", 5), ("b", 5), ("c", 1), ("d", 2), ("gone", 3)], "feed string, position long")
+    got = [tuple(r) for r in SF.read_feeds(spark, str(tmp_path), listed).orderBy("ord").collect()]
+    assert [(g[0], g[1], g[2], str(g[3]), g[4], g[5]) for g in got] == [
+        ("One", "http://1/", "d ", "2024-01-01 10:00:00", "a", 0), ("Two", "http://2/", "body", "2024-01-01 10:00:00", "b", 1)]
+    assert tuple(SF.feed_stats(spark, str(tmp_path), listed).first()) == (5, 4, 1, 2)
+    out = SF.archive_raw(spark, str(tmp_path), str(tmp_path / "out"), "r")
+    assert {r["source"] for r in spark.read.parquet(out).collect()} == {"a", "b", "d"}

@@ -47,3 +47,14 @@ def test_prefix_sum_matches_running_total(spark):
     df = spark.createDataFrame(rows, "a array<int>")
     for (a,), (got,) in zip(rows, df.select(prefix_sum(F.col("a"))).collect()):
         assert got == list(itertools.accumulate(a))
+
+
+def test_strip_html_pairs(spark):
+    """Fixed pairs, spelled out."""
+    pairs = [("caf&eacute; &uuml;ber &ntilde; &Omega;", "café über ñ Ω"), ('<a title="x>y">t</a>u', "tu"), ("<b data-x='>'>k</b>", "k"),
+             ("a<template><p>no</p></template>b", "ab"), ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢"),
+             ("&copy 2020 &notaname; &amp;lt; &", "© 2020 &notaname; &lt; &"), ("&#150;&#x80;&#0;&#1114112;&#99999999999999;", "–€\ufffd\ufffd\ufffd"),
+             ("x < y && z > 1", "x < y && z > 1"), ("<p " + "a='1' " * 3000 + ">deep</p>", "deep"), (None, "")]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pairs)], "i int, s string")
+    got = {r["i"]: r["r"] for r in rows.select("i", X.strip_html("s").alias("r")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [t for _, t in pairs]
