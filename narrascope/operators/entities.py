@@ -1,10 +1,9 @@
 """Entity mentions.
 
-N1a tags mentions by matching word n-grams against a gazetteer table: the
-n-grams of each article are produced in one projection, joined to the
-gazetteer (broadcast when its size is proven small, else a shuffle join), and
-only the matches - a small fraction of the n-grams - are shuffled by article
-to drop a match lying strictly inside a longer one.
+N1a tags mentions by a gazetteer table. Each token of an article is one row; the join is on the first
+token of a name (broadcast if the table is measured to be small, else with hot tokens spread), so
+only tokens that begin some name survive, and only for those the rest of the name is compared. The few
+hits are shuffled by article to drop a match lying strictly inside a longer one.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 
 from narrascope.functions import text as X
 from narrascope.functions.arrays import prefix_sum
-from narrascope.operators.util import sized_broadcast
+from narrascope.operators.util import join_on_hot_key
 
 NER_MAX_CHARS = 2000
 GAZETTEER_METHOD = "gazetteer"
@@ -38,12 +37,12 @@ _PIECE = f"[^{X.WORD_CLASS}]*[{X.WORD_CLASS}]+"
 
 
 def prepare_gazetteer(gazetteer: DataFrame) -> DataFrame:
-    """One entry per lowered word: (key, entity_group, score, ntok)."""
+    """One entry per lowered word: (key, first token, entity_group, score, ntok)."""
     g = gazetteer.select(F.lower("word").alias("key"), "entity_group", F.col("score").cast("double"))
     best = g.groupBy("key").agg(F.max(F.struct("score", "entity_group")).alias("b"))
-    ntok = F.size(F.regexp_extract_all(F.col("key"), F.lit(f"[{X.WORD_CLASS}]+"), 0))
-    return best.select("key", F.col("b.entity_group").alias("entity_group"),
-                       F.col("b.score").alias("score"), ntok.alias("ntok"))
+    toks = F.regexp_extract_all(F.col("key"), F.lit(f"[{X.WORD_CLASS}]+"), 0)
+    return best.select("key", F.get(toks, F.lit(0)).alias("first"), F.col("b.entity_group").alias("entity_group"),
+                       F.col("b.score").alias("score"), F.size(toks).alias("ntok"))
 
 
 def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
@@ -60,7 +59,6 @@ def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
     max_n = gz.agg(F.max("ntok")).first()[0] or 0
     if max_n == 0:
         return articles.sparkSession.createDataFrame([], MENTION_SCHEMA)
-    gz = sized_broadcast(gz)
 
     text = X.article_text("title", "summary", ". ")
     if max_chars:
@@ -71,26 +69,17 @@ def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
                        F.regexp_extract_all("text", F.lit(f"[{X.WORD_CLASS}]+"), 0).alias("toks"))
     # end offset of every token = running length of the pieces (linear scan)
     ends = prefix_sum(F.transform("pieces", lambda p: F.length(p)))
-    base = base.select("article_id", "pieces", F.transform(
-        F.arrays_zip(F.col("toks").alias("t"), ends.alias("e")),
-        lambda z: F.struct((z["e"] - F.length(z["t"])).cast("int").alias("s"), z["e"].cast("int").alias("e"),
-                           z["t"].alias("t"))).alias("spans"))
-    size = F.size("spans")
-    # surface of tokens i..i+n-1 = token i + the pieces (separator + token) after it;
-    # built from the pieces, never by substring() of the text (O(offset) on UTF-8)
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_n), size - i + 1)),
-            lambda n: F.struct(F.element_at("spans", i)["s"].alias("start"),
-                               F.element_at("spans", i + n - 1)["e"].alias("end"),
-                               F.concat(F.element_at("spans", i)["t"],
-                                        F.array_join(F.slice("pieces", i + 1, n - 1), "")).alias("word")))))
-    cand = (base.where(size > 0)
-            .select("article_id", F.explode(grams).alias("g"))
-            .select("article_id", F.col("g.start").alias("start_char"), F.col("g.end").alias("end_char"),
-                    F.col("g.word").alias("word")))
-    hits = cand.join(gz, F.lower(cand["word"]) == gz["key"], "inner").drop("key", "ntok")
+    # a row per token: itself, where it ends, and the pieces a name of several tokens may take after it
+    more = F.transform(F.col("pieces"), lambda _, i: F.slice("pieces", i + 2, max_n - 1)) if max_n > 1 else F.transform(F.col("pieces"), lambda _: F.lit(None).cast("array<string>"))
+    cand = base.select("article_id", F.explode(F.arrays_zip(F.col("toks").alias("t"), ends.alias("e"), more.alias("more"))).alias("g"))
+    cand = cand.select("article_id", F.col("g.t").alias("tok"), F.col("g.e").cast("int").alias("e"), F.col("g.more").alias("more"),
+                       F.lower("g.t").alias("first"))
+    hits = join_on_hot_key(cand, gz, "first")
+    tail = F.array_join(F.slice(F.coalesce("more", F.array().cast("array<string>")), F.lit(1), F.col("ntok") - 1), "")
+    word = F.when(F.col("ntok") == 1, F.col("tok")).otherwise(F.concat("tok", tail))
+    start = F.col("e") - F.length("tok")
+    hits = (hits.withColumn("word", word).where(F.lower("word") == F.col("key"))
+            .select("article_id", "entity_group", "word", "score", start.alias("start_char"), (start + F.length("word")).alias("end_char")))
     # drop a match that lies strictly inside a longer one of the same article
     w = (Window.partitionBy("article_id").orderBy(F.asc("start_char"), F.desc("end_char"))
          .rowsBetween(Window.unboundedPreceding, -1))
@@ -111,13 +100,14 @@ MENTION_SCHEMA = T.StructType([
 ])
 
 
-def tag_entities_model(articles: DataFrame, predict_fn: Callable[[str], Iterable[dict]],
-                       method: str, id_col: str = "id", max_chars: int | None = None) -> DataFrame:
-    """Any user model, applied per Arrow batch with ``mapInPandas``.
+def tag_entities_model(articles: DataFrame, factory: Callable[[], Callable[[list[str]], list]],
+                       method: str, id_col: str = "id", max_chars: int | None = None, batch_size: int = 64) -> DataFrame:
+    """Any user model, loaded once per partition and applied by batch (``mapInPandas``).
 
-    ``predict_fn(text) -> iterable of dicts`` (keys entity_group, word, score,
-    start, end, any may be missing). A failure on one article gives an empty
-    list for it, as in the reference. Output: article_id, method, entities.
+    ``factory()`` returns a model; ``model(texts)`` returns, per text, an iterable of dicts (keys
+    entity_group, word, score, start, end, any may be missing). A batch that fails is tried text by text;
+    a text that fails gives an empty list, as in the reference, and ``failed`` 1, so failures can be counted.
+    Output: article_id, method, entities, failed.
     """
     text = X.article_text("title", "summary", ". ")
     if max_chars:
@@ -125,18 +115,31 @@ def tag_entities_model(articles: DataFrame, predict_fn: Callable[[str], Iterable
     src = articles.select(F.col(id_col).alias("article_id"), text.alias("text"))
     out_schema = T.StructType([T.StructField("article_id", T.LongType()),
                                T.StructField("method", T.StringType()),
-                               T.StructField("entities", ENTITIES_TYPE)])
+                               T.StructField("entities", ENTITIES_TYPE),
+                               T.StructField("failed", T.IntegerType())])
+
+    def plain(entities) -> list[dict]:
+        return [{k: e.get(k) for k in ENTITY_STRUCT.names} for e in entities]
+
+    def predict(model, texts: list[str]) -> list[tuple[list, int]]:
+        try:
+            found = [plain(e) for e in model(texts)]
+            if len(found) != len(texts):
+                raise ValueError("the model returned another number of results")
+            return [(e, 0) for e in found]
+        except Exception:  # the model is the user's: any failure is this article's, and counted
+            if len(texts) == 1:
+                return [([], 1)]
+            return [r for t in texts for r in predict(model, [t])]
 
     def run(batches):
+        model = None
         for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                try:
-                    ents = [{k: e.get(k) for k in ENTITY_STRUCT.names} for e in predict_fn(t or "")]
-                except Exception:
-                    ents = []
-                rows.append(ents)
-            yield pd.DataFrame({"article_id": pdf["article_id"], "method": method, "entities": rows})
+            model = model or factory()
+            texts = [t or "" for t in pdf["text"]]
+            rows = [r for i in range(0, len(texts), batch_size) for r in predict(model, texts[i:i + batch_size])]
+            yield pd.DataFrame({"article_id": pdf["article_id"], "method": method, "entities": [r[0] for r in rows],
+                                "failed": [r[1] for r in rows]})
 
     return src.mapInPandas(run, out_schema)
 

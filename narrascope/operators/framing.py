@@ -10,15 +10,23 @@ entity.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
+from narrascope.operators.util import cut_lineage, join_on_hot_key
 
 WINDOW = 7
 METHOD = "ngram_window"
 MIN_TOKENS, MAX_TOKENS, EDGE_TOKENS = 2, 8, 6
-STOPWORDS_MAX = 100_000
+#: a stopword list of up to this many words travels as a literal; a longer one is joined
+LITERAL_WORDS = 4096
+#: distinct phrases of one article and entity that are compared inside the row; more are split over tasks
+ROW_PHRASES = 64
+#: entries that share a prefix and are sorted in one task; more are split by a longer prefix
+GROUP_ROWS = 200_000
 _ENT = "\u0001"
 _SEP = "\u0002"
 
@@ -32,21 +40,29 @@ def _bind(value: Column, body) -> Column:
     return F.flatten(F.transform(F.array(value), body))
 
 
-def stopword_array(stopwords: DataFrame) -> Column:
-    """The stopword table as an array literal (bounded: a stopword list, checked)."""
-    words = [r[0] for r in stopwords.select(F.lower(F.trim("word"))).distinct()
-             .limit(STOPWORDS_MAX + 1).collect() if r[0]]
-    if len(words) > STOPWORDS_MAX:
-        raise ValueError(f"stopword list above {STOPWORDS_MAX} words")
-    return F.lit(sorted(words)).cast("array<string>")
-
+def with_sentences(articles: DataFrame, stopwords: DataFrame, keep: list[str]) -> DataFrame:
+    """F0 + F1 once per article: ``keep`` and ``sents``, array<struct<s: lowered sentence, t: tokens, ns: non-stop tokens>>.
 
-def sentence_structs(text: Column, stop: Column) -> Column:
-    """F0 + F1 once per article: array<struct<s: lowered sentence, t: tokens, ns: non-stop tokens>>."""
-    sents = X.split_sentences(X.clean_for_sentences(text))
-    return F.flatten(F.transform(sents, lambda s: _bind(
-        X.word_tokens_lower(s),
-        lambda t: F.array(F.named_struct(F.lit("s"), s, F.lit("t"), t, F.lit("ns"), F.array_except(t, stop))))))
+    The stopword list is met once per article, by its distinct tokens; each sentence then only meets the
+    stopwords that the article has.
+    """
+    plain = F.transform(X.split_sentences(X.clean_for_sentences(F.col("text"))),
+                        lambda s: F.struct(s.alias("s"), X.word_tokens_lower(s).alias("t")))
+    a = articles.select(*keep, plain.alias("_sents"))
+    tokens = F.array_distinct(F.flatten(F.transform("_sents", lambda s: s["t"])))
+    words = stopwords.select(F.lower(F.trim("word")).alias("w")).where("w <> ''").distinct()
+    listed = [r[0] for r in words.limit(LITERAL_WORDS + 1).collect()]
+    if len(listed) <= LITERAL_WORDS:
+        stop = F.array_intersect(tokens, F.lit(sorted(listed)).cast("array<string>"))
+    else:
+        a = cut_lineage(a.withColumn("_row", F.monotonically_increasing_id()))
+        own = join_on_hot_key(a.select("_row", F.explode(tokens).alias("w")), words, "w", "left_semi")
+        own = own.groupBy("_row").agg(F.collect_set("w").alias("_stop"))
+        a = a.join(own, "_row", "left")
+        stop = F.coalesce("_stop", _empty_str_array())
+    # bound: a column used inside a lambda may be computed again for every sentence
+    return a.select(*keep, _bind(stop, lambda st: F.transform("_sents", lambda s: F.struct(
+        s["s"].alias("s"), s["t"].alias("t"), F.array_except(s["t"], st).alias("ns")))).alias("sents"))
 
 
 def entity_tokens(entity: Column) -> Column:
@@ -113,39 +129,49 @@ def sentence_candidates(sent: Column, etoks: Column, size: int = WINDOW) -> Colu
         lambda seg: phrase_rule(trim_stopwords(seg, ns))))))
 
 
-def entity_phrases(sents: Column, entity: Column, size: int = WINDOW) -> Column:
-    """F3-F8 for one entity over an article's sentence structs."""
+def entity_candidates(sents: Column, entity: Column, size: int = WINDOW) -> Column:
+    """F3-F7 for one entity over an article's sentence structs: the distinct candidate phrases."""
     el = F.lower(entity)
-    return _bind(entity_tokens(entity), lambda et: F.array(maximal_phrases(F.flatten(F.transform(
+    return _bind(entity_tokens(entity), lambda et: F.array(F.array_distinct(F.flatten(F.transform(
         F.filter(sents, lambda s: s["s"].contains(el)),
         lambda s: sentence_candidates(s, et, size)))))).getItem(0)
 
 
+def maximal_by_group(rows: DataFrame, keys: list[str], phrases: str) -> DataFrame:
+    """F8 for rows of ``keys`` and an array of distinct phrases: one row per maximal phrase.
+
+    Short lists are compared inside the row; a long one (an article that repeats its entity) would be
+    quadratic there, so its phrases become rows and are sorted by suffix like the corpus's.
+    """
+    rows = cut_lineage(rows)
+    few = rows.where(F.size(phrases) <= ROW_PHRASES).select(*keys, F.explode(maximal_phrases(F.col(phrases))).alias("phrase"))
+    many = rows.where(F.size(phrases) > ROW_PHRASES).select(*keys, F.explode(phrases).alias("phrase"))
+    if many.isEmpty():
+        return few
+    return few.unionByName(corpus_maximal(many, keys=keys))
+
+
 def frame_entities(articles: DataFrame, targets: DataFrame, stopwords: DataFrame,
                    size: int = WINDOW, id_col: str = "id") -> DataFrame:
     """(article_id, entity_word, framing_phrase, method_name) for every target."""
-    stop = stopword_array(stopwords)
     per_article = targets.groupBy("article_id").agg(F.collect_set("entity_word").alias("ents"))
     a = articles.select(F.col(id_col).alias("article_id"), X.article_text("title", "summary", ". ").alias("text"))
-    j = a.join(per_article, "article_id")
-    j = j.select("article_id", "ents", sentence_structs(F.col("text"), stop).alias("sents"))
+    j = with_sentences(a.join(per_article, "article_id"), stopwords, ["article_id", "ents"])
     out = j.select("article_id", F.explode(F.transform(
-        "ents", lambda e: F.struct(e.alias("entity_word"), entity_phrases(F.col("sents"), e, size).alias("ph"))
-    )).alias("x"))
-    return out.select("article_id", F.col("x.entity_word").alias("entity_word"),
-                      F.explode("x.ph").alias("framing_phrase"), F.lit(METHOD).alias("method_name"))
+        "ents", lambda e: F.struct(e.alias("entity_word"), entity_candidates(F.col("sents"), e, size).alias("ph"))
+    )).alias("x")).select("article_id", "x.entity_word", "x.ph").where(F.size("ph") > 0)
+    return (maximal_by_group(out, ["article_id", "entity_word"], "ph")
+            .select("article_id", "entity_word", F.col("phrase").alias("framing_phrase"), F.lit(METHOD).alias("method_name")))
 
 
 # ---------------------------------------------------------------- step views
 def occurrences(articles: DataFrame, targets: DataFrame, stopwords: DataFrame,
                 id_col: str = "id") -> DataFrame:
     """F3 rows: (article_id, entity_word, sent_idx, start) plus the sentence arrays for later steps."""
-    stop = stopword_array(stopwords)
     per_article = targets.groupBy("article_id").agg(F.collect_set("entity_word").alias("ents"))
     a = articles.select(F.col(id_col).alias("article_id"), X.article_text("title", "summary", ". ").alias("text"))
-    j = a.join(per_article, "article_id")
     # sentences once per article, in their own projection below the explode
-    j = j.select("article_id", "ents", sentence_structs(F.col("text"), stop).alias("sents"))
+    j = with_sentences(a.join(per_article, "article_id"), stopwords, ["article_id", "ents"])
     j = j.select("article_id", "sents", F.explode("ents").alias("entity_word"))
     j = j.select("article_id", "entity_word", F.posexplode("sents").alias("sent_idx", "st"))
     j = j.where(F.col("st.s").contains(F.lower("entity_word")))
@@ -177,55 +203,75 @@ def candidates(tr: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- corpus
 def article_phrases_for(articles: DataFrame, entity: str, stopwords: DataFrame,
                         size: int = WINDOW, id_col: str = "id") -> DataFrame:
-    """Per article, the maximal phrases for one entity: (article_id, url, phrase)."""
-    stop = stopword_array(stopwords)
+    """Per article, the maximal phrases for one entity: (article_id, url, phrase), written once."""
     a = articles.select(F.col(id_col).alias("article_id"), "url",
                         X.article_text("title", "summary", ". ").alias("text"))
     # cheap exact gate before any sentence work: every sentence is a piece of
     # the F0-cleaned text, so a sentence holding the entity implies this
     a = a.where(X.clean_for_sentences(F.col("text")).contains(entity.lower()))
-    ph = entity_phrases(sentence_structs(F.col("text"), stop), F.lit(entity), size)
-    return a.select("article_id", "url", F.explode(ph).alias("phrase"))
+    a = with_sentences(a, stopwords, ["article_id", "url"])
+    ph = a.select("article_id", "url", entity_candidates(F.col("sents"), F.lit(entity), size).alias("ph")).where(F.size("ph") > 0)
+    return cut_lineage(maximal_by_group(ph, ["article_id", "url"], "ph"))
 
 
-def corpus_maximal(phrases: DataFrame, col: str = "phrase", key_len: int = 8) -> DataFrame:
-    """keep the rows whose phrase is no character substring of another distinct phrase.
+def corpus_maximal(phrases: DataFrame, col: str = "phrase", key_len: int = 8, keys: list[str] | None = None,
+                   group_rows: int | None = None) -> DataFrame:
+    """keep the rows whose phrase is no character substring of another distinct phrase of its group.
 
-    Every suffix of every distinct phrase is listed once (its own full string
-    marked ``self``). A phrase ``p`` lies inside another exactly when some
-    other entry starts with ``p``:
+    ``keys`` name the group (none: the whole table). Every suffix of every distinct phrase is listed once (its
+    own full string marked ``self``). A phrase lies inside another exactly when some other entry starts
+    with it. Entries are handled by prefix length, ``key_len`` first:
 
-    * ``p`` shorter than ``key_len``: each suffix emits its prefixes of those
-      lengths and a ``groupBy(prefix).count()`` (partial aggregation, so a hot
-      prefix costs one row per partition) finds ``p`` twice or more;
-    * longer ``p``: suffixes sorted within a ``key_len``-character prefix key;
-      the entries starting with ``p`` follow it directly, so the next entry is
-      tested (``lead``).
+    * phrases shorter than the length: entries emit their prefixes of the lengths such phrases have, are
+      joined to those phrases, and counted (a partial aggregation);
+    * longer ones: entries with the same prefix are sorted, and the entries starting with a phrase
+      follow it directly, so the next one is tested (``lead``);
+    * a prefix shared by more than ``GROUP_ROWS`` entries is not sorted in one task: its entries go round
+      again with the length doubled. Lengths are bounded by the longest phrase, so this ends.
 
     No pair of phrases is ever emitted and no nested-loop join is planned.
     """
-    d = phrases.select(F.col(col).alias("p")).distinct()
-    shortest = d.agg(F.min(F.length("p"))).first()[0]
-    if shortest is None:
+    keys = keys or []
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    same = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
+    d = cut_lineage(phrases.select(*keys, F.col(col).alias("p")).distinct())
+    if d.isEmpty():
         return phrases
-    lo = max(1, shortest)
-    suf = d.select("p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p"), F.lit(1)))).alias("pos"))
-    suf = suf.select("p", F.expr("substring(p, pos)").alias("s"), (F.col("pos") == 1).alias("self"))
-    suf = suf.where(F.length("s") >= lo)  # a shorter suffix cannot hold any phrase
-    # short phrases: exact prefix counts
-    pref = suf.select(F.explode(F.sequence(F.lit(lo), F.least(F.lit(key_len - 1), F.length("s")))).alias("n"), "s")
-    counts = (pref.where(F.col("n") >= lo).select(F.expr("substring(s, 1, n)").alias("key"))
-              .groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= 2))
-    short = d.where(F.length("p") < key_len)
-    inside_short = short.join(counts, short["p"] == counts["key"], "left_semi")
-    # long phrases: sorted suffixes within a key_len prefix
-    longs = suf.where(F.length("s") >= key_len)
-    w = Window.partitionBy(F.substring("s", 1, key_len)).orderBy(F.asc("s"), F.desc("self"))
-    flagged = longs.select("p", "s", "self", F.lead("s").over(w).alias("nxt"))
-    inside_long = flagged.where(F.col("self") & F.col("nxt").isNotNull()
-                                & (F.substring("nxt", 1, F.length("s")) == F.col("s"))).select("p")
-    inside = inside_short.unionByName(inside_long)
-    return phrases.join(inside, phrases[col] == inside["p"], "left_anti")
+    suf = d.select(*keys, "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p"), F.lit(1)))).alias("pos"))
+    suf = suf.select(*keys, "p", F.expr("substring(p, pos)").alias("s"), (F.col("pos") == 1).alias("self"))
+    inside = []
+    while True:
+        short = d.where(F.length("p") < key_len)
+        lengths = sorted(r[0] for r in short.select(F.length("p")).distinct().collect())  # fewer than key_len of them
+        if lengths:
+            n = F.explode(F.filter(F.lit(lengths), lambda x: x <= F.length("s")))
+            pref = suf.select(*keys, n.alias("n"), "s").select(*keys, F.expr("substring(s, 1, n)").alias("p"))
+            tagged = short.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p").alias("_p"))
+            hit = pref.join(tagged, [*same(pref, tagged), pref["p"] == tagged["_p"]], "left_semi")
+            inside.append(hit.groupBy(*keys, "p").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+        longs = suf.where(F.length("s") >= key_len).withColumn("key", F.substring("s", 1, key_len))
+        big = cut_lineage(longs.groupBy(*keys, "key").agg(F.count("*").alias("c")).where(F.col("c") > limit).drop("c"))
+        hot = big.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("key").alias("_key"))
+        is_hot = [*same(longs, hot), longs["key"] == hot["_key"]]
+        plain = longs if big.isEmpty() else longs.join(hot, is_hot, "left_anti")
+        w = Window.partitionBy(*keys, "key").orderBy(F.asc("s"), F.desc("self"))
+        flagged = plain.select(*keys, "p", "s", "self", F.lead("s").over(w).alias("nxt"))
+        inside.append(flagged.where(F.col("self") & F.col("nxt").isNotNull()
+                                    & (F.substring("nxt", 1, F.length("s")) == F.col("s"))).select(*keys, "p"))
+        if big.isEmpty():
+            break
+        suf = cut_lineage(longs.join(hot, is_hot, "left_semi").drop("key"))
+        d = suf.where("self").select(*keys, "p")
+        key_len *= 2
+    gone = reduce(DataFrame.unionByName, inside).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p").alias("_p"))
+    return phrases.join(gone, [*same(phrases, gone), phrases[col] == gone["_p"]], "left_anti")
+
+
+def _counted(ap: DataFrame) -> DataFrame:
+    agg = ap.groupBy("phrase").agg(
+        F.count("*").alias("count"),
+        F.count_distinct(F.when(F.col("url") != "", F.col("url"))).alias("n_sources"))
+    return corpus_maximal(cut_lineage(agg)).where(F.col("count") > 1)
 
 
 def corpus_phrases(articles: DataFrame, entity: str, stopwords: DataFrame, size: int = WINDOW,
@@ -237,17 +283,12 @@ def corpus_phrases(articles: DataFrame, entity: str, stopwords: DataFrame, size:
     never one unbounded array per phrase).
     """
     ap = article_phrases_for(articles, entity, stopwords, size, id_col)
-    agg = ap.groupBy("phrase").agg(
-        F.count("*").alias("count"),
-        F.count_distinct(F.when(F.col("url") != "", F.col("url"))).alias("n_sources"))
-    kept = corpus_maximal(agg)
-    return kept.where(F.col("count") > 1).orderBy(F.desc("count"), F.asc("phrase"))
+    return _counted(ap).orderBy(F.desc("count"), F.asc("phrase"))
 
 
 def corpus_phrase_sources(articles: DataFrame, entity: str, stopwords: DataFrame, size: int = WINDOW,
                           id_col: str = "id") -> DataFrame:
     """F10 sources: distinct (phrase, url) of the phrases kept by ``corpus_phrases``."""
     ap = article_phrases_for(articles, entity, stopwords, size, id_col)
-    kept = corpus_phrases(articles, entity, stopwords, size, id_col).select("phrase")
     return (ap.where(F.col("url").isNotNull() & (F.col("url") != ""))
-            .join(kept, "phrase", "left_semi").select("phrase", "url").distinct())
+            .join(_counted(ap).select("phrase"), "phrase", "left_semi").select("phrase", "url").distinct())

@@ -2,7 +2,7 @@
 
 Training explodes the n-grams of a labelled table and counts them per
 language (a partial aggregation); scoring explodes the n-grams of each text,
-joins them to the profile table (broadcast only behind a size check) and
+joins them to the profile table (broadcast only behind a check of its bytes) and
 sums per (text, language). Log-probabilities are scaled to integers, so the
 sums are exact and the chosen language does not depend on summation order.
 
@@ -19,26 +19,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrascope.operators.util import cut_lineage, sized_broadcast
+from narrascope.operators.util import cut_lineage, fits_broadcast, join_on_hot_key
 
 NGRAM = 3
 SCALE = 1_000_000
 MIN_LENGTH = 20
 
 
-def char_ngrams(text: Column, n: int = NGRAM, prefix: int | None = None) -> Column:
-    """Lowered character n-grams of the whole text (or its first ``prefix`` characters), with repeats."""
+def char_ngrams(text: Column, n: int = NGRAM) -> Column:
+    """Lowered character n-grams of the whole text, with repeats."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    if prefix:
-        t = F.substring(t, 1, prefix)
     # One native regex pass: a capturing lookahead yields every overlapping
     # n-gram of code points (substring() per position would be O(n^2) on UTF-8).
     return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
-MAX_LANGUAGES = 1000
-
-
 @dataclass
 class LanguageModel:
     grams: DataFrame   # (lang, gram, delta): scaled log(count + 1)
@@ -48,10 +43,8 @@ class LanguageModel:
     def wide(self):
         """(language constants, profile with one row per gram and an array of deltas, null where unseen)."""
         if self._wide is None:
-            consts = sorted((r["lang"], r["base"], r["prior"]) for r in
-                            self.langs.limit(MAX_LANGUAGES + 1).collect())  # one row per language
-            if len(consts) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
+            # one row per language of the labelled table; a profile row holds a number for each
+            consts = sorted((r["lang"], r["base"], r["prior"]) for r in self.langs.collect())
             names = [c[0] for c in consts]
             g = self.grams.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "delta"))).alias("m"))
             prof = g.select("gram", F.array(*[F.col("m")[x] for x in names]).alias("d"))
@@ -60,9 +53,9 @@ class LanguageModel:
 
 
 def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                         n: int = NGRAM, prefix: int | None = None) -> LanguageModel:
+                         n: int = NGRAM) -> LanguageModel:
     docs = labelled.where(F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), char_ngrams(F.col(text_col), n, prefix).alias("g"))
+        F.col(lang_col).alias("lang"), char_ngrams(F.col(text_col), n).alias("g"))
     counts = cut_lineage(docs.select("lang", F.explode("g").alias("gram"))
                          .groupBy("lang", "gram").agg(F.count("*").alias("c")))
     vocab = counts.select("gram").distinct().count()
@@ -79,17 +72,20 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text: Column, id_col: str = "id",
-                    n: int = NGRAM, prefix: int | None = None) -> DataFrame:
+                    n: int = NGRAM) -> DataFrame:
     """(id, detected_lang) for every input row; null when no language shares an n-gram."""
     consts, prof = model.wide()
-    src = df.select(F.col(id_col).alias("_id"), char_ngrams(text, n, prefix).alias("g"))
-    # one row per n-gram (outer, so a text without any still reaches the sum),
-    # carrying every language's delta; one partial aggregation per text
+    src = df.select(F.col(id_col).alias("_id"), char_ngrams(text, n).alias("g"))
+    # counted per text and n-gram before the join, which takes no shuffle if the profile is broadcast:
+    # the partial counts of a text meet only in the sums of its score
     ex = src.select("_id", F.size("g").alias("ng"), F.explode_outer("g").alias("gram"))
-    j = ex.join(sized_broadcast(prof), "gram", "left")
+    small = fits_broadcast(prof)
+    if not small:
+        ex = ex.groupBy("_id", "ng", "gram").agg(F.count(F.lit(1)).alias("k"))
+    j = join_on_hot_key(ex if not small else ex.withColumn("k", F.lit(1).cast("long")), prof, "gram", "left")
     aggs = [F.max("ng").alias("ng")]
     for i in range(len(consts)):
-        aggs += [F.sum(F.col("d")[i]).alias(f"s{i}"), F.count(F.col("d")[i]).alias(f"c{i}")]
+        aggs += [F.sum(F.col("d")[i] * F.col("k")).alias(f"s{i}"), F.count(F.col("d")[i]).alias(f"c{i}")]
     per = j.groupBy("_id").agg(*aggs)
     cands = [F.when(F.col(f"c{i}") > 0, F.struct(
         (F.lit(prior).cast("long") + F.col("ng").cast("long") * F.lit(base).cast("long") + F.col(f"s{i}"))

@@ -13,6 +13,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrascope.operators.util import cut_lineage
+
 NETWORK_TOP = 50
 PHRASES_TOP = 50
 PIVOT_LABELS = ("negative", "neutral", "positive")
@@ -39,8 +41,10 @@ def in_range(df: DataFrame, start=None, end=None, col: str = "published_at") ->
     return df.where(F.col(col).between(F.lit(s).cast("timestamp_ntz"), F.lit(e).cast("timestamp_ntz")))
 
 
-def _word_is(col: str, entity: str) -> Column:
-    return F.lower(F.col(col)) == F.lower(F.lit(entity))
+def _word_is(df: DataFrame, col: str, entity: str) -> Column:
+    """The entity ignoring case; a stored ``<col>_lower`` (tables at rest have one) lets the scan prune."""
+    stored = f"{col}_lower"
+    return (F.col(stored) if stored in df.columns else F.lower(F.col(col))) == F.lower(F.lit(entity))
 
 
 def trends(articles: DataFrame, mentions: DataFrame, sentiments: DataFrame, entity: str,
@@ -48,12 +52,12 @@ def trends(articles: DataFrame, mentions: DataFrame, sentiments: DataFrame, enti
     """Q2: (published_date, label, count) of joined rows, ordered by date."""
     arts = in_range(articles, start, end).select(
         F.col("id").alias("article_id"), F.to_date("published_at").alias("published_date"))
-    m = (mentions.where(_word_is("word", entity))
+    m = (mentions.where(_word_is(mentions, "word", entity))
          .groupBy("article_id").agg(F.count("*").alias("m")))
-    s = sentiments.groupBy("article_id", "label").agg(F.count("*").alias("n"))
-    return (arts.join(m, "article_id").join(s, "article_id")
+    # only the sentiment rows of those articles are aggregated
+    return (arts.join(m, "article_id").join(sentiments.select("article_id", "label"), "article_id")
             .groupBy("published_date", "label")
-            .agg(F.sum(F.col("m") * F.col("n")).cast("long").alias("count"))
+            .agg(F.sum("m").cast("long").alias("count"))
             .orderBy("published_date", "label"))
 
 
@@ -61,7 +65,7 @@ def phrases(articles: DataFrame, framing: DataFrame, entity: str, start=None, en
             n: int = PHRASES_TOP) -> DataFrame:
     """Q3: (framing_phrase, count) distinct articles per phrase; top n by count desc, phrase."""
     arts = in_range(articles, start, end).select(F.col("id").alias("article_id"))
-    f = framing.where(_word_is("entity_word", entity)).select("article_id", "framing_phrase")
+    f = framing.where(_word_is(framing, "entity_word", entity)).select("article_id", "framing_phrase")
     return (f.join(arts, "article_id", "left_semi")
             .groupBy("framing_phrase").agg(F.countDistinct("article_id").alias("count"))
             .orderBy(F.desc("count"), F.asc("framing_phrase")).limit(n))
@@ -70,20 +74,20 @@ def phrases(articles: DataFrame, framing: DataFrame, entity: str, start=None, en
 def entity_articles(articles: DataFrame, mentions: DataFrame, entity: str, start=None, end=None) -> DataFrame:
     """Q4: ids of articles in range that mention the entity (any score)."""
     arts = in_range(articles, start, end).select(F.col("id").alias("article_id"))
-    m = mentions.where(_word_is("word", entity)).select("article_id")
+    m = mentions.where(_word_is(mentions, "word", entity)).select("article_id")
     return arts.join(m, "article_id", "left_semi")
 
 
 def network_nodes(articles: DataFrame, mentions: DataFrame, entity: str, start=None, end=None,
                   min_score: float = 0.0, max_score: float = 1.0,
-                  groups: Sequence[str] | None = None, n: int = NETWORK_TOP) -> DataFrame:
+                  groups: Sequence[str] | None = None, n: int = NETWORK_TOP, ids: DataFrame | None = None) -> DataFrame:
     """Q5: (word, entity_group, count) top n words by distinct articles, then word."""
-    ids = entity_articles(articles, mentions, entity, start, end)
+    ids = entity_articles(articles, mentions, entity, start, end) if ids is None else ids
     m = (mentions.join(ids, "article_id", "left_semi")
          .where(~F.col("word").contains("#"))
          .where(F.col("score").between(min_score, max_score)))
     if groups:
-        m = m.where(F.col("entity_group").isin(list(groups)) | _word_is("word", entity))
+        m = m.where(F.col("entity_group").isin(list(groups)) | _word_is(m, "word", entity))
     return (m.groupBy("word")
             .agg(F.max("entity_group").alias("entity_group"),
                  F.countDistinct("article_id").alias("count"))
@@ -91,13 +95,13 @@ def network_nodes(articles: DataFrame, mentions: DataFrame, entity: str, start=N
 
 
 def network_links(articles: DataFrame, mentions: DataFrame, nodes: DataFrame, entity: str,
-                  start=None, end=None) -> DataFrame:
+                  start=None, end=None, ids: DataFrame | None = None) -> DataFrame:
     """Q6: (source, target, value): mention pairs per article with source < target.
 
     Per article and word the mentions are counted first, so one article gives
     at most one row per pair of node words (``n`` nodes bound this by n(n-1)/2).
     """
-    ids = entity_articles(articles, mentions, entity, start, end)
+    ids = entity_articles(articles, mentions, entity, start, end) if ids is None else ids
     node_words = F.broadcast(nodes.select("word").distinct())  # at most ``n`` rows (Q5 top-n)
     m = (mentions.join(ids, "article_id", "left_semi")
          .join(node_words, "word", "left_semi")
@@ -112,12 +116,14 @@ def network(articles: DataFrame, mentions: DataFrame, entity: str, start=None, e
             min_score: float = 0.0, max_score: float = 1.0,
             groups: Sequence[str] | None = None, n: int = NETWORK_TOP):
     """Q7: (nodes, links); a node equal to the entity ignoring case shows group SEARCHED."""
-    raw = network_nodes(articles, mentions, entity, start, end, min_score, max_score, groups, n)
+    # the articles and the top words are found once, for nodes and links
+    ids = cut_lineage(entity_articles(articles, mentions, entity, start, end))
+    raw = cut_lineage(network_nodes(articles, mentions, entity, start, end, min_score, max_score, groups, n, ids))
     nodes = raw.select(F.col("word").alias("id"),
-                       F.when(_word_is("word", entity), F.lit("SEARCHED"))
+                       F.when(_word_is(raw, "word", entity), F.lit("SEARCHED"))
                        .otherwise(F.col("entity_group")).alias("group"),
                        "count")
-    links = network_links(articles, mentions, raw, entity, start, end)
+    links = network_links(articles, mentions, raw, entity, start, end, ids)
     return nodes, links
 
 

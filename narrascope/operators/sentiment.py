@@ -1,9 +1,9 @@
 """Lexicon sentiment.
 
-Tokens are exploded once; the stopword, stem and lexicon tables are joined
-(broadcast only behind a size check) and the weights are summed per article
-with a partial aggregation, so only one row per article and partition is
-shuffled. ``explode_outer`` keeps articles without tokens (score 0).
+The stopwords, the stem table and both lexicons are folded into one small table, raw token to
+weight, before any text is read. Tokens are exploded once and joined to it (broadcast if it is
+measured to be small, else with hot tokens spread), so only tokens that count reach the per-article
+sum, a partial aggregation. Articles without such a token come back with score 0.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
-from narrascope.operators.util import sized_broadcast
+from narrascope.operators.storage import assert_unique
+from narrascope.operators.util import join_on_hot_key
 
 METHOD = "inset"
 LABELS = ("positive", "negative", "neutral")
@@ -24,37 +25,48 @@ def explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
                      F.posexplode_outer(tokens_col).alias("pos", "tok"))
 
 
-def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, keep_rows: bool = False) -> DataFrame:
-    """Drop stopword tokens (repeats of other tokens kept), before stemming.
-
-    With ``keep_rows`` a stopword becomes a null token instead, so that an
-    article made only of stopwords still reaches the per-article sum.
-    """
-    sw = sized_broadcast(stopwords.select(F.col("word").alias("_sw")).distinct())
-    if not keep_rows:
-        return tokens.join(sw, tokens["tok"] == sw["_sw"], "left_anti")
-    j = tokens.join(sw, tokens["tok"] == sw["_sw"], "left")
-    return j.select(*[c for c in tokens.columns if c != "tok"],
-                    F.when(F.col("_sw").isNull(), F.col("tok")).alias("tok"))
+def remove_stopwords(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:
+    """Drop stopword tokens (repeats of other tokens kept), before stemming."""
+    return join_on_hot_key(tokens, stopwords.select(F.col("word").alias("tok")).distinct(), "tok", "left_anti")
 
 
 def stem_tokens(tokens: DataFrame, stem_map: DataFrame | None) -> DataFrame:
-    """T4: each token replaced by its stem; no stem table, or no entry, leaves it unchanged."""
+    """T4: each token replaced by its stem; no stem table, or no entry, leaves it unchanged.
+
+    A token with more than one stem is an error.
+    """
     if stem_map is None:
         return tokens
-    sm = sized_broadcast(stem_map.select(F.col("token").alias("_t"), F.col("stem").alias("_s")))
-    return (tokens.join(sm, tokens["tok"] == sm["_t"], "left")
-            .select(*[c for c in tokens.columns if c != "tok"], F.coalesce("_s", "tok").alias("tok")))
+    assert_unique(stem_map, "token", "the stem table")
+    j = join_on_hot_key(tokens, stem_map.select(F.col("token").alias("tok"), F.col("stem").alias("_s")), "tok", "left")
+    return j.select(*[c for c in tokens.columns if c != "tok"], F.coalesce("_s", "tok").alias("tok"))
+
+
+def word_weights(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """(word, weight): both lexicons summed. A word twice in one lexicon is an error."""
+    assert_unique(positive, "word", "the positive lexicon")
+    assert_unique(negative, "word", "the negative lexicon")
+    both = positive.select("word", "weight").unionByName(negative.select("word", "weight"))
+    return both.groupBy("word").agg(F.sum("weight").alias("weight"))
+
+
+def token_weights(stopwords: DataFrame, stem_map: DataFrame | None, positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """T3-T5 folded: (tok, weight) of every raw token that is no stopword and whose stem has a weight."""
+    weights = word_weights(positive, negative).filter(F.col("word").isNotNull())
+    if stem_map is None:
+        table = weights.select(F.col("word").alias("tok"), "weight")
+    else:
+        assert_unique(stem_map, "token", "the stem table")
+        stemmed = stem_map.select(F.col("token").alias("tok"), F.col("stem").alias("word")).join(weights, "word").select("tok", "weight")
+        plain = weights.select(F.col("word").alias("tok"), "weight").join(stem_map.select(F.col("token").alias("tok")), "tok", "left_anti")
+        table = stemmed.unionByName(plain)
+    return table.join(stopwords.select(F.col("word").alias("tok")).distinct(), "tok", "left_anti")
 
 
 def lexicon_score(tokens: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
-    """T5: (article_id, raw_score): sum of positive + negative weights with repeats."""
-    pos = sized_broadcast(positive.select(F.col("word").alias("_pw"), F.col("weight").alias("_p")))
-    neg = sized_broadcast(negative.select(F.col("word").alias("_nw"), F.col("weight").alias("_n")))
-    j = (tokens.join(pos, tokens["tok"] == pos["_pw"], "left")
-         .join(neg, tokens["tok"] == neg["_nw"], "left"))
-    w = F.coalesce("_p", F.lit(0.0)) + F.coalesce("_n", F.lit(0.0))
-    return j.groupBy("article_id").agg(F.sum(w).cast("double").alias("raw_score"))
+    """T5: (article_id, raw_score): sum of positive + negative weights with repeats; 0 without any."""
+    j = join_on_hot_key(tokens, word_weights(positive, negative).withColumnRenamed("word", "tok"), "tok", "left")
+    return j.groupBy("article_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).cast("double").alias("raw_score"))
 
 
 def label_sentiment(df: DataFrame, score_col: str = "raw_score", method: str = METHOD) -> DataFrame:
@@ -72,11 +84,11 @@ def label_sentiment(df: DataFrame, score_col: str = "raw_score", method: str = M
 def score_text(df: DataFrame, text: Column, stopwords: DataFrame, stem_map: DataFrame | None,
                positive: DataFrame, negative: DataFrame, id_col: str = "id") -> DataFrame:
     """T1-T5 on an arbitrary text column: (article_id, raw_score) for every input row."""
-    toks = df.select(F.col(id_col).alias("_id"), X.tokenize(text).alias("_toks"))
-    t = explode_tokens(toks, "_id", "_toks")
-    t = remove_stopwords(t, stopwords, keep_rows=True)
-    t = stem_tokens(t, stem_map)
-    return lexicon_score(t, positive, negative)
+    weights = token_weights(stopwords, stem_map, positive, negative)
+    toks = df.select(F.col(id_col).alias("article_id"), F.explode(X.tokenize(text)).alias("tok"))
+    sums = join_on_hot_key(toks, weights, "tok").groupBy("article_id").agg(F.sum("weight").alias("s"))
+    ids = df.select(F.col(id_col).alias("article_id"))
+    return ids.join(sums, "article_id", "left").select("article_id", F.coalesce("s", F.lit(0.0)).cast("double").alias("raw_score"))
 
 
 def analyze_sentiment(articles: DataFrame, stopwords: DataFrame, stem_map: DataFrame | None,

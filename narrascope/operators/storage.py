@@ -8,6 +8,7 @@ a new path, never over the one being read).
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 from typing import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -182,35 +183,43 @@ def recent_runs(runs: DataFrame, n: int = 5) -> DataFrame:
         .otherwise(F.coalesce(F.when(F.col("errors") != "", F.col("errors")), F.lit("-"))).alias("errors"))
 
 
-def check_integrity(articles: DataFrame, sentiments: DataFrame, mentions: DataFrame,
-                    framing: DataFrame) -> DataFrame:
-    """Declared constraints as data checks, (rule, violations) per rule."""
-    checks = []
-
-    def add(rule: str, bad: DataFrame):
-        checks.append(bad.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations"))
-
-    add("articles.url unique", articles.groupBy("url").count().where(F.col("count") > 1))
-    for c in ["title", "url", "source", "run_id", "run_date"]:
-        add(f"articles.{c} not null", articles.where(F.col(c).isNull()))
-    for tbl, name, c, n in [(articles, "articles", "url", 512), (articles, "articles", "source", 100),
-                            (articles, "articles", "run_id", 50),
-                            (sentiments, "sentiment_analysis", "method_name", 50),
-                            (sentiments, "sentiment_analysis", "label", 20),
-                            (mentions, "named_entity_recognition", "entity_group", 50),
-                            (mentions, "named_entity_recognition", "word", 255),
-                            (framing, "entity_framing", "entity_word", 255),
-                            (framing, "entity_framing", "framing_phrase", 255)]:
-        add(f"{name}.{c} length <= {n}", tbl.where(F.length(c) > n))
-    ids = articles.select(F.col("id").alias("_aid"))
-    for tbl, name in [(sentiments, "sentiment_analysis"), (mentions, "named_entity_recognition"),
-                      (framing, "entity_framing")]:
-        add(f"{name}.article_id references articles",
-            tbl.join(ids, tbl["article_id"] == ids["_aid"], "left_anti"))
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+# Declared rules, by table: columns that are not null, and longest text by column (fixed values).
+NOT_NULL = {"articles": ["title", "url", "source", "run_id", "run_date"],
+            "sentiment_analysis": ["article_id", "method_name", "polarity", "label", "score"],
+            "named_entity_recognition": ["article_id", "method_name", "entity_group", "word", "score"],
+            "entity_framing": ["article_id", "entity_word", "framing_phrase"],
+            "pipeline_runs": ["run_id", "run_date", "status"], "run_statistics": ["run_id", "stage", "metric_name"]}
+MAX_LENGTH = {"articles": {"url": 512, "source": 100, "run_id": 50}, "sentiment_analysis": {"method_name": 50, "label": 20},
+              "named_entity_recognition": {"entity_group": 50, "word": 255},
+              "entity_framing": {"entity_word": 255, "framing_phrase": 255},
+              "pipeline_runs": {"run_id": 50, "status": 20}, "run_statistics": {"run_id": 50, "stage": 20, "metric_name": 50}}
+UNIQUE = {"articles": "url", "pipeline_runs": "run_id"}
+REFERENCES = {"sentiment_analysis": ("article_id", "articles", "id"), "named_entity_recognition": ("article_id", "articles", "id"),
+              "entity_framing": ("article_id", "articles", "id"), "run_statistics": ("run_id", "pipeline_runs", "run_id")}
+
+
+def check_integrity(tables: dict[str, DataFrame]) -> DataFrame:
+    """Declared constraints as data checks, (rule, violations) per rule of the tables given.
+
+    Null and length rules of a table are one aggregation over it; a unique rule is one more, a reference
+    one anti join.
+    """
+    parts = []
+    for name, df in tables.items():
+        rules = {f"{name}.{c} not null": F.count_if(F.col(c).isNull()) for c in NOT_NULL[name]}
+        rules |= {f"{name}.{c} length <= {n}": F.count_if(F.length(c) > n) for c, n in MAX_LENGTH[name].items()}
+        row = df.agg(*[v.alias(f"r{i}") for i, v in enumerate(rules.values())])
+        parts.append(row.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r{i}").alias("violations"))
+                                                    for i, r in enumerate(rules)])).alias("x")).select("x.*"))
+        if name in UNIQUE:
+            twice = df.groupBy(UNIQUE[name]).agg(F.count("*").alias("n")).where("n > 1")
+            parts.append(twice.agg(F.count("*").alias("violations")).select(F.lit(f"{name}.{UNIQUE[name]} unique").alias("rule"), "violations"))
+        if name in REFERENCES and REFERENCES[name][1] in tables:
+            col, other, key = REFERENCES[name]
+            known = tables[other].select(F.col(key).alias("_key"))
+            lost = df.select(F.col(col).alias("_ref")).where("_ref is not null").join(known, F.col("_ref") == F.col("_key"), "left_anti")
+            parts.append(lost.agg(F.count("*").alias("violations")).select(F.lit(f"{name}.{col} references {other}").alias("rule"), "violations"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_table(df: DataFrame, name: str, root: str, partition_by: Iterable[str] = ("run_date",),

@@ -1,23 +1,42 @@
-"""Helpers shared by the operators: checked broadcast and lineage cuts."""
+"""Helpers shared by the operators: checked broadcast, joins on hot keys, lineage cuts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows;
-# beyond it the join falls back to a shuffle join chosen by the planner.
-BROADCAST_MAX_ROWS = 200_000
+#: A side is broadcast only when it is measured to hold at most this many bytes (as JSON text).
+BROADCAST_MAX_BYTES = 32 << 20
+#: Beyond that, the other side's rows of one key are spread over this many tasks.
+SPREAD = 16
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` as JSON text, by one aggregation."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] or 0
 
-    The check reads at most ``max_rows + 1`` rows (a bounded job), so it stays
-    cheap even when the side turns out to be large.
+
+def fits_broadcast(df: DataFrame) -> bool:
+    return measured_bytes(df) <= BROADCAST_MAX_BYTES
+
+
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """``broadcast(df)`` if it is measured to be small, else ``df`` unchanged."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def join_on_hot_key(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a lookup table on ``key``, whose most frequent values may hold a large part of ``rows``.
+
+    A small table is broadcast. A larger one is copied ``SPREAD`` times under a salt, and the rows of each
+    key are dealt over the copies, so no task gets all rows of one key. Null keys match nothing and are
+    dealt like any other. ``how`` is inner, left, left_semi or left_anti.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if fits_broadcast(side):
+        return rows.join(F.broadcast(side), key, how)
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int"))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

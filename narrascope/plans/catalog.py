@@ -18,6 +18,7 @@ from narrascope.operators import entities as N
 from narrascope.operators import framing as FR
 from narrascope.operators import queries as Q
 from narrascope.operators import sentiment as S
+from narrascope.operators.util import cut_lineage
 from narrascope.plans import params as P
 from narrascope.plans.fixtures import Bindings, html_articles
 
@@ -150,15 +151,13 @@ def q_stem_tokens(spark, sf_dir):
 @register("lexicon_score")
 def q_lexicon_score(spark, sf_dir):
     b = bindings(spark, sf_dir)
-    t = S.stem_tokens(S.remove_stopwords(_tokens(b), b.stopwords, keep_rows=True), b.stem_map)
-    return S.lexicon_score(t, b.positive, b.negative)
+    return S.score_text(b.articles, X.article_text(), b.stopwords, b.stem_map, b.positive, b.negative)
 
 
 @register("sentiment_label")
 def q_sentiment_label(spark, sf_dir):
     b = bindings(spark, sf_dir)
-    t = S.stem_tokens(S.remove_stopwords(_tokens(b), b.stopwords, keep_rows=True), b.stem_map)
-    return S.label_sentiment(S.lexicon_score(t, b.positive, b.negative))
+    return S.label_sentiment(S.score_text(b.articles, X.article_text(), b.stopwords, b.stem_map, b.positive, b.negative))
 
 
 @register("analyze_sentiment")
@@ -281,6 +280,12 @@ def q_paginate(spark, sf_dir):
     return Q.paginate(nodes, [F.desc("count"), F.asc("id")], P.PAGE, P.PAGE_ROWS)
 
 
+@register("page_count")
+def q_page_count(spark, sf_dir):
+    nodes, _ = _network(bindings(spark, sf_dir))
+    return Q.page_count(nodes, P.PAGE_ROWS)
+
+
 @register("node_groups")
 def q_node_groups(spark, sf_dir):
     nodes, _ = _network(bindings(spark, sf_dir))
@@ -518,7 +523,11 @@ def q_recent_runs(spark, sf_dir):
 @register("check_integrity")
 def q_check_integrity(spark, sf_dir):
     b = bindings(spark, sf_dir)
-    return W.check_integrity(upserted(b), sentiments(b), mentions(b), framing(b))
+    runs = run_ledger(b)
+    stats = run_updates(b).select("run_id", F.col("stage"), F.col("status").alias("metric_name"))
+    tables = {"articles": upserted(b), "sentiment_analysis": sentiments(b), "named_entity_recognition": mentions(b),
+              "entity_framing": framing(b), "pipeline_runs": runs, "run_statistics": stats}
+    return W.check_integrity({n: cut_lineage(t) for n, t in tables.items()})
 
 
 @register("write_tables")
@@ -619,7 +628,7 @@ def q_run_pipeline(spark, sf_dir):
 def q_run_pipeline_framing(spark, sf_dir):
     """The entity framing at rest after the same two runs, by article url."""
     out = two_runs(spark, sf_dir)
-    return out["entity_framing"].join(out["articles"].select(F.col("id").alias("article_id"), "url"), "article_id").drop("article_id")
+    return out["entity_framing"].join(out["articles"].select(F.col("id").alias("article_id"), "url"), "article_id").drop("article_id", "entity_word_lower")
 
 
 @register("incremental_ingest")
@@ -646,14 +655,19 @@ def q_incremental_ingest(spark, sf_dir):
 
 
 # ------------------------------------------------------------ N1b: a user model
-def capitalized_runs(text: str):
-    """A small stand-in model: runs of capitalised words (no group or score given)."""
-    import re
-    for m in re.finditer(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", text):
-        yield {"word": m.group(0), "start": m.start(), "end": m.end()}
+class CapitalizedRuns:
+    """A small stand-in model: runs of capitalised ASCII words (no group or score given), by batch."""
+
+    def __init__(self):
+        import re
+
+        self.pattern = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", re.ASCII)
+
+    def __call__(self, texts):
+        return [[{"word": m.group(0), "start": m.start(), "end": m.end()} for m in self.pattern.finditer(t)] for t in texts]
 
 
 @register("tag_entities_model")
 def q_tag_entities_model(spark, sf_dir):
     b = bindings(spark, sf_dir)
-    return N.explode_entities(N.tag_entities_model(b.articles, capitalized_runs, method="capitalized_runs"))
+    return N.explode_entities(N.tag_entities_model(b.articles, CapitalizedRuns, method="capitalized_runs"))

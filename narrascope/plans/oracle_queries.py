@@ -430,23 +430,41 @@ def _count(rule: str, sql: str) -> str:
     return f"SELECT '{rule}' AS rule, count(*) AS violations FROM ({sql}) x"
 
 
-_checks = [_count("articles.url unique", "SELECT url FROM w_upserted GROUP BY url HAVING count(*) > 1")]
-_checks += [_count(f"articles.{c} not null", f"SELECT 1 FROM w_upserted WHERE {c} IS NULL")
-            for c in ["title", "url", "source", "run_id", "run_date"]]
-_checks += [_count(f"{name}.{c} length <= {n}", f"SELECT 1 FROM {tbl} WHERE length({c}) > {n}")
-            for tbl, name, c, n in [("w_upserted", "articles", "url", 512), ("w_upserted", "articles", "source", 100),
-                                    ("w_upserted", "articles", "run_id", 50),
-                                    ("sentiments", "sentiment_analysis", "method_name", 50),
-                                    ("sentiments", "sentiment_analysis", "label", 20),
-                                    ("mentions", "named_entity_recognition", "entity_group", 50),
-                                    ("mentions", "named_entity_recognition", "word", 255),
-                                    ("framing", "entity_framing", "entity_word", 255),
-                                    ("framing", "entity_framing", "framing_phrase", 255)]]
+_TABLES = {"articles": "w_upserted", "sentiment_analysis": "sentiments", "named_entity_recognition": "mentions",
+           "entity_framing": "framing", "pipeline_runs": "w_run_rows", "run_statistics": "w_stat_rows"}
+cte("w_run_rows", "SELECT run_id, run_date, 'running' AS status FROM w_ledger", ["w_ledger"])
+cte("w_stat_rows", "SELECT run_id, stage, status AS metric_name FROM w_updates", ["w_updates"])
+_RULES = """
+articles not null: title url source run_id run_date
+sentiment_analysis not null: article_id method_name polarity label score
+named_entity_recognition not null: article_id method_name entity_group word score
+entity_framing not null: article_id entity_word framing_phrase
+pipeline_runs not null: run_id run_date status
+run_statistics not null: run_id stage metric_name
+articles length: url=512 source=100 run_id=50
+sentiment_analysis length: method_name=50 label=20
+named_entity_recognition length: entity_group=50 word=255
+entity_framing length: entity_word=255 framing_phrase=255
+pipeline_runs length: run_id=50 status=20
+run_statistics length: run_id=50 stage=20 metric_name=50
+"""
+_checks = [_count("articles.url unique", "SELECT url FROM w_upserted GROUP BY url HAVING count(*) > 1"),
+           _count("pipeline_runs.run_id unique", "SELECT run_id FROM w_run_rows GROUP BY run_id HAVING count(*) > 1")]
+for _line in _RULES.strip().split("\n"):
+    _head, _cols = _line.split(": ")
+    _name, _kind = _head.split(" ", 1)
+    for _c in _cols.split():
+        if _kind == "length":
+            _c, _n = _c.split("=")
+            _checks.append(_count(f"{_name}.{_c} length <= {_n}", f"SELECT 1 FROM {_TABLES[_name]} WHERE length({_c}) > {_n}"))
+        else:
+            _checks.append(_count(f"{_name}.{_c} not null", f"SELECT 1 FROM {_TABLES[_name]} WHERE {_c} IS NULL"))
 _checks += [_count(f"{name}.article_id references articles",
-                   f"SELECT 1 FROM {tbl} t WHERE NOT EXISTS (SELECT 1 FROM w_upserted a WHERE a.id = t.article_id)")
-            for tbl, name in [("sentiments", "sentiment_analysis"), ("mentions", "named_entity_recognition"),
-                              ("framing", "entity_framing")]]
-oracle("check_integrity", "\nUNION ALL\n".join(_checks), ["w_upserted", "sentiments", "mentions", "framing"])
+                   f"SELECT 1 FROM {_TABLES[name]} t WHERE NOT EXISTS (SELECT 1 FROM w_upserted a WHERE a.id = t.article_id)")
+            for name in ("sentiment_analysis", "named_entity_recognition", "entity_framing")]
+_checks += [_count("run_statistics.run_id references pipeline_runs",
+                   "SELECT 1 FROM w_stat_rows WHERE run_id NOT IN (SELECT run_id FROM w_run_rows)")]
+oracle("check_integrity", "\nUNION ALL\n".join(_checks), list(_TABLES.values()))
 
 # ------------------------------------------------------------ 2.1 sources
 oracle("read_jsonl", """
@@ -573,3 +591,4 @@ oracle("write_jsonl", """
 SELECT CAST(json_object('title', title, 'url', url, 'summary', summary,
             'published', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), 'source', source) AS VARCHAR) AS value FROM articles""",
        ["articles"])
+oracle("page_count", f"SELECT CAST(ceil(count(*) / {P.PAGE_ROWS}.0) AS BIGINT) AS pages FROM graph_nodes", ["graph_nodes"])

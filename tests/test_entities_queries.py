@@ -56,3 +56,27 @@ def test_trends_count_joined_rows_and_pivot(spark):
         (dt.date(2024, 1, 5), "negative", 2), (dt.date(2024, 1, 5), "positive", 2), (dt.date(2024, 1, 6), "neutral", 1)]
     p = [tuple(r) for r in Q.trend_pivot(t).collect()]
     assert p == [(dt.date(2024, 1, 5), 2, 0, 2), (dt.date(2024, 1, 6), 0, 1, 0)]
+
+
+def test_user_model_loads_once_and_counts_failures(spark):
+    class Model:
+        def __call__(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[{"word": t[:3], "start": 0, "end": 3}] for t in texts]
+
+    arts = spark.createDataFrame([(i, "bad one" if i == 3 else f"txt {i}", "") for i in range(8)], "id long, title string, summary string").coalesce(1)
+    rows = N.tag_entities_model(arts, Model, "m", batch_size=4).collect()
+    assert {r["article_id"]: r["failed"] for r in rows} == {i: int(i == 3) for i in range(8)}
+    assert all((len(r["entities"]) == 1) != bool(r["failed"]) for r in rows)
+
+
+def test_stored_lower_word_is_pushed_down(spark, tmp_path):
+    arts, ment = _tables(spark)
+    from pyspark.sql import functions as F
+
+    ment.withColumn("word_lower", F.lower("word")).write.parquet(str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    q = Q.entity_articles(arts, stored, "A", "2024-01-01", "2024-02-01")
+    assert "PushedFilters: [IsNotNull(word_lower), EqualTo(word_lower,a)" in q._jdf.queryExecution().toString()
+    assert sorted(r[0] for r in q.collect()) == [1, 2]

@@ -36,8 +36,8 @@ def test_stopwords_trimmed_at_both_ends_only(spark):
 
 
 def test_maximal_drops_character_substrings(spark):
-    df = spark.createDataFrame([(["makan siang gratis", "makan siang", "kan siang", "lain hal"],)], "p array<string>")
-    assert sorted(df.select(FR.maximal_phrases(F.col("p"))).first()[0]) == ["lain hal", "makan siang gratis"]
+    df = spark.createDataFrame([(["tall green door", "tall green", "all green", "far off"],)], "p array<string>")
+    assert sorted(df.select(FR.maximal_phrases(F.col("p"))).first()[0]) == ["far off", "tall green door"]
 
 
 def brute_maximal(ps):
@@ -50,11 +50,39 @@ def test_corpus_maximal_matches_brute_force(spark):
     words = ["ab", "abc", "b", "ca", "bca", "c", "aab"]
     ps = {" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 4))) for _ in range(400)}
     df = spark.createDataFrame([(p,) for p in ps], "phrase string")
-    for key_len in (3, 6, 8, 40):
-        got = sorted(r[0] for r in FR.corpus_maximal(df, key_len=key_len).collect())
+    for key_len, group_rows in ((3, None), (6, 5), (40, None)):
+        got = sorted(r[0] for r in FR.corpus_maximal(df, key_len=key_len, group_rows=group_rows).collect())
         assert got == brute_maximal(ps)
 
 
+def test_corpus_maximal_with_half_of_all_phrases_under_one_prefix(spark):
+    rnd = random.Random(4)
+    ps = {"the same long beginning of " + " ".join(rnd.choices(["ab", "ba", "aab", "b"], k=rnd.randint(1, 5))) for _ in range(400)}
+    ps |= {"".join(rnd.choices("abcd ", k=rnd.randint(2, 12))).strip() or "x" for _ in range(200)}
+    groups = [(g, p) for g in (1, None) for p in ps if g or rnd.random() < 0.5]
+    df = spark.createDataFrame(groups, "g int, phrase string")
+    got = {}
+    for r in FR.corpus_maximal(df, keys=["g"], group_rows=20).collect():
+        got.setdefault(r["g"], []).append(r["phrase"])
+    assert {g: sorted(x) for g, x in got.items()} == {g: brute_maximal([p for h, p in groups if h == g]) for g in (1, None)}
+
+
+def test_one_long_article_that_repeats_its_entity(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    text = " ".join(" ".join(rnd.choices(words, k=9)) + " x ." for _ in range(90_000))  # about 5 MB
+    arts = spark.createDataFrame([(1, text, "")], "id long, title string, summary string")
+    targets = spark.createDataFrame([(1, "x")], "article_id long, entity_word string")
+    assert FR.frame_entities(arts, targets, spark.createDataFrame([("w1",)], "word string")).count() > 80_000
+
+
+def test_long_stopword_lists_are_joined(spark, monkeypatch):
+    args = ("the big of house x", "x", ["the", "of"])
+    plain = phrases(spark, *args)
+    monkeypatch.setattr(FR, "LITERAL_WORDS", 1)
+    assert phrases(spark, *args) == plain
+
+
 def test_corpus_maximality_before_count_rule(spark):
     """A phrase in 3 articles is lost to a longer one found in 1: neither is returned."""
     rows = [(1, "u1", "big red car x", ""), (2, "u2", "red car x", ""), (3, "u3", "red car x", ""),
