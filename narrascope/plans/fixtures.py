@@ -20,6 +20,7 @@ MINUTES_PER_DOC = 37
 VOCAB_TOP = 230          # stopwords are ranks 1-30, lexicon ranks 31-230
 STOP_LAST = 30
 GAZ_FIRST, GAZ_LAST = 41, 120
+NAME_PAIRS = 20          # two-word names: each of the first tokens with the next in rank
 GAZ_GROUPS = ["PER", "ORG", "GPE", "NOR", "EVT", "LAW", "LOC", "DAT"]
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 
@@ -98,9 +99,13 @@ def stem_map(arts: DataFrame) -> DataFrame:
 
 
 def gazetteer(ranked: DataFrame) -> DataFrame:
-    """(word, entity_group, score) from vocab ranks 41-120, length 4 or more."""
+    """(word, entity_group, score) from vocab ranks 41-120, length 4 or more, and two-word names of the top ranks."""
     groups = F.array(*[F.lit(g) for g in GAZ_GROUPS])
-    return (ranked.where(F.col("rank").between(GAZ_FIRST, GAZ_LAST) & (F.length("token") >= 4))
+    single = ranked.where(F.col("rank").between(GAZ_FIRST, GAZ_LAST) & (F.length("token") >= 4)).select("token", "rank")
+    after = ranked.select(F.col("token").alias("next"), (F.col("rank") - 1).alias("rank"))
+    pairs = (ranked.where(F.col("rank") <= NAME_PAIRS).join(after, "rank")
+             .select(F.concat_ws(" ", "token", "next").alias("token"), "rank"))
+    return (single.unionByName(pairs)
             .select(F.col("token").alias("word"),
                     F.element_at(groups, (F.col("rank") % len(GAZ_GROUPS) + 1).cast("int")).alias("entity_group"),
                     (F.lit(0.5) + (F.col("rank") % 5) / F.lit(8.0)).alias("score")))

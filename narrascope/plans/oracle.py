@@ -149,7 +149,9 @@ _groups = "[" + ", ".join(q(g) for g in P.GAZ_GROUPS) + "]"
 cte("gazetteer", f"""
 SELECT token AS word, {_groups}[rank % {len(P.GAZ_GROUPS)} + 1] AS entity_group,
        0.5 + (rank % 5) / 8.0 AS score
-FROM ranked WHERE rank BETWEEN {P.GAZ_FIRST} AND {P.GAZ_LAST} AND length(token) >= 4""", ["ranked"])
+FROM (SELECT token, rank FROM ranked WHERE rank BETWEEN {P.GAZ_FIRST} AND {P.GAZ_LAST} AND length(token) >= 4
+      UNION ALL SELECT a.token || ' ' || b.token, a.rank FROM ranked a JOIN ranked b ON b.rank = a.rank + 1
+      WHERE a.rank <= {P.NAME_PAIRS}) x""", ["ranked"])
 
 cte("entity", f"""
 SELECT token AS entity FROM ranked

@@ -1,7 +1,7 @@
 """Parameters of the registered queries, shared by the Spark side and the oracle."""
 
 from narrascope.plans.fixtures import (  # noqa: F401  (re-exported fixed values)
-    EPOCH, GAZ_FIRST, GAZ_GROUPS, GAZ_LAST, MINUTES_PER_DOC, STOP_LAST, URL_PREFIX, VOCAB_TOP,
+    EPOCH, GAZ_FIRST, GAZ_GROUPS, GAZ_LAST, MINUTES_PER_DOC, NAME_PAIRS, STOP_LAST, URL_PREFIX, VOCAB_TOP,
 )
 from narrascope.operators.entities import GAZETTEER_METHOD, NER_MAX_CHARS  # noqa: F401
 
