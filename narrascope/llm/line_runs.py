@@ -136,7 +136,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         lines = batch.select("d", F.xxhash64("text").alias("key"), F.explode(line_keys("text")).alias("l")).select("d", "key", "l.*")
         lines = materialize(lines, "line-batch")
         keys = lines.groupBy(*HASH).agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        shared = store.add(keys)
+        shared = materialize(store.add(keys), "line-shared")  # off the buckets, so that a hot line can be split
         gone = lines.join(shared, HASH).filter(F.col("owner") < F.col("d"))
         out.append(gone.groupBy("d", "key").agg(F.flatten(F.collect_set("pos")).alias("gone")))
     found = out[0]
