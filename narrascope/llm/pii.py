@@ -15,8 +15,9 @@ Python, one Arrow batch at a time), one counts terms; both write digests without
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -85,28 +86,35 @@ def entity_name(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:" + (value.lower() if kind < 2 else "".join(_DIGITS.findall(value)))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], width: int = CONTEXT_TERMS):
-    """``(entity, line digest, term, start, end)`` of the terms near each entity, outside all spans."""
+def line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
+def near_terms(text: str, spans: list[tuple[int, int, int]], heads: list[int], width: int = CONTEXT_TERMS):
+    """``(entity, line digest, term, start, end)`` of the terms near each entity, outside all spans.
+
+    ``heads`` are the starts of the lines. Terms of a line are found once and looked up by position, so a
+    long line with many entities costs no more than its length and what is returned.
+    """
     out = []
-    starts = np.array([s[0] for s in spans])
-    ends = np.maximum.accumulate(np.array([s[2] for s in spans]))  # spans may nest
-    lines: dict[int, tuple[int, int, list, int]] = {}
+    starts = [s[0] for s in spans]
+    ends = list(accumulate((s[2] for s in spans), max))  # spans may nest
+    lines: dict[int, tuple[list, list, int]] = {}
     for start, kind, stop in spans:
-        a = text.rfind("\n", 0, start) + 1
-        if a not in lines:
-            b = text.find("\n", stop)
-            b = len(text) if b < 0 else b
+        n = bisect_right(heads, start) - 1
+        if n not in lines:
+            a, b = heads[n], heads[n + 1] - 1 if n + 1 < len(heads) else len(text)
             terms = []
             for m in _TERM.finditer(text, a, b):
-                i = int(np.searchsorted(starts, m.end(), "left")) - 1
+                i = bisect_left(starts, m.end()) - 1
                 if i < 0 or ends[i] <= m.start():
                     terms.append(m.span())
-            lines[a] = (b, 0, terms, xxhash.xxh64_intdigest(text[a:b].encode()) - (1 << 63))
-        b, _, terms, digest = lines[a]
-        left = [t for t in terms if t[1] <= start]
-        right = [t for t in terms if t[0] >= stop]
+            lines[n] = ([t[0] for t in terms], [t[1] for t in terms], xxhash.xxh64_intdigest(text[a:b].encode()) - (1 << 63))
+        heads_t, tails_t, digest = lines[n]
+        before, after = bisect_right(tails_t, start), bisect_left(heads_t, stop)
         name = entity_name(kind, text[start:stop])
-        out += [(name, digest, text[x:y].lower(), x, y) for x, y in left[-width:] + right[:width]]
+        for k in [*range(max(0, before - width), before), *range(after, min(len(heads_t), after + width))]:
+            out.append((name, digest, text[heads_t[k]:tails_t[k]].lower(), heads_t[k], tails_t[k]))
     return out
 
 
@@ -121,11 +129,12 @@ def find(texts: pa.Array) -> pa.Array:
         t = t or ""
         s = base_spans(t)
         spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in s])
+        heads = line_starts(t) if s else []
         n_lines.append(t.count("\n") + 1)
-        near.append([dict(zip(("entity", "line", "term", "start", "stop"), x)) for x in near_terms(t, s)] if s else [])
+        near.append([dict(zip(("entity", "line", "term", "start", "stop"), x)) for x in near_terms(t, s, heads)] if s else [])
         seen: dict[str, set] = {}
         for a, k, b in s:
-            seen.setdefault(entity_name(k, t[a:b]), set()).add(t.count("\n", 0, a))
+            seen.setdefault(entity_name(k, t[a:b]), set()).add(bisect_right(heads, a))
         entities.append([{"entity": e, "lines": len(x)} for e, x in seen.items()])
     i32, i64, st = pa.int32(), pa.int64(), pa.string()
     return pa.StructArray.from_arrays([

@@ -43,6 +43,8 @@ def test_spans_equal_plain_regexes(text):
 def test_long_runs_are_linear():
     for text in ("a" * 500_000, "1" * 200_000, "1." * 100_000, "@" * 200_000, "+" * 200_000, "1 " * 100_000):
         P.base_spans(text)
+    many = "1.2.3.4 some word " * 40_000 + "\n" * 1000
+    assert len(P.near_terms(many, P.base_spans(many), P.line_starts(many))) > 300_000
     assert P.base_spans("x 4111 1111 1111 1111, 10.0.0.256 1.2.3.4 +49 (30) 123-4567") == slow("x 4111 1111 1111 1111, 10.0.0.256 1.2.3.4 +49 (30) 123-4567")
 
 
