@@ -26,6 +26,8 @@ from narrascope.llm.common import ascii_lower, materialize
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: segments after so many count as one variable tail, ``<**>``
+MAX_DEPTH = 64
 MIN_SUPPORT = 5
 MIN_SHARE_PERCENT = 1
 MAX_VARIATION = 0.1
@@ -53,8 +55,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def shape(path: Column) -> Column:
     """The path's segments with variable text classed, as one string; empty segments do not count."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.array_join(F.transform(segments, lambda s: F.when(s.rlike("^[0-9A-Fa-f-]{8,}$") & s.rlike("[0-9]"), F.lit("<h>"))
-                                    .otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))), "/")
+    classed = F.transform(F.slice(segments, 1, MAX_DEPTH), lambda s: F.when(s.rlike("^[0-9A-Fa-f-]{8,}$") & s.rlike("[0-9]"), F.lit("<h>"))
+                          .otherwise(F.regexp_replace(s, "[0-9]+", "<n>")))
+    tail = F.when(F.size(segments) > MAX_DEPTH, F.lit("/<**>")).otherwise(F.lit(""))
+    return F.concat(F.array_join(classed, "/"), tail)
 
 
 def _segments(c: str) -> Column:
@@ -154,9 +158,10 @@ rules(rv, rh, rp) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in
 r AS (
   SELECT u.*, (SELECT max(struct_pack(l := length(rh || rp), rule := rh || rp, rv := rv)) FROM rules
                WHERE starts_with(path, rp) AND (host = rh OR ends_with(host, '.' || rh))) AS best,
-         array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+         array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:{MAX_DEPTH}],
            lambda x: CASE WHEN regexp_matches(x, '^[0-9A-Fa-f-]{{8,}}$') AND regexp_matches(x, '[0-9]') THEN '<h>'
-                ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END), '/') AS shape
+                ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END), '/')
+           || CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) > {MAX_DEPTH} THEN '/<**>' ELSE '' END AS shape
   FROM u),
 shapes AS (
   SELECT host, shape, count(*) AS n, count(best) AS labelled, sum(CASE WHEN best.rv = 'block' THEN 1 ELSE 0 END)::BIGINT AS blocked
