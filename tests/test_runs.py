@@ -154,3 +154,22 @@ def test_ingest_twice_adds_nothing(spark, res, tmp_path):
     assert [r["metric_value"] for r in stats] == [1.0]
     incremental_ingest(spark, str(land / "*"), root, str(tmp_path / "ck2"), res)  # the whole stream replayed
     assert snapshot(spark, root) == first
+
+
+def test_feeds_go_into_a_run(spark, res, tmp_path):
+    """S1 and S2 feed I2 without a hand between them."""
+    from narrascope.sources import feeds as SF
+
+    items = "".join(f"<item><title>{t}</title><link>{u}</link><description>{x}</description><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item>"
+                    for _, t, x, u, _ in ROWS)
+    for name, body in (("one", f"<rss version='2.0'><channel><title>c</title>{items}</channel></rss>"), ("two", "<rss><channel>")):
+        (tmp_path / f"in/feed={name}").mkdir(parents=True)
+        (tmp_path / f"in/feed={name}" / "f.xml").write_text(body, encoding="utf-8")
+    listed = spark.createDataFrame([("one", 0), ("two", 1), ("gone", 2)], "feed string, position long")
+    path, root = str(tmp_path / "in"), str(tmp_path / "tables")
+    stats = SF.feed_stats(spark, path, listed).first().asDict()
+    run_pipeline(spark, SF.read_feeds(spark, path, listed), root, res, run_id="r1", collect_stats=stats)
+    assert current(spark, root, "articles").count() == 2
+    got = {r["metric_name"]: r["metric_value"] for r in current(spark, root, "run_statistics").filter("stage = 'collect'").collect()}
+    assert got == {"total_sources": 3.0, "successful": 2.0, "failed": 1.0, "total_articles": 4.0}
+    assert current(spark, root, "pipeline_runs").first()["total_sources"] == 3
