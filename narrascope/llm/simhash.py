@@ -159,7 +159,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     verdict = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("low")), "simhash-verdict")
     gone, = fresh(docs.columns, "gone_id")
     drops = verdict.filter(F.col("doc_id").isNotNull() & (F.col("low") != F.col("doc_id"))).select(F.col("doc_id").alias(gone))
-    kept = docs.filter("doc_id is not null").join(drops, F.col("doc_id") == F.col(gone), "left_anti")
+    # the ids to drop grow with the documents: one plan at every size
+    kept = docs.filter("doc_id is not null").join(drops.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")
     if not verdict.filter("doc_id is not null and n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     if verdict.filter("doc_id is null").isEmpty():
