@@ -24,7 +24,8 @@ from narrascope.llm.common import materialize
 from narrascope.session import scratch_dir
 
 MIN_REVISIT = 1000
-#: bytes of payload per archive file before compression
+#: bytes of payload per archive file before compression, on average; a task starts a new file after as
+#: many captures, so files need no shuffle
 FILE_BYTES = 32 << 20
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -81,10 +82,11 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
                                   ("Content-Type", F.lit("application/http; msgtype=request"))], get)
     metadata = _record("metadata", [("WARC-Record-ID", _urn(F.lit("metadata"), F.col("row"))), ("WARC-Concurrent-To", rid), *uri,
                                     ("Content-Type", F.lit("application/warc-fields"))], facts)
-    total = rows.agg(F.sum("n").alias("b")).first()["b"] or 0
-    files = max(1, -(-total // file_bytes))
+    size = rows.agg(F.sum("n").alias("b"), F.count(F.lit(1)).alias("k")).first()
+    per_file = max(1, size["k"] * file_bytes // max(1, size["b"] or 0))
     records = r.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value"))
-    records.repartition(int(files)).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    (records.write.option("lineSep", CRLF * 2).option("compression", "gzip")
+     .option("maxRecordsPerFile", int(per_file)).text(path))
 
 
 RECORD = ("record_id string, type string, concurrent_to string, refers_to string, url string, digest string, "
@@ -142,9 +144,14 @@ def read_records(spark, path: str, keep_payload: bool = True) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row here is a whole archive
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return materialize(files.mapInArrow(read, RECORD), "warc-records")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1")  # a row here is a whole archive
+    try:
+        files = spark.read.format("binaryFile").load(path).select("content")
+        return materialize(files.mapInArrow(read, RECORD), "warc-records")
+    finally:
+        spark.conf.set(batch, before)
 
 
 def assemble(records: DataFrame) -> DataFrame:
