@@ -78,17 +78,18 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict, max_epochs: i
         caps = caps.withColumn(f"w_{level}", weight_of(level, weights))
     usable = (F.col("w_domain") > 0) & (F.col("w_lang") > 0) & (F.col("w_source") > 0)
     caps = caps.withColumn("cap", F.when(usable, F.col("cap")).otherwise(F.lit(0)))
-    node = (caps.groupBy(F.lit(0).alias("root")).agg(F.sum("supply").alias("all_supply"))
-            .select("root", budget.alias("budget")))
-    parent = ["root"]
+    node, parent = None, ["root"]
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        kids = caps.groupBy(*path, f"w_{level}").agg(F.sum("cap").alias("cap")).withColumnRenamed(f"w_{level}", "w")
-        kids = kids.withColumn("root", F.lit(0)).withColumn("name", F.col(level))
-        kids = kids.join(node.select(*parent, "budget"), parent)
-        node = fill(kids, parent).drop("budget", "name", "w", "cap")
-        node = node.withColumnRenamed("alloc", "budget")
-        parent = ["root", *path]
+        kids = caps.groupBy(*path, f"w_{level}").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("own")).withColumnRenamed(f"w_{level}", "w")
+        kids = kids.withColumn("name", F.col(level))
+        if node is None:  # the root's budget comes from the supply of all its children
+            kids = kids.withColumn("root", F.lit(0))
+            kids = kids.withColumn("all_supply", F.sum("own").over(Window.partitionBy("root"))).withColumn("budget", budget).drop("all_supply")
+        else:
+            kids = kids.join(node, parent)
+        node = fill(kids, parent).select(*path, F.col("alloc").alias("budget"))
+        parent = path
     return leaves.join(node.select(*LEVELS, F.col("budget").alias("alloc")), list(LEVELS))
 
 
