@@ -7,8 +7,9 @@ bits of ``e`` the term reveals, against ``IC(e) = log2(N / n(e))`` bits in all.
 ``PMI / IC`` reaches the disclosure threshold is masked wherever it stands near that entity: a term that
 is still frequent elsewhere is generalised to its shape class, a rarer one removed.
 
-``n(t, e)`` counts distinct lines, so plain copies are no evidence; ``N``, ``n(t)`` and ``n(e)`` count the
-lines of the whole corpus. One pass over the texts finds the patterns and the terms near them (in
+All four counts, ``n(t, e)``, ``n(t)``, ``n(e)`` and ``N``, are of the lines of the whole corpus, copies
+included; as plain copies are no evidence, a term must besides stand near the entity in ``MIN_LINES``
+distinct lines. One pass over the texts finds the patterns and the terms near them (in
 Python, one Arrow batch at a time), one counts terms; both write digests without texts.
 """
 
@@ -91,7 +92,7 @@ def line_starts(text: str) -> list[int]:
 
 
 def near_terms(text: str, spans: list[tuple[int, int, int]], heads: list[int], width: int = CONTEXT_TERMS):
-    """``(entity, line digest, term, start, end)`` of the terms near each entity, outside all spans.
+    """``(entity, line digest, term, start, end, line number)`` of the terms near each entity, outside all spans.
 
     ``heads`` are the starts of the lines. Terms of a line are found once and looked up by position, so a
     long line with many entities costs no more than its length and what is returned.
@@ -114,11 +115,11 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], heads: list[int], w
         before, after = bisect_right(tails_t, start), bisect_left(heads_t, stop)
         name = entity_name(kind, text[start:stop])
         for k in [*range(max(0, before - width), before), *range(after, min(len(heads_t), after + width))]:
-            out.append((name, digest, text[heads_t[k]:tails_t[k]].lower(), heads_t[k], tails_t[k]))
+            out.append((name, digest, text[heads_t[k]:tails_t[k]].lower(), heads_t[k], tails_t[k], n))
     return out
 
 
-NEAR = "array<struct<entity:string,line:long,term:string,start:int,stop:int>>"
+NEAR = "array<struct<entity:string,line:long,term:string,start:int,stop:int,at:int>>"
 FOUND = f"struct<spans:array<struct<start:int,kind:int,stop:int>>,n_lines:long,near:{NEAR},entities:array<struct<entity:string,lines:long>>>"
 
 
@@ -131,7 +132,7 @@ def find(texts: pa.Array) -> pa.Array:
         spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in s])
         heads = line_starts(t) if s else []
         n_lines.append(t.count("\n") + 1)
-        near.append([dict(zip(("entity", "line", "term", "start", "stop"), x)) for x in near_terms(t, s, heads)] if s else [])
+        near.append([dict(zip(("entity", "line", "term", "start", "stop", "at"), x)) for x in near_terms(t, s, heads)] if s else [])
         seen: dict[str, set] = {}
         for a, k, b in s:
             seen.setdefault(entity_name(k, t[a:b]), set()).add(bisect_right(heads, a))
@@ -139,7 +140,7 @@ def find(texts: pa.Array) -> pa.Array:
     i32, i64, st = pa.int32(), pa.int64(), pa.string()
     return pa.StructArray.from_arrays([
         pa.array(spans, pa.list_(pa.struct([("start", i32), ("kind", i32), ("stop", i32)]))), pa.array(n_lines, i64),
-        pa.array(near, pa.list_(pa.struct([("entity", st), ("line", i64), ("term", st), ("start", i32), ("stop", i32)]))),
+        pa.array(near, pa.list_(pa.struct([("entity", st), ("line", i64), ("term", st), ("start", i32), ("stop", i32), ("at", i32)]))),
         pa.array(entities, pa.list_(pa.struct([("entity", st), ("lines", i64)])))], ["spans", "n_lines", "near", "entities"])
 
 
@@ -166,8 +167,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_lines: int = MIN_LINES, threshold: float = DISCLOSURE) -> DataFrame:
     """``entity, term, share, term_lines``: the terms that reveal at least ``threshold`` of an entity."""
-    near = scanned.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.line").distinct()
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= min_lines)
+    near = scanned.filter(F.size("near") > 0).select("row", F.explode("near").alias("x"))
+    alike = near.select("row", "x.entity", "x.term", "x.line", "x.at").distinct().groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("copies"))
+    both = (alike.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("n_lines"))
+            .filter(F.col("n_lines") >= min_lines).drop("n_lines"))
     both = materialize(both, "pii-pairs")
     empty = docs.sparkSession.createDataFrame([], "entity string, term string, share double, term_lines long")
     if both.isEmpty():

@@ -68,3 +68,14 @@ def test_digest_and_disclosure(spark):
     clean = {r["doc_id"]: r["text"] for r in P.sanitise(df).collect()}
     assert "jo.doe" not in clean[0] and "vicar" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == text[100] and clean[7] is None
     assert P.op7_pii(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    for copies in (1, 100, 1000):
+        rows = [(i, f"mail jo.doe@mail.org for the vicar today, note {chr(97 + i % 3) * 4}") for i in range(3 * copies)]
+        rows += [(10_000 + i, f"plain words {chr(97 + i % 26)}{chr(97 + i // 26) * 3} for the rest today") for i in range(400)]
+        got = {r["doc_id"]: r for r in P.op7_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        text = dict(rows)
+        for i in (0, 1, 3 * copies - 1):
+            masked = {text[i][int(s.split(":")[1]):int(s.split(":")[2])] for s in got[i]["spans"].split(",") if s.startswith("term")}
+            assert "vicar" in masked and "today" not in masked, (copies, masked)
