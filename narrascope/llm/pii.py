@@ -2,22 +2,26 @@
 
 Four kinds are found by pattern: email, ip, card (Luhn) and phone. Then information-theoretic
 sanitisation: the corpus is read as a set of lines. For a protected entity ``e`` (a normalised value
-found by pattern) and a term ``t`` near it, ``PMI(t; e) = log2(n(t, e) * N / (n(t) * n(e)))`` tells how many
-bits of ``e`` the term reveals, against ``IC(e) = log2(N / n(e))`` bits in all. A term whose share
-``PMI / IC`` reaches the disclosure threshold is masked wherever it stands near that entity: a term that
-is still frequent elsewhere is generalised to its shape class, a rarer one removed.
+found by pattern) and a term ``t`` of a line with it, ``PMI(t; e) = log2(n(t, e) * N / (n(t) * n(e)))`` tells how
+many bits of ``e`` the term reveals, against ``IC(e) = log2(N / n(e))`` bits in all. A term (a run of letters
+and digits of any length) whose share ``PMI / IC`` reaches the disclosure threshold is masked wherever it
+stands in a document that holds that entity: a term that is still frequent elsewhere is generalised to
+its shape class, a rarer one removed.
 
 All four counts, ``n(t, e)``, ``n(t)``, ``n(e)`` and ``N``, are of the lines of the whole corpus, copies
-included; as plain copies are no evidence, a term must besides stand near the entity in ``MIN_LINES``
-distinct lines. One pass over the texts finds the patterns and the terms near them (in
-Python, one Arrow batch at a time), one counts terms; both write digests without texts.
+included; as plain copies are no evidence, a term must besides stand with the entity in ``MIN_LINES``
+distinct lines. One pass over the texts finds the patterns and the lines that hold any (in Python, one
+Arrow batch at a time), one counts terms, and one finds the terms to mask in the texts that have some.
+
+Entities and terms of a line are paired in Spark, and only where a pair can still count: both in
+``MIN_LINES`` distinct lines, and ``n(t) <= N^(1 - threshold) * n(e)^threshold``, which the threshold implies as
+``n(t, e) <= n(e)``.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,9 +31,7 @@ from pyspark.sql import functions as F
 from narrascope.llm.common import arrow_function, bound_arrow, fresh, materialize, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-#: terms on either side of an entity, within its line, that are looked at
-CONTEXT_TERMS = 10
-#: distinct lines in which a term must stand near an entity
+#: distinct lines in which a term must stand with an entity
 MIN_LINES = 3
 #: share of an entity's information that a term may reveal
 DISCLOSURE = 0.5
@@ -42,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -91,57 +93,74 @@ def line_starts(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer("\n", text))]
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], heads: list[int], width: int = CONTEXT_TERMS):
-    """``(entity, line digest, term, start, end, line number)`` of the terms near each entity, outside all spans.
+def free_terms(text: str, spans: list[tuple[int, int, int]], a: int, b: int):
+    """Matches of the terms of ``text[a:b]`` that lie outside all sorted ``spans``."""
+    i, end = bisect_left(spans, (a,)), 0  # spans may nest, but stay in their line
+    for m in _TERM.finditer(text, a, b):
+        while i < len(spans) and spans[i][0] < m.end():
+            end = max(end, spans[i][2])
+            i += 1
+        if end <= m.start():
+            yield m
+
+
+def entity_lines(text: str, spans: list[tuple[int, int, int]], heads: list[int]) -> dict[int, tuple[int, list[str], list[str]]]:
+    """Per number of a line with entities: its digest, its distinct entities and its distinct terms outside all spans.
 
-    ``heads`` are the starts of the lines. Terms of a line are found once and looked up by position, so a
-    long line with many entities costs no more than its length and what is returned.
+    ``heads`` are the starts of the lines. A long line with many entities costs no more than its length.
     """
-    out = []
-    starts = [s[0] for s in spans]
-    ends = list(accumulate((s[2] for s in spans), max))  # spans may nest
-    lines: dict[int, tuple[list, list, int]] = {}
+    held: dict[int, list] = {}
+    for span in spans:
+        held.setdefault(bisect_right(heads, span[0]) - 1, []).append(span)
+    out = {}
+    for n, mine in held.items():
+        a, b = heads[n], heads[n + 1] - 1 if n + 1 < len(heads) else len(text)
+        entities = dict.fromkeys(entity_name(k, text[x:y]) for x, k, y in mine)
+        terms = dict.fromkeys(m[0].lower() for m in free_terms(text, mine, a, b))
+        out[n] = (xxhash.xxh64_intdigest(text[a:b].encode()) - (1 << 63), list(entities), list(terms))
+    return out
+
+
+def near_terms(text: str, spans: list[tuple[int, int, int]], heads: list[int], width: int = 10):
+    """``(entity, term, start, end)`` of the ``width`` terms on either side of each entity in its line, outside all spans.
+
+    For reading only: what is masked comes from whole lines and documents. Linear in the text and what is returned.
+    """
+    out, lines = [], {}
     for start, kind, stop in spans:
         n = bisect_right(heads, start) - 1
         if n not in lines:
             a, b = heads[n], heads[n + 1] - 1 if n + 1 < len(heads) else len(text)
-            terms = []
-            for m in _TERM.finditer(text, a, b):
-                i = bisect_left(starts, m.end()) - 1
-                if i < 0 or ends[i] <= m.start():
-                    terms.append(m.span())
-            lines[n] = ([t[0] for t in terms], [t[1] for t in terms], xxhash.xxh64_intdigest(text[a:b].encode()) - (1 << 63))
-        heads_t, tails_t, digest = lines[n]
-        before, after = bisect_right(tails_t, start), bisect_left(heads_t, stop)
-        name = entity_name(kind, text[start:stop])
-        for k in [*range(max(0, before - width), before), *range(after, min(len(heads_t), after + width))]:
-            out.append((name, digest, text[heads_t[k]:tails_t[k]].lower(), heads_t[k], tails_t[k], n))
+            terms = [m.span() for m in free_terms(text, spans, a, b)]
+            lines[n] = [t[0] for t in terms], [t[1] for t in terms]
+        starts, ends = lines[n]
+        before, after = bisect_right(ends, start), bisect_left(starts, stop)
+        for k in [*range(max(0, before - width), before), *range(after, min(len(starts), after + width))]:
+            out.append((entity_name(kind, text[start:stop]), text[starts[k]:ends[k]].lower(), starts[k], ends[k]))
     return out
 
 
-NEAR = "array<struct<entity:string,line:long,term:string,start:int,stop:int,at:int>>"
-FOUND = f"struct<spans:array<struct<start:int,kind:int,stop:int>>,n_lines:long,near:{NEAR},entities:array<struct<entity:string,lines:long>>>"
+FOUND = ("struct<spans:array<struct<start:int,kind:int,stop:int>>,n_lines:long,"
+         "lines:array<struct<line:long,copies:long,entities:array<string>,terms:array<string>>>>")
 
 
 @arrow_function(FOUND)
 def find(texts: pa.Array) -> pa.Array:
-    spans, n_lines, near, entities = [], [], [], []
+    spans, n_lines, lines = [], [], []
     for t in texts.to_pylist():
         t = t or ""
         s = base_spans(t)
         spans.append([{"start": a, "kind": k, "stop": b} for a, k, b in s])
-        heads = line_starts(t) if s else []
         n_lines.append(t.count("\n") + 1)
-        near.append([dict(zip(("entity", "line", "term", "start", "stop", "at"), x)) for x in near_terms(t, s, heads)] if s else [])
-        seen: dict[str, set] = {}
-        for a, k, b in s:
-            seen.setdefault(entity_name(k, t[a:b]), set()).add(bisect_right(heads, a))
-        entities.append([{"entity": e, "lines": len(x)} for e, x in seen.items()])
+        mine: dict[int, dict] = {}
+        for digest, entities, terms in entity_lines(t, s, line_starts(t)).values() if s else ():
+            mine.setdefault(digest, {"line": digest, "copies": 0, "entities": entities, "terms": terms})["copies"] += 1
+        lines.append(list(mine.values()))
     i32, i64, st = pa.int32(), pa.int64(), pa.string()
     return pa.StructArray.from_arrays([
         pa.array(spans, pa.list_(pa.struct([("start", i32), ("kind", i32), ("stop", i32)]))), pa.array(n_lines, i64),
-        pa.array(near, pa.list_(pa.struct([("entity", st), ("line", i64), ("term", st), ("start", i32), ("stop", i32), ("at", i32)]))),
-        pa.array(entities, pa.list_(pa.struct([("entity", st), ("lines", i64)])))], ["spans", "n_lines", "near", "entities"])
+        pa.array(lines, pa.list_(pa.struct([("line", i64), ("copies", i64), ("entities", pa.list_(st)), ("terms", pa.list_(st))])))],
+        ["spans", "n_lines", "lines"])
 
 
 @arrow_function("array<struct<term:string,lines:long>>")
@@ -158,43 +177,65 @@ def line_terms(texts: pa.Array) -> pa.Array:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One written row per document: ``row, doc_id, text_sha, spans, n_lines, near, entities``; no text."""
+    """One written row per document: ``doc_id, text_sha, spans, n_lines, lines``; no text."""
     bound_arrow(docs.sparkSession)
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("text_sha"),
-                        find(F.coalesce("text", F.lit(""))).alias("f"))
-    return materialize(found.select("row", "doc_id", "text_sha", "f.*"), "pii-scan")
+    found = docs.select("doc_id", text_key(F.col("text")).alias("text_sha"), find(F.coalesce("text", F.lit(""))).alias("f"))
+    return materialize(found.select("doc_id", "text_sha", "f.*"), "pii-scan")
 
 
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_lines: int = MIN_LINES, threshold: float = DISCLOSURE) -> DataFrame:
     """``entity, term, share, term_lines``: the terms that reveal at least ``threshold`` of an entity."""
-    near = scanned.filter(F.size("near") > 0).select("row", F.explode("near").alias("x"))
-    alike = near.select("row", "x.entity", "x.term", "x.line", "x.at").distinct().groupBy("entity", "term", "line").agg(F.count(F.lit(1)).alias("copies"))
-    both = (alike.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("n_lines"))
-            .filter(F.col("n_lines") >= min_lines).drop("n_lines"))
-    both = materialize(both, "pii-pairs")
     empty = docs.sparkSession.createDataFrame([], "entity string, term string, share double, term_lines long")
-    if both.isEmpty():
+    held = scanned.filter(F.size("lines") > 0).select(F.explode("lines").alias("x")).select("x.*")
+    lines = materialize(held.groupBy("line").agg(F.sum("copies").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-lines")
+    of_line = lines.select("line", "copies", F.explode("entities").alias("entity"))
+    n_e = of_line.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_lines)
+    entities = materialize(of_line.join(n_e.drop("k"), "entity"), "pii-entities")
+    if entities.isEmpty():
         return empty
-    n_e = scanned.filter(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e.entity").agg(F.sum("e.lines").alias("n_e"))
-    n_t = (docs.select(F.explode(line_terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t.term").agg(F.sum("t.lines").alias("n_t")))
-    terms = materialize(both.select("term").distinct().join(n_t, "term"), "pii-terms")
-    total = scanned.agg(F.sum("n_lines").alias("n")).first()["n"]
-    n = F.lit(float(total))
+    of_line = lines.join(entities.select("line").distinct(), "line", "left_semi").select("line", F.explode("terms").alias("term"))
+    often = of_line.groupBy("term").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_lines)
+    n_t = docs.select(F.explode(line_terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t.term").agg(F.sum("t.lines").alias("n_t"))
+    total = float(scanned.agg(F.sum("n_lines").alias("n")).first()["n"])
+    most = float(entities.agg(F.max("n_e").alias("n")).first()["n"])
+    # 1 % above the bound, as powers round
+    bound = lambda n: 1.01 * F.pow(F.lit(total), F.lit(1 - threshold)) * F.pow(n, F.lit(threshold))
+    terms = materialize(often.select("term").join(n_t, "term").filter(F.col("n_t") <= bound(F.lit(most))), "pii-terms")
+    pairs = entities.join(of_line.join(terms, "term"), "line").filter(F.col("n_t") <= bound(F.col("n_e")))
+    both = (pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("k"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+            .filter(F.col("k") >= min_lines))
+    n = F.lit(total)
     pmi = F.log2(F.col("n_te") * n / (F.col("n_t").cast("double") * F.col("n_e")))
     share = F.try_divide(pmi, F.log2(n / F.col("n_e")))
-    return (both.join(n_e, "entity").join(terms, "term").filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= threshold)
+    return (both.filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= threshold)
             .select("entity", "term", "share", F.col("n_t").alias("term_lines")))
 
 
+@arrow_function("array<struct<start:int,stop:int,action:string>>")
+def _occurrences(texts: pa.Array, terms: pa.Array) -> pa.Array:
+    """All places of each text's ``terms`` (term, action) outside the spans found by pattern."""
+    out = []
+    for t, held in zip(texts.to_pylist(), terms.to_pylist()):
+        action = {x["term"]: x["action"] for x in held}
+        out.append([{"start": m.start(), "stop": m.end(), "action": action[w]}
+                    for m in free_terms(t, base_spans(t), 0, len(t)) if (w := m[0].lower()) in action])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("action", pa.string())])))
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, text_sha, base, terms``: spans by pattern and the disclosing terms near them, per document."""
+    """``doc_id, text_sha, base, terms``: per document the spans by pattern, and the terms that disclose an entity it holds."""
     scanned = scan(docs)
     reveal = materialize(disclosing_terms(docs, scanned), "pii-reveal")
-    near = scanned.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.stop")
-    hit = near.join(reveal, ["entity", "term"])
+    base = scanned.select("doc_id", "text_sha", F.col("spans").alias("base"))
+    if reveal.isEmpty():
+        return base.withColumn("terms", F.lit(None).cast("array<struct<start:int,stop:int,action:string>>"))
+    holds = scanned.filter(F.size("lines") > 0).select("text_sha", F.explode(F.flatten("lines.entities")).alias("entity")).distinct()
     action = F.when(F.col("term_lines") >= GENERALISE_LINES, F.lit("generalise")).otherwise(F.lit("remove"))
-    terms = hit.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", action.alias("action")))).alias("terms"))
-    return scanned.select("row", "doc_id", "text_sha", F.col("spans").alias("base")).join(terms, "row", "left")
+    masks = holds.join(reveal, "entity").groupBy("text_sha").agg(F.collect_set(F.struct("term", action.alias("action"))).alias("mask"))
+    masks = materialize(masks, "pii-masks")
+    texts = docs.select("text", text_key(F.col("text")).alias("text_sha")).join(masks, "text_sha")
+    terms = materialize(texts.select("text_sha", _occurrences("text", "mask").alias("terms")).dropDuplicates(["text_sha"]), "pii-places")
+    return base.join(terms, "text_sha", "left")
 
 
 def op7_pii(docs: DataFrame) -> DataFrame:

@@ -79,3 +79,22 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
         for i in (0, 1, 3 * copies - 1):
             masked = {text[i][int(s.split(":")[1]):int(s.split(":")[2])] for s in got[i]["spans"].split(",") if s.startswith("term")}
             assert "vicar" in masked and "today" not in masked, (copies, masked)
+
+
+def test_disclosing_terms_of_the_whole_line_and_document(spark):
+    gap = " ".join(["so on and on"] * 20)
+    rows = [(i, f"vicar {gap} mail jo.doe@mail.org {gap} 李明 has K7 in q{i}\nthen the vicar, 李明 or K7 again\nso on and on") for i in range(5)]
+    rows += [(100 + i, f"so on and on {i}\nmail then has the or in again\nthe vicarage of K77 and 李明明") for i in range(60)]
+    text = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in P.op7_pii(df).collect():
+        masked = [text[r["doc_id"]][int(s.split(":")[1]):int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith("term")]
+        assert sorted(masked) == (sorted(["vicar", "李明", "K7"] * 2) if r["doc_id"] < 100 else []), masked
+    clean = {r["doc_id"]: r["text"] for r in P.sanitise(df).collect()}
+    assert not any(w in clean[0] for w in ("vicar", "李明", "K7", "jo.doe")) and clean[100] == text[100]
+
+
+def test_entity_lines_are_linear():
+    many = "1.2.3.4 some word " * 40_000 + "\n" * 1000 + "9.9.9.9 x"
+    got = P.entity_lines(many, P.base_spans(many), P.line_starts(many))
+    assert [x[1:] for x in got.values()] == [(["ip:1.2.3.4"], ["some", "word"]), (["ip:9.9.9.9"], ["x"])]
