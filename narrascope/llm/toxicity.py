@@ -6,9 +6,10 @@ chance that a document is labelled toxic without any such sentence. Only documen
 weights, bias and leak maximise their likelihood, so the sentences that explain a label are found by the
 model, and ``offending_sentences`` returns them.
 
-Terms are chosen by a Spark aggregation over all labelled training rows (document frequency by label).
-The weights are fitted on at most ``MAX_FIT_ROWS`` labelled rows, chosen by hash, of which only the
-sentences with a chosen term leave the executors. Scoring is one pass without a shuffle.
+Terms are chosen by a Spark aggregation over all labelled training rows (document frequency by label);
+every term that passes ``MIN_Z`` and ``MIN_ROWS`` is kept. The weights are fitted on at most ``MAX_FIT_ROWS`` labelled rows, chosen by hash, of which only the
+sentences with a chosen term leave the executors; a term that none of them holds gets the weight that
+makes its share of toxic rows, over all rows, the chance of a sentence with it. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from narrascope.llm.common import arrow_function, bound_arrow, materialize
 
 #: bound on the labelled rows that the weights are fitted on
 MAX_FIT_ROWS = 20_000
-MAX_TERMS = 4096
 MIN_ROWS = 5
 MIN_Z = 5.0
 THRESHOLD = 0.7
@@ -67,18 +67,18 @@ def distinct_terms(texts: pa.Array) -> pa.Array:
     return pa.array([sorted(set(_TERM.findall((t or "").lower()))) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def choose_terms(rows: DataFrame) -> list[str]:
-    """Terms whose share of toxic documents is far above the mean, from all ``rows`` (text, toxic)."""
+def choose_terms(rows: DataFrame) -> dict[str, float]:
+    """All terms whose share of toxic documents is far above the mean, and that share (smoothed), from ``rows`` (text, toxic)."""
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, t = facts["n"], facts["t"] or 0
     if not 0 < t < n:
-        return []
+        return {}
     rate = t / n
     df = (rows.select("toxic", F.explode(distinct_terms("text")).alias("term"))
           .groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= MIN_ROWS))
     z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = df.withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return [r["term"] for r in best.select("term").collect()]
+    best = df.withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term")
+    return {r["term"]: (r["t"] + rate) / (r["n"] + 1) for r in best.select("term", "n", "t").collect()}
 
 
 def fit_weights(labels: np.ndarray, docs: np.ndarray, sentences: np.ndarray, terms: np.ndarray, n_terms: int,
@@ -120,9 +120,9 @@ def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
     @F.arrow_udf("array<array<int>>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = vocabulary.value
-        known = held.keys()
+        known = frozenset(held)
         for texts in batches:
-            yield pa.array([[sorted(held[w] for w in s[2]) for s in sentence_terms(t.as_py(), frozenset(known))] for t in texts],
+            yield pa.array([[sorted(held[w] for w in s[2]) for s in sentence_terms(t.as_py(), known)] for t in texts],
                            pa.list_(pa.list_(pa.int32())))
 
     labels, docs, sent, term = [], [], [], []
@@ -138,6 +138,9 @@ def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
         return Model(leak=float(y.mean()))
     as_int = lambda a: np.array(a, dtype=np.int64)
     leak, bias, w = fit_weights(y, as_int(docs), as_int(sent), as_int(term), len(terms))
+    share = np.array(list(terms.values()))
+    unseen = np.bincount(as_int(term), minlength=len(terms)) == 0
+    w = np.where(unseen, np.log(share / (1 - share)) - bias, w)
     return Model(leak, bias, dict(zip(terms, w.tolist())))
 
 

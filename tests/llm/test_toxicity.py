@@ -49,3 +49,18 @@ def test_odd_rows(spark):
     assert [r["predicted"] for r in T.op3_toxicity(docs, none).collect()] == [0] * 4
     assert T.op3_toxicity(docs.limit(0), labels).count() == 0
     assert T.reject_toxic(docs, none).columns == docs.columns
+
+
+def test_every_term_that_passes_is_kept(spark):
+    word = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    common = " ".join(word(i) for i in range(4200))
+    rows = [(i, common if i < 100 else "Du Schuft." if i < 106 else "Alles ruhig hier.", int(i < 106)) for i in range(2000)]
+    terms = T.choose_terms(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert len(terms) == 4202 and "schuft" in terms
+
+
+def test_terms_outside_the_fitted_rows_have_weight(spark):
+    ids = spark.range(4000).selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()  # fitted rows are the least hashes
+    rows = [(r["id"], "Du Schuft." if k >= 3992 else "Ein Halunke." if k % 10 == 0 else "Alles ruhig hier.", int(k >= 3992 or k % 10 == 0)) for k, r in enumerate(ids)]
+    model = T.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), max_rows=400)
+    assert all(T.noisy_or(model, T.sentence_scores(model, t, frozenset(model.weights))) > 0.7 for t in ("Du Schuft.", "Ein Halunke."))
