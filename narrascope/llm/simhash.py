@@ -122,13 +122,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(digest: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for each distinct ``fp`` of ``digest`` (doc_id, fp)."""
+def labelled_classes(digest: DataFrame) -> DataFrame:
+    """``(fp, comp, component_id)`` for each distinct ``fp`` of ``digest`` (doc_id, fp); ``comp`` tells classes apart."""
     nodes = materialize(digest.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     comp = components(links(nodes.select("fp")))
     labelled = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     lowest = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
-    return labelled.join(lowest, "comp").select("fp", "component_id")
+    return labelled.join(lowest, "comp").select("fp", "comp", "component_id")
+
+
+def classes(digest: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` for each distinct ``fp`` of ``digest`` (doc_id, fp)."""
+    return labelled_classes(digest).select("fp", "component_id")
 
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
@@ -149,23 +154,31 @@ def op5_simhash(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row per class: the row with the class's smallest ``doc_id``.
+    """``docs`` with one row per class: a row with the class's smallest ``doc_id``.
 
-    Of repeated rows with that id one stays. Rows without an id stay only where their whole class has
-    none, one for each class.
+    Of repeated rows with that id one stays, of different fingerprints with that id in the class the
+    smallest. Rows without an id stay only where their whole class has none, one for each class.
     """
     digest = fingerprint_digest(docs)
-    found = digest.join(classes(digest), "fp")
-    verdict = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("low")), "simhash-verdict")
-    gone, = fresh(docs.columns, "gone_id")
-    drops = verdict.filter(F.col("doc_id").isNotNull() & (F.col("low") != F.col("doc_id"))).select(F.col("doc_id").alias(gone))
+    found = digest.join(labelled_classes(digest), "fp")
+    verdict = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("low"),
+                                                      (F.min("fp") != F.max("fp")).alias("mixed")), "simhash-verdict")
+    gone, fp, cls = fresh(docs.columns, "gone_id", "near_fp", "near_class")
+    drops = verdict.filter(F.col("doc_id").isNotNull() & ((F.col("low") != F.col("doc_id")) | F.col("mixed"))).select(F.col("doc_id").alias(gone))
     # the ids to drop grow with the documents: one plan at every size
     kept = docs.filter("doc_id is not null").join(drops.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")
     if not verdict.filter("doc_id is not null and n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
+    mixed = verdict.filter("doc_id is not null and mixed").select("doc_id")
+    if not mixed.isEmpty():  # ids on several texts: decided by id and fingerprint
+        first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("comp").agg(F.min(F.struct("doc_id", "fp")).alias("x"))
+        first = first.select("x.*").join(mixed, "doc_id", "left_semi")
+        first = materialize(first.select(F.col("doc_id").alias(gone), F.col("fp").alias(fp)), "simhash-mixed")
+        some = docs.join(first.select(gone).distinct(), F.col("doc_id") == F.col(gone), "left_semi").withColumn(cls, fingerprints("text"))
+        some = some.join(first, (F.col("doc_id") == F.col(gone)) & (F.col(cls) == F.col(fp)), "left_semi").dropDuplicates(["doc_id", cls])
+        kept = kept.unionByName(some.select(*docs.columns))
     if verdict.filter("doc_id is null").isEmpty():
         return kept
-    fp, cls = fresh(docs.columns, "near_fp", "near_class")
     alone = materialize(classes_without_ids(digest).toDF(fp, cls), "simhash-anon")
     rest = docs.filter("doc_id is null").withColumn(fp, fingerprints("text")).join(alone, fp).dropDuplicates([cls])
     return kept.unionByName(rest.select(*docs.columns))

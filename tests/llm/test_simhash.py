@@ -89,3 +89,12 @@ def test_long_chain_and_empty(spark):
 def test_very_long_text():
     text = "ab cd ef gh " * 200_000
     assert S.fingerprint(text) == S.fingerprint("ab cd ef gh " * 20_000)
+
+
+def test_one_id_on_several_texts(spark):
+    a, near, b, c = "alpha beta gamma", "ALPHA beta  gamma", "one two three", "rot blau gelb"
+    for rows, want in (([(5, a), (7, near), (7, b)], [{(5, a)}, {(7, b)}]), ([(7, a), (7, b)], [{(7, a)}, {(7, b)}]),
+                       ([(7, a), (7, near), (7, b), (8, b), (9, c), (9, c), (None, c)], [{(7, a), (7, near)}, {(7, b)}, {(9, c)}])):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [(r["doc_id"], r["text"]) for r in S.drop_near_duplicates(df).collect()]
+        assert len(got) == len(want) and all(len(w & set(got)) == 1 for w in want), got
