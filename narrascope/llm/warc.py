@@ -5,8 +5,8 @@ Writing: every page becomes three records, request, response (or revisit) and me
 with the largest page id; the others are revisit records that name it. Records are rows of text and
 Spark's text writer, with the record separator as line separator, lays them out as gzip archives.
 
-Reading: archives are read whole, one per task (the writer bounds their size), records are cut by their
-``Content-Length``, and transactions are assembled by joins: request and metadata to the response through
+Reading: archives are decompressed as a stream, one per task, so a task holds the compressed file and a
+batch of records whatever the size of the archive; records are cut by their ``Content-Length``, and transactions are assembled by joins: request and metadata to the response through
 the concurrent-to id, a revisit to its response through the refers-to id.
 """
 
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,21 +97,20 @@ _ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurr
                     ("url", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.string())])
 
 
-def parse_records(data: bytes, keep_payload: bool = True) -> Iterator[dict]:
-    """The records of one uncompressed archive, cut by ``Content-Length``."""
-    at = 0
-    while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        end = data.index(b"\r\n\r\n", at)
+def parse_records(data: bytes | BinaryIO, keep_payload: bool = True) -> Iterator[dict]:
+    """The records of one uncompressed archive (bytes or a stream), cut by ``Content-Length``, one at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         head = {}
-        for line in data[at:end].decode().split(CRLF)[1:]:
-            k, _, v = line.partition(": ")
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode().removesuffix(CRLF).partition(": ")
             head[k.lower()] = v
-        start = end + 4
-        at = start + int(head["content-length"])
-        block, kind = data[start:at], head["warc-type"]
+        size = int(head["content-length"])
+        block, kind = stream.read(size), head["warc-type"]
+        if len(block) < size:
+            raise ValueError(f"the archive ends inside {head['warc-record-id']}")
         row = {"record_id": head["warc-record-id"], "type": kind, "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"),
                "url": head.get("warc-target-uri"), "digest": None, "payload_bytes": None, "payload": None, "fields": None}
         if kind in ("response", "revisit"):
@@ -134,7 +135,7 @@ def read_records(spark, path: str, keep_payload: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                data = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else data
                 rows, size = [], 0
                 for row in parse_records(data, keep_payload):
                     rows.append(row)

@@ -48,3 +48,15 @@ def test_archives_are_valid_and_nested_rows_complete(spark):
     assert got["http://b.example/x"]["response"]["payload"].decode() == BIG
     assert got[None]["response"]["type"] == "revisit" and got[None]["original"]["payload_bytes"] == len(BIG.encode())
     assert all(r["request"]["fields"].startswith("GET ") and "page_id: " in r["metadata"]["fields"] for r in got.values())
+
+
+def test_records_come_one_at_a_time_from_a_stream(spark):
+    path = scratch_dir(spark, "warc-test")
+    df = spark.range(300).selectExpr("id as page_id", "'http://a.example/' as url", "concat(id, repeat('x', 100000)) as html").coalesce(1)
+    W.write_warc(df, path)
+    file, = glob.glob(path.removeprefix("file:") + "/part-*")
+    with gzip.open(file) as stream:
+        records = W.parse_records(stream)
+        next(records)
+        assert stream.tell() < 1_000_000
+        assert sum(1 for _ in records) == 899
