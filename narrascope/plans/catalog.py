@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from narrascope.functions import text as X
+from narrascope.functions.arrays import prefix_sum
 from narrascope.operators import clean as C
 from narrascope.operators import entities as N
 from narrascope.operators import framing as FR
@@ -655,19 +656,26 @@ def q_incremental_ingest(spark, sf_dir):
 
 
 # ------------------------------------------------------------ N1b: a user model
-class CapitalizedRuns:
-    """A small stand-in model: runs of capitalised ASCII words (no group or score given), by batch."""
+CAPITALIZED_RUN = "(?<![A-Za-z0-9_])[A-Z][a-z]+(?: [A-Z][a-z]+)*"
 
-    def __init__(self):
-        import re
 
-        self.pattern = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", re.ASCII)
+def capitalized_runs(articles: DataFrame) -> DataFrame:
+    """A native stand-in for a user's model: runs of capitalised ASCII words (no group or score given).
 
-    def __call__(self, texts):
-        return [[{"word": m.group(0), "start": m.start(), "end": m.end()} for m in self.pattern.finditer(t)] for t in texts]
+    Output as of ``tag_entities_model``; a run starts after all gaps up to it and all runs before it.
+    """
+    text = F.coalesce(X.article_text("title", "summary", ". "), F.lit(""))
+    found = articles.select(F.col("id").alias("article_id"), text.alias("text")).select(
+        "article_id", F.regexp_extract_all("text", F.lit(CAPITALIZED_RUN), F.lit(0)).alias("words"),
+        F.transform(F.split("text", CAPITALIZED_RUN), F.length).alias("gaps"))
+    steps = F.zip_with(F.slice("gaps", 1, F.size("words")), "words", lambda g, w: g + F.length(w))
+    placed = found.select("article_id", F.arrays_zip("words", prefix_sum(steps).alias("ends")).alias("runs"))
+    run = lambda r: F.struct(F.lit(None).cast("string").alias("entity_group"), r["words"].alias("word"),
+                             F.lit(None).cast("double").alias("score"), (r["ends"] - F.length(r["words"])).alias("start"), r["ends"].alias("end"))
+    return placed.select("article_id", F.lit("capitalized_runs").alias("method"), F.transform("runs", run).alias("entities"), F.lit(0).alias("failed"))
 
 
 @register("tag_entities_model")
 def q_tag_entities_model(spark, sf_dir):
     b = bindings(spark, sf_dir)
-    return N.explode_entities(N.tag_entities_model(b.articles, CapitalizedRuns, method="capitalized_runs"))
+    return N.explode_entities(capitalized_runs(b.articles))

@@ -80,3 +80,20 @@ def test_stored_lower_word_is_pushed_down(spark, tmp_path):
     q = Q.entity_articles(arts, stored, "A", "2024-01-01", "2024-02-01")
     assert "PushedFilters: [IsNotNull(word_lower), EqualTo(word_lower,a)" in q._jdf.queryExecution().toString()
     assert sorted(r[0] for r in q.collect()) == [1, 2]
+
+
+def test_registered_model_query_is_native(spark):
+    import re
+
+    from narrascope.plans import catalog
+
+    titles = ["Anna Berg met Bob", "xAnna _Anna 5Anna HelloWorld", "Ünder Éa éAnna 𝒳 Karl Otto", "", None, "A Be C", "Zoe", "Ab  Cd\nEf Gh-Ij"]
+    df = spark.createDataFrame([(i, t, "Ende. Gut" if i % 2 else None) for i, t in enumerate(titles)], "id long, title string, summary string")
+    got = sorted((r["article_id"], r["start_char"], r["end_char"], r["word"]) for r in N.explode_entities(catalog.capitalized_runs(df)).collect())
+    want = []
+    for i, t in enumerate(titles):
+        text = f"{t or ''}. {'Ende. Gut' if i % 2 else ''}"
+        want += [(i, m.start(), m.end(), m[0]) for m in re.finditer(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", text, re.ASCII)]
+    assert got == sorted(want)
+    plan = catalog.REGISTRY["tag_entities_model"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "Python" not in plan
