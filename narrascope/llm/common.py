@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,19 @@ def bound_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def arrow_bounds(spark: SparkSession) -> Iterator[None]:
+    """As ``bound_arrow`` for what is executed inside; the session's own settings come back after it."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    bound_arrow(spark)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def arrow_function(ddl: str) -> Callable:
     """Decorator: an Arrow UDF with return type ``ddl``, made when it is called.
 

@@ -12,6 +12,7 @@ from narrascope.llm.common import read_table
 from narrascope.llm.decontam import op9_decontaminate
 from narrascope.llm.line_runs import op10_line_dedup
 from narrascope.llm.mixing import mix
+from narrascope.llm.packing import op13_packing
 from narrascope.llm.pii import op7_pii
 from narrascope.llm.sharding import op6_lpt_sharding
 from narrascope.llm.simhash import op5_simhash
@@ -47,6 +48,7 @@ def queries() -> dict:
         "op8_warc": _over(op8_warc, "pages"),
         "op9_decontaminate": _over(op9_decontaminate, "documents", "benchmark"),
         "op10_line_dedup": _over(op10_line_dedup, "documents"),
+        "op13_packing": _over(op13_packing, "documents"),
         "pipeline": _pipeline,
     }
 
