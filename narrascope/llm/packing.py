@@ -18,6 +18,7 @@ import functools
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,12 +35,14 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 POOL = 512
 FAN_IN = 64
-#: entries of a worker's word caches; a full cache starts again
-CACHE = 600_000
+#: words that a worker keeps the ids of; a full cache starts again
+CACHE = 1_000_000
 #: a long text is split a slice at a time; a slice ends with a whole word
 _SLICE = re.compile(rb"(?s).{1,1048576}[^\x20\x09-\x0d]*")
-_PLAIN = re.compile(rb"[!-~]+")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: ASCII and Latin-1 letters: already in normal form, with one lower case each
+_PLAIN = re.compile("[ \t-\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: the tokenizer's split pattern, for lower-case text of that kind; its branches start with different characters
+_WORDS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+", re.ASCII)
 
 
 @dataclass(frozen=True)
@@ -51,52 +54,56 @@ class Limits:
     loss: int = 4096
 
 
-class Words:
-    """Token ids of texts, through the tokenizer's own model, with the ids of words kept.
+class Words(dict):
+    """Token ids of texts, through the tokenizer's own model; the dictionary holds the ids of words met.
 
     White space separates words under every rule of this tokenizer (its normaliser and its splitter never
-    look across it), so a text's ids are those of its white-space separated parts in order. Parts of
-    printable ASCII are lower-cased and split by the tokenizer's pattern here; all others, and parts that
-    may hold a special token, go through the whole tokenizer.
+    look across it), so a text's ids are those of its white-space separated parts in order. Plain text is
+    lower-cased and split by the tokenizer's pattern here; parts with other characters, or with what may be a special
+    token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        super().__init__()
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+        got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = got
+        return got
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
 
-    def word(self, w: str) -> bytes:
-        got = self.words.get(w)
+    def part(self, p: str) -> bytes:
+        got = self.parts.get(p)
         if got is None:
-            got = np.array([t.id for t in self.model.tokenize(w)], dtype="<u4").tobytes()
-            if len(w) <= 64:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[w] = got
+            if _PLAIN.fullmatch(p) and "<|" not in p:
+                return self.plain(p)
+            got = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if len(p) <= 64:
+                if len(self.parts) >= CACHE // 4:
+                    self.parts.clear()
+                self.parts[p] = got
         return got
 
-    def part(self, p: bytes) -> bytes:
-        if _PLAIN.fullmatch(p) and b"<|" not in p:
-            return b"".join([self.word(w) for w in _WORDS.findall(p.lower().decode())])
-        return np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
     def ids(self, text: str | None) -> np.ndarray:
-        held, out = self.parts, []
+        out = []
         for piece in _SLICE.finditer((text or "").encode()):
-            ids = []
-            for p in piece[0].split():
-                got = held.get(p)
-                if got is None:
-                    got = self.part(p)
-                    if len(p) <= 64:
-                        if len(held) >= CACHE:
-                            held.clear()
-                        held[p] = got
-                ids.append(got)
-            out.append(b"".join(ids))
+            s = piece[0].decode()
+            if _PLAIN.fullmatch(s) and "<|" not in s:
+                out.append(self.plain(s))
+            else:
+                out.extend([self.part(p.decode()) for p in piece[0].split()])
         return np.frombuffer(b"".join(out), dtype="<u4")
 
 
