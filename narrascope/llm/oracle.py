@@ -100,4 +100,55 @@ SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-SQL = {"op1_url_tree": url_tree.SQL, "op4_mix": mix_sql(900, 2), "op8_warc": WARC, "op9_decontaminate": DECONTAM, "op10_line_dedup": LINES}
+
+
+def _repair_sql() -> str:
+    """The edits by a fold over a conversation's rows: per pattern state, cost (8 digits) and audit in one string."""
+    add = lambda x, cost, letter: f"(lpad((left({x}, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({x}, 9) || '{letter}')"
+    t = "CASE WHEN x[2] = 't' THEN 1 ELSE 0 END"
+    live = lambda cond, e: f"CASE WHEN x[2] NOT IN ('b', 'd') AND {cond} THEN {e} ELSE '99999999' END"
+    keep = lambda role, *olds: [live(f"x[1] = '{role}'", add(o, t, "K")) for o in olds]
+    rerole = lambda *olds: [live("true", add(o, f"2 + {t}", "R")) for o in olds]
+    least = lambda *xs: f"least({', '.join(xs)})"
+    closed = lambda c: [f"{c}[1]", f"{c}[2]", least(f"{c}[3]", *[add(f"{c}[{k}]", 2, "I") for k in (1, 2, 4)]),
+                        least(f"{c}[4]", add(f"{c}[3]", 2, "I"), add(f"{c}[1]", 4, "II"), add(f"{c}[2]", 4, "II"))]
+    c = [f"c[{k}]" for k in (1, 2, 3, 4)]
+    row = [add(c[0], 3, "D"), least(add(c[1], 3, "D"), *keep("s", c[0])),
+           least(add(c[2], 3, "D"), *keep("u", c[0], c[1], c[3]), *rerole(c[0], c[1], c[3])), least(add(c[3], 3, "D"), *keep("a", c[2]), *rerole(c[2]))]
+    step = f"list_transform([[{', '.join(closed('acc'))}]], lambda c: [{', '.join(row)}])[1]"
+    end = closed("acc")
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b)) AS tab),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT c.*, xor(list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]),
+                                  4294967295::BIGINT), 4294967295) % 20 AS rule FROM c, t),
+d AS (SELECT conv_id, turn, CASE WHEN rule = 4 THEN 'user' ELSE role END AS role,
+             CASE rule WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM h, unnest(range(CASE rule WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS r(n)),
+o AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS tie, left(role, 1) AS r,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e FROM d),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie) AS i FROM o),
+f AS (SELECT *, CASE WHEN e = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                     WHEN right(e, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+             lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM s),
+g AS (SELECT conv_id, list([r, fault] ORDER BY i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+q AS (SELECT * EXCLUDE (rows), list_reduce(rows, lambda acc, x: {step}, ['00000000', '90000000', '90000000', '90000000']) AS acc FROM g),
+b AS (SELECT * EXCLUDE (acc), least({end[0]}, {end[3]}) AS best FROM q),
+a AS (SELECT *, left(best, 8)::BIGINT AS cost, substr(best, 9) AS audit FROM b),
+l AS (SELECT conv_id, j, audit[j] AS x, (length(audit) - length(replace(audit, 'D', ''))) AS dels, length(audit) AS n FROM a, unnest(range(1, length(audit) + 1)) AS r(j)),
+m AS (SELECT *, count(*) FILTER (x <> 'I') OVER w AS i, count(*) FILTER (x <> 'D') OVER w - 1 - (n - dels) % 2 AS place
+      FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+z AS (SELECT m.conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN f.role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END
+                                          || ':' || CASE WHEN x = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j)) AS sha
+      FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i WHERE x <> 'D' GROUP BY m.conv_id)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+
+SQL = {"op1_url_tree": url_tree.SQL, "op4_mix": mix_sql(900, 2), "op8_warc": WARC, "op9_decontaminate": DECONTAM, "op10_line_dedup": LINES,
+       "op11_conversation_repair": _repair_sql()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from narrascope.llm import oracle
 from narrascope.llm.ann import op2_rabit
 from narrascope.llm.common import read_table
+from narrascope.llm.conversations import op11_conversation_repair
 from narrascope.llm.decontam import op9_decontaminate
 from narrascope.llm.line_runs import op10_line_dedup
 from narrascope.llm.mixing import mix
@@ -48,6 +49,7 @@ def queries() -> dict:
         "op8_warc": _over(op8_warc, "pages"),
         "op9_decontaminate": _over(op9_decontaminate, "documents", "benchmark"),
         "op10_line_dedup": _over(op10_line_dedup, "documents"),
+        "op11_conversation_repair": _over(op11_conversation_repair, "conversations"),
         "op13_packing": _over(op13_packing, "documents"),
         "pipeline": _pipeline,
     }
