@@ -102,6 +102,25 @@ FROM m GROUP BY doc_id
 
 
 
+PHRASES = rf"""
+WITH pc AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(string_split_regex(translate(coalesce(text, ''), '{AZ}', '{az}'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pc),
+tot AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, len, ws[i:i + len - 1] AS p FROM w, unnest(range(1, 6)) AS l(len), unnest(range(1, len(ws) - len + 2)) AS r(i)),
+f AS (SELECT lang, len, array_to_string(p, ' ') AS p, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT f.*, string_split(p, ' ') AS ws FROM f WHERE len > 1),
+cut AS (SELECT c.lang, c.p, c.len, c.a, k, l.a AS l, r.a AS r, tot.n, (1000::HUGEINT * c.a * tot.n) // (l.a::HUGEINT * r.a) AS score
+        FROM c JOIN tot USING (lang), unnest(range(1, c.len)) AS q(k)
+        JOIN f l ON l.lang = c.lang AND l.p = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.p = array_to_string(c.ws[k + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT c.lang, array_to_string(c.ws[i:i + m - 1], ' ') AS p, c.a
+           FROM c, unnest(range(2, c.len)) AS q(m), unnest(range(1, c.len - m + 2)) AS r(i)),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = best.lang AND inside.p = best.p AND 100 * inside.a >= 100 * best.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def _repair_sql() -> str:
     """The edits by a fold over a conversation's rows: per pattern state, cost (8 digits) and audit in one string."""
     add = lambda x, cost, letter: f"(lpad((left({x}, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({x}, 9) || '{letter}')"
@@ -151,4 +170,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN a ON a.conv_id IS
 
 
 SQL = {"op1_url_tree": url_tree.SQL, "op4_mix": mix_sql(900, 2), "op8_warc": WARC, "op9_decontaminate": DECONTAM, "op10_line_dedup": LINES,
-       "op11_conversation_repair": _repair_sql()}
+       "op11_conversation_repair": _repair_sql(), "op12_collocations": PHRASES}

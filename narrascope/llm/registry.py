@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from narrascope.llm import oracle
 from narrascope.llm.ann import op2_rabit
+from narrascope.llm.collocations import op12_collocations
 from narrascope.llm.common import read_table
 from narrascope.llm.conversations import op11_conversation_repair
 from narrascope.llm.decontam import op9_decontaminate
@@ -50,6 +51,7 @@ def queries() -> dict:
         "op9_decontaminate": _over(op9_decontaminate, "documents", "benchmark"),
         "op10_line_dedup": _over(op10_line_dedup, "documents"),
         "op11_conversation_repair": _over(op11_conversation_repair, "conversations"),
+        "op12_collocations": _over(op12_collocations, "documents"),
         "op13_packing": _over(op13_packing, "documents"),
         "pipeline": _pipeline,
     }
