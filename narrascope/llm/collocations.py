@@ -86,48 +86,76 @@ class Chunk:
         self.parts.append(np.array([-1]))
 
     def counts(self, bits: Bits | None, count_words: bool) -> Iterator[pa.RecordBatch]:
-        """Counts of the words, and of the active phrases of every length."""
+        """Counts of the words, and of the active phrases of every length; definitions of the latest known ones."""
         ids = np.concatenate(self.parts)
         names = [(lang, w, i) for lang, held in self.words.items() for w, i in held.items() if i >= 0]
-        keys = np.zeros((len(names), 2), np.uint64)
-        for lang, w, i in names:
-            h = xxhash.xxh3_128_intdigest(lang.encode() + b"\0" + w)
-            keys[i] = (h >> 64, h & 0xFFFFFFFFFFFFFFFF)
-        if count_words and names:
+        if not names:
+            return
+        before = {lang: f"{len(lang)}:{lang}".encode() for lang in self.words}
+        digests = b"".join([xxhash.xxh3_128_digest(before[lang] + w) for lang, w, _ in names])
+        keys = np.empty((len(names), 2), np.uint64)
+        keys[[i for _, _, i in names]] = np.frombuffer(digests, ">u8").reshape(-1, 2)
+        if count_words:
             n = np.bincount(ids[ids >= 0], minlength=len(names))
-            order = np.array([i for _, _, i in names])
-            yield _batch(1, keys[order], None, None, n[order], [x for x, _, _ in names], [w.decode() for _, w, _ in names])
+            yield _batch(1, keys, n)
+            for lang, held in self.words.items():
+                mine = np.fromiter(held.values(), np.int64, len(held))
+                yield _batch(0, np.zeros((1, 2), np.uint64), np.array([n[mine[mine >= 0]].sum()]), [lang])
+        if bits is None:
+            return
+        known, recent = bits.has(0, keys), bits.has(1, keys)
+        told = [(i, (before[lang] + w).decode()) for lang, w, i in names if known[i] and recent[i]]
+        yield _batch(1, keys[[i for i, _ in told]], np.zeros(len(told), np.int64), [d for _, d in told])
+        at = np.flatnonzero(ids >= 0)
+        at = at[known[ids[at]]]  # where a known phrase of the length below starts
+        held, fresh = keys[ids[at]], recent[ids[at]]
         for size in range(2, MAX_WORDS + 1):
-            if bits is None or not len(keys):
+            i = np.flatnonzero(at[1:] == at[:-1] + 1)
+            new, active = phrase_keys(held[i], held[i + 1]), fresh[i] | fresh[i + 1]
+            where = np.flatnonzero(active)
+            if len(where):
+                code, first = _distinct(new[where])
+                first = where[first]
+                parts = _parts(held, i[first]) if size == MAX_WORDS else None
+                yield _batch(size, new[first], np.bincount(code, minlength=len(first)), parts)
+            if size == MAX_WORDS:
                 return
-            known, recent = bits.has(0, keys), bits.has(1, keys)
-            a, b = ids[:-1], ids[1:]
-            both = (a >= 0) & (b >= 0)
-            both[both] = known[a[both]] & known[b[both]]
-            pairs = a[both] * len(keys) + b[both]
-            code, found = pd.factorize(pairs)
-            first, second = found // len(keys), found % len(keys)
-            new = phrase_keys(keys[first], keys[second])
-            active = recent[first] | recent[second]
-            if active.any():
-                n = np.bincount(code, minlength=len(found))
-                yield _batch(size, new[active], keys[first[active]], keys[second[active]], n[active])
-            ids = np.full(len(both), -1, np.int64)
-            ids[both] = code
-            keys = new
-
-
-SCHEMA = "k int, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long, lang string, word string, n long"
-_KIND = pa.schema([("k", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "p1", "p2", "s1", "s2")], ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+            known = bits.has(0, new)
+            fresh = known & bits.has(1, new)
+            where = np.flatnonzero(fresh)
+            if len(where):
+                first = where[_distinct(new[where])[1]]
+                yield _batch(size, new[first], np.zeros(len(first), np.int64), _parts(held, i[first]))
+            at, held, fresh = at[i][known], new[known], fresh[known]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each key among the distinct ones, and the first place of each."""
+    code, found = pd.factorize(keys[:, 0])
+    first = np.empty(len(found), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    if (keys[first, 1][code] != keys[:, 1]).any():
+        _, first, code = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    return code.reshape(-1), first
+
+
+def _parts(held: np.ndarray, at: np.ndarray) -> list[str]:
+    both = np.hstack((held[at], held[at + 1])).view(np.int64)
+    return [",".join(map(str, x)) for x in both.tolist()]
+
+
+SCHEMA = "k int, h1 long, h2 long, def string, n long"
+_KIND = pa.schema([("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("def", pa.string()), ("n", pa.int64())])
 KEY = ["h1", "h2"]
+#: rows of keys that are broadcast, at most (16 bytes each)
+SMALL = 500_000
 
 
-def _batch(k: int, h: np.ndarray, p, s, n: np.ndarray, lang=None, word=None) -> pa.RecordBatch:
+def _batch(k: int, keys: np.ndarray, n: np.ndarray, told: list[str] | None = None) -> pa.RecordBatch:
     size = len(n)
-    lanes = lambda x: [pa.nulls(size, pa.int64())] * 2 if x is None else [pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64))]
-    h, p, s = (None if x is None else np.asfortranarray(x) for x in (h, p, s))
-    texts = [pa.nulls(size, pa.string()) if x is None else pa.array(x, pa.string()) for x in (lang, word)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), *lanes(h), *lanes(p), *lanes(s), *texts, pa.array(n.astype(np.int64))], schema=_KIND)
+    lanes = [pa.array(np.ascontiguousarray(keys[:, x]).view(np.int64)) for x in (0, 1)]
+    told = pa.nulls(size, pa.string()) if told is None else pa.array(told, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), *lanes, told, pa.array(n.astype(np.int64))], schema=_KIND)
 
 
 def counter(held, count_words: bool):
@@ -165,8 +193,24 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 
 
+def _of(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``rows`` that have one of the ``n`` distinct ``keys``."""
+    return rows.join(F.broadcast(keys) if n <= SMALL else keys, KEY, "left_semi")
+
+
+def reached(steps: list[DataFrame], known: DataFrame | None, min_count: int) -> DataFrame:
+    """Keys (k, h1, h2) that reach ``min_count`` in the given steps, one for each shard, and are not known.
+
+    One of the steps has an even share of the threshold, so the others are read for such keys alone.
+    """
+    rows = _union(steps).filter("k > 0")
+    hot = rows.filter(F.col("n") >= -(-min_count // len(steps))).select(*KEY).distinct()
+    hot = materialize(hot if known is None else hot.join(known.select(*KEY), KEY, "left_anti"), "phrase-hot")
+    return _of(rows, hot, hot.count()).groupBy("k", *KEY).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).select("k", *KEY)
+
+
 def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[list[DataFrame], DataFrame]:
-    """The counts of every step and the keys (h1, h2, k) of all phrases that reached ``min_count``."""
+    """The counts of every step and the keys (k, h1, h2) of all phrases that reached ``min_count``."""
     spark = docs.sparkSession
     path = scratch_dir(spark, "phrase-shards")
     dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -179,19 +223,17 @@ def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[list[Data
         while True:
             step = len(steps)
             if step:
-                held, recent = bitmaps(spark, _union(known).filter(F.col("k") < MAX_WORDS), step - shards)
+                held, recent = bitmaps(spark, _union(known), step - shards)
                 if step >= shards and not recent:
                     held.unpersist()
                     return steps, _union(known)
             shard = spark.read.schema("lang string, text string, shard int").option("basePath", path).parquet(path).filter(F.col("shard") == step % shards)
             found = shard.select("lang", "text").mapInArrow(counter(held, step < shards), SCHEMA)
-            steps.append(materialize(found.groupBy(*[c for c in found.columns if c != "n"]).agg(F.sum("n").alias("n")), "phrase-counts"))
+            steps.append(materialize(found.groupBy("k", *KEY, "def").agg(F.sum("n").alias("n")), "phrase-counts"))
             if held is not None:
                 held.unpersist()
-            cycle = _union(steps[-shards:]).groupBy("k", *KEY).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).select("k", *KEY)
-            if known:
-                cycle = cycle.join(_union(known).select(*KEY), KEY, "left_anti")
-            known.append(materialize(cycle.withColumn("since", F.lit(step)), "phrase-known"))
+            new = reached(steps[-shards:], _union(known) if known else None, min_count)
+            known.append(materialize(new.withColumn("since", F.lit(step)), "phrase-known"))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -200,12 +242,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
     Phrases: ``lang, phrase, k, n``, the keys, and for each cut the counts of its parts (``firsts``, ``rests``).
     """
     steps, known = scan_cycles(docs, min_count, shards)
-    per_shard = [s.withColumn("shard", F.lit(i % shards)) for i, s in enumerate(steps)]
-    total = materialize(_union(steps).filter("k = 1").groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
+    total = materialize(_union(steps).filter("k = 0").groupBy(F.col("def").alias("lang")).agg(F.sum("n").alias("total")), "phrase-totals")
+    n_known = known.count()
+    rows = _of(_union([s.withColumn("shard", F.lit(i % shards)) for i, s in enumerate(steps)]).filter("k > 0"), known.select(*KEY), n_known)
     # a shard's count is the same in whichever steps it was made
-    once = (_union(per_shard).join(known.select(*KEY), KEY, "left_semi").groupBy("k", *KEY, "p1", "p2", "s1", "s2", "lang", "word", "shard").agg(F.max("n").alias("n"))
-            .groupBy("k", *KEY, "p1", "p2", "s1", "s2", "lang", "word").agg(F.sum("n").alias("n")))
-    counted = materialize(once, "phrase-frequent")
+    once = rows.groupBy("k", *KEY, "shard").agg(F.max("n").alias("n")).groupBy("k", *KEY).agg(F.sum("n").alias("n"))
+    told = _of(_union(steps).filter("k > 0 and def is not null"), known.select(*KEY), n_known).select(*KEY, "def").distinct()
+    part = lambda i: F.when(F.col("k") > 1, F.get(F.split("def", ","), F.lit(i)).cast("long"))
+    digits = F.substring_index("def", ":", 1)
+    size = F.when(F.col("k") == 1, digits).try_cast("int")
+    counted = materialize(once.join(told, KEY).select(
+        "k", *KEY, "n", part(0).alias("p1"), part(1).alias("p2"), part(2).alias("s1"), part(3).alias("s2"),
+        F.substring("def", F.length(digits) + 2, size).alias("lang"), F.substring("def", F.length(digits) + 2 + size, F.length("def")).alias("word")), "phrase-frequent")
     none = F.array().cast("array<long>")
     level = counted.filter("k = 1").select("lang", F.col("word").alias("phrase"), "k", "n", *KEY, "p1", "p2", "s1", "s2", none.alias("firsts"), none.alias("rests"))
     levels = [level]

