@@ -27,6 +27,29 @@ def feed_format(source) -> F.Column:
     return F.pmod(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int"), F.lit(3))
 
 
+#: charset of a landed feed, by the number in its source's name; ``BROKEN`` sources state UTF-8 but hold another byte
+CHARSETS = {"src3": "ISO-8859-1", "src4": "UTF-16", "src5": "windows-1252"}
+BROKEN = "src6"
+#: what windows-1252 has in place of the C1 control characters
+_HIGH = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+CP1252 = bytes(_HIGH).decode("windows-1252"), "".join(map(chr, _HIGH))
+
+
+def in_charset(xml, source) -> F.Column:
+    """The landed bytes of a feed; characters that its charset lacks are question marks.
+
+    The writer ends each file with one byte, a line feed; UTF-16 leaves that half of the last character to it.
+    """
+    narrow = lambda c, lacks: F.regexp_replace(c, lacks, "?")
+    western = narrow(xml, f"[^\\x00-\\x7f\\xa0-\\xff{CP1252[0]}]")
+    wide = F.encode(F.concat(F.lit("\ufeff"), narrow(xml, "[^\\x00-\\x{ffff}]")), "UTF-16BE")
+    out = F.encode(xml, "UTF-8")
+    out = F.when(source == "src3", F.encode(narrow(xml, "[^\\x00-\\xff]"), "ISO-8859-1")).otherwise(out)
+    out = F.when(source == "src4", F.concat(wide, F.unhex(F.lit("00")))).otherwise(out)
+    out = F.when(source == "src5", F.encode(F.translate(western, *CP1252), "ISO-8859-1")).otherwise(out)
+    return F.when(source == BROKEN, F.concat(F.encode(xml, "UTF-8"), F.unhex(F.lit("FF")))).otherwise(out)
+
+
 def landed_date(at, lang, n) -> F.Column:
     """A date in the forms feeds use, by ``n`` modulo 4; French articles have an unreadable one."""
     day = lambda t: F.date_format(t, "EEE, dd MMM yyyy HH:mm")
@@ -42,7 +65,8 @@ def land_feeds(b: Bindings, root: str):
     """One feed per (source, block of FEED_BLOCK ids), RSS 2.0, Atom or RSS 1.0; returns (path, feeds list).
 
     German articles lose their title element, Spanish ones get a blank link, French ones an unreadable
-    date, and the feeds of ``src0`` lack their closing tags (malformed, all text kept).
+    date, and the feeds of ``src0`` lack their closing tags (malformed, all text kept). ``CHARSETS`` names the feeds
+    that are not in UTF-8, ``BROKEN`` those that say they are.
     """
     a = b.articles.withColumn("fmt", feed_format(F.col("source")))
     feed = F.concat(F.col("source"), F.lit("-"), F.lpad(F.floor(F.col("id") / FEED_BLOCK).cast("string"), 8, "0"))
@@ -63,15 +87,19 @@ def land_feeds(b: Bindings, root: str):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda s: s["item"]), "")
         .alias("items"))  # at most FEED_BLOCK items per group
     head = tag("title", F.col("feed"))
-    rss2 = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>'), head, "items")
+    name = F.lit("UTF-8")
+    for source, charset in CHARSETS.items():
+        name = F.when(F.col("source") == source, charset).otherwise(name)
+    first = F.concat(F.lit('<?xml version="1.0" encoding="'), name, F.lit('"?>'))
+    rss2 = F.concat(first, F.lit('<rss version="2.0"><channel>'), head, "items")
     rss2 = F.concat(rss2, F.when(F.col("source") == "src0", F.lit("")).otherwise(F.lit("</channel></rss>")))
-    atoms = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">'), head, "items", F.lit("</feed>"))
-    rdfs = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
+    atoms = F.concat(first, F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), head, "items", F.lit("</feed>"))
+    rdfs = F.concat(first, F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
                           'xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'),
                     head, F.lit("</channel>"), "items", F.lit("</rdf:RDF>"))
     xml = F.when(atom, atoms).when(rdf, rdfs).otherwise(rss2)
     path = f"{root}/feeds"
-    docs.select("feed", xml.alias("value")).write.mode("overwrite").partitionBy("feed").text(path)
+    docs.select("feed", in_charset(xml, F.col("source")).cast("string").alias("value")).write.mode("overwrite").partitionBy("feed").text(path)
     listed = docs.select("feed", "position").unionByName(
         b.spark.range(1).select(F.lit(MISSING_FEED).alias("feed"), F.lit(-1).cast("long").alias("position")))
     return path, listed

@@ -6,6 +6,7 @@ import re
 
 from narrascope.operators.entities import VALUABLE_ENTITY_GROUPS
 from narrascope.plans import params as P
+from narrascope.plans.landing import BROKEN, CHARSETS, CP1252
 from narrascope.plans.oracle import (
     CTES, RECURSIVE, WS, cte, q, sql_clean_sentences, sql_clean_tokens, sql_norm_ws, sql_normalize_text,
     sql_split_sentences, sql_strip_html, sql_text, sql_tokenize, with_ctes,
@@ -548,6 +549,12 @@ def _esc(x: str) -> str:
     return f"replace(replace(replace(regexp_replace(coalesce({x}, ''), '{_CTRL_SQL}', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
+def _fit(x: str) -> str:
+    """A text after its feed's charset: what that lacks becomes a question mark."""
+    lacks = {"src3": r"[^\x00-\xff]", "src4": r"[^\x00-\x{ffff}]", "src5": rf"[^\x00-\x7f\xa0-\xff{CP1252[0]}]"}
+    return "CASE source " + " ".join(f"WHEN '{s}' THEN regexp_replace({x}, '{c}', '?', 'g')" for s, c in lacks.items()) + f" ELSE {x} END"
+
+
 cte("fd_items", f"""
 SELECT *, source || '-' || lpad(CAST(id // 400 AS VARCHAR), 8, '0') AS feed,
        CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 3 AS fmt FROM articles""", ["articles"])
@@ -555,14 +562,14 @@ cte("fd_rows", f"""
 SELECT *, min(id) OVER (PARTITION BY feed) AS position FROM fd_items""", ["fd_items"])
 _strip_sql = lambda x: f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 oracle("read_feeds", f"""
-SELECT CASE WHEN lang = 'de' THEN 'No Title' ELSE {_strip_sql(_landed('title'))} END AS title, url,
-       '<p>' || {_landed('summary')} || '</p>' AS summary,
+SELECT CASE WHEN lang = 'de' THEN 'No Title' ELSE {_strip_sql(_fit(_landed('title')))} END AS title, url,
+       '<p>' || {_fit(_landed('summary'))} || '</p>' AS summary,
        CASE WHEN lang <> 'fr' THEN published_at END AS published, feed AS source,
        row_number() OVER (ORDER BY position, feed, id) - 1 AS ord
-FROM fd_rows WHERE source <> 'src0' AND lang <> 'es'""", ["fd_rows"])
-oracle("feed_rejects", """
+FROM fd_rows WHERE source NOT IN ('src0', '{BROKEN}') AND lang <> 'es'""", ["fd_rows"])
+oracle("feed_rejects", f"""
 SELECT count(DISTINCT feed) + 1 AS total_sources, count(DISTINCT feed) AS successful, CAST(1 AS BIGINT) AS failed,
-       count(*) FILTER (WHERE source <> 'src0' AND lang <> 'es') AS total_articles FROM fd_items""", ["fd_items"])
+       count(*) FILTER (WHERE source NOT IN ('src0', '{BROKEN}') AND lang <> 'es') AS total_articles FROM fd_items""", ["fd_items"])
 _day = "strftime({}, '%a, %d %b %Y %H:%M')"
 cte("fd_xml", f"""
 SELECT feed, source, fmt, string_agg(
@@ -580,13 +587,17 @@ SELECT feed, source, fmt, string_agg(
          ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S') || 'Z' END ||
     CASE fmt WHEN 1 THEN '</published></entry>' WHEN 2 THEN '</dc:date></item>' ELSE '</pubDate></item>' END, '' ORDER BY id) AS items
 FROM fd_items GROUP BY feed, source, fmt""", ["fd_items"])
-oracle("archive_raw", f"""
-SELECT '{P.RUN1}' AS run_id, feed AS source, CAST(strlen('<?xml version="1.0" encoding="UTF-8"?>' || CASE fmt
+cte("fd_docs", f"""
+SELECT feed, source, '<?xml version="1.0" encoding="' || CASE source {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in CHARSETS.items())} ELSE 'UTF-8' END || '"?>' || CASE fmt
     WHEN 1 THEN '<feed xmlns="http://www.w3.org/2005/Atom"><title>' || feed || '</title>' || items || '</feed>'
     WHEN 2 THEN '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
                 || 'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>' || feed || '</title></channel>' || items || '</rdf:RDF>'
-    ELSE '<rss version="2.0"><channel><title>' || feed || '</title>' || items || '</channel></rss>' END || chr(10)) AS INTEGER) AS bytes
-FROM fd_xml WHERE source <> 'src0'""", ["fd_xml"])
+    ELSE '<rss version="2.0"><channel><title>' || feed || '</title>' || items || '</channel></rss>' END || chr(10) AS doc
+FROM fd_xml WHERE source NOT IN ('src0', '{BROKEN}')""", ["fd_xml"])
+oracle("archive_raw", f"""
+SELECT '{P.RUN1}' AS run_id, feed AS source,
+       CAST(CASE WHEN source IN ('src3', 'src5') THEN length(doc) WHEN source = 'src4' THEN 2 + 2 * length(doc) ELSE strlen(doc) END AS INTEGER) AS bytes
+FROM fd_docs""", ["fd_docs"])
 oracle("write_jsonl", """
 SELECT CAST(json_object('title', title, 'url', url, 'summary', summary,
             'published', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), 'source', source) AS VARCHAR) AS value FROM articles""",

@@ -3,11 +3,15 @@
 Fetching is not the engine's job: feeds land as files (one folder per feed), are read as binary files
 and parsed with Spark's native ``from_xml``, RSS 2.0, RSS 1.0 and Atom with one schema. A malformed feed
 is dropped whole and not archived, yet counts as successful; a listed feed with no landed file counts
-as failed.
+as failed, and so does one landed without a byte. Each feed is read in its own charset (byte order mark, else XML declaration, else UTF-8); one whose
+bytes do not fit it is malformed, alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +33,50 @@ ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0
 CENTURY_CUT = 90
 
 
+#: first bytes (hex) of byte order marks, longest first, and of UTF-16 text that has none but starts as XML does
+MARKS = {"0000FEFF": "UTF-32", "FFFE0000": "UTF-32", "EFBBBF": "UTF-8-SIG", "FEFF": "UTF-16", "FFFE": "UTF-16", "003C003F": "UTF-16BE", "3C003F00": "UTF-16LE"}
+_DECLARED = "^\\s*<\\?xml\\s[^>]*?encoding\\s*=\\s*[\"']([A-Za-z0-9._:-]+)[\"']"
+HEAD_BYTES = 1024
+
+
+def charset(content: Column) -> Column:
+    """The charset of an XML document's bytes, in upper case: from its mark, else its declaration, else UTF-8."""
+    head = F.substring(content, 1, HEAD_BYTES)
+    declared = F.regexp_extract(F.decode(head, "ISO-8859-1"), _DECLARED, 1)
+    found = F.when(declared != "", F.upper(declared)).otherwise("UTF-8")
+    for mark, name in reversed(MARKS.items()):
+        found = F.when(F.hex(head).startswith(mark), name).otherwise(found)
+    return found
+
+
+def _decode_batches(contents: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for content, names in contents:
+        out = []
+        for data, name in zip(content, names.to_pylist()):
+            try:
+                out.append(data.as_py().decode(name) if data.is_valid else None)
+            except (LookupError, ValueError):  # no such charset, or bytes that it does not have
+                out.append(None)
+        yield pa.array(out, pa.string())
+
+
+def decoded(content: Column) -> Column:
+    """An XML document's text; null if its bytes do not fit its charset, or the charset is not known.
+
+    UTF-8 (nearly all feeds) is decoded natively; other documents alone go through Python's codecs, in Arrow batches.
+    """
+    name = charset(content)
+    utf8 = name.isin("UTF-8", "UTF8", "UTF-8-SIG")
+    own = F.regexp_replace(F.try_validate_utf8(F.when(utf8, content).cast("string")), "^\ufeff", "")
+    other = F.arrow_udf(_decode_batches, "string")(F.when(~utf8, content), name)
+    return F.when(utf8, own).otherwise(other)
+
+
 def landed_feeds(spark: SparkSession, path: str) -> DataFrame:
     """(feed, content, parsed, good) per landed file; ``feed`` is the folder name ``feed=NAME``."""
     raw = spark.read.format("binaryFile").load(path)
-    xml = F.from_xml(F.decode("content", "UTF-8"), FEED_SCHEMA, XML_OPTIONS)
-    return (raw.select("feed", "content", xml.alias("parsed"))
+    texts = raw.select("feed", "content", decoded(F.col("content")).alias("xml"))
+    return (texts.select("feed", "content", F.from_xml("xml", FEED_SCHEMA, XML_OPTIONS).alias("parsed"))
             .withColumn("good", F.col("parsed").isNotNull() & F.col("parsed._corrupt_record").isNull()))
 
 

@@ -76,6 +76,28 @@ def test_feeds(spark, tmp_path):
     assert (st["total_sources"], st["successful"], st["failed"], st["total_articles"]) == (3, 2, 1, 2)
 
 
+def test_feeds_in_other_charsets(spark, tmp_path):
+    from narrascope.sources import feeds as SF
+
+    body = "<rss><channel><item><title>{}</title><link>http://x/{}</link></item></channel></rss>"
+    head = '<?xml version="1.0" encoding="{}"?>'.format
+    feeds = {"utf8": "".join([head("utf-8"), body.format("é€", 0)]).encode(), "mark": body.format("é", 1).encode("utf-8-sig"),
+             "latin": (head("ISO-8859-1") + body.format("é", 2)).encode("latin-1"), "western": (head("Windows-1252") + body.format("“€”", 3)).encode("cp1252"),
+             "le": (head("UTF-16") + body.format("é日", 4)).encode("utf-16-le"), "be": ("\ufeff" + head("utf-16") + body.format("é日😀", 5)).encode("utf-16-be"),
+             "none": body.format("plain", 6).encode(), "cyrillic": (head("koi8-r") + body.format("Привет", 7)).encode("koi8-r"), "han": (head("GB18030") + body.format("汉字", 8)).encode("gb18030"),
+             "broken": (head("utf-8") + body.format("é", 9)).encode("latin-1"), "unknown": (head("no-such-charset") + body.format("x", 10)).encode(),
+             "half": (head("UTF-16") + body.format("x", 11)).encode("utf-16-le") + b"<", "empty": b"", "undefined": (head("windows-1252") + body.format("x", 12)).encode() + b"\x81"}
+    for name, data in feeds.items():
+        (tmp_path / f"feed={name}").mkdir()
+        (tmp_path / f"feed={name}" / "f.xml").write_bytes(data)
+    listed = spark.createDataFrame([(n, i) for i, n in enumerate(feeds)], "feed string, position long")
+    got = {r["source"]: r["title"] for r in SF.read_feeds(spark, str(tmp_path), listed).collect()}
+    assert got == {"utf8": "é€", "mark": "é", "latin": "é", "western": "“€”", "le": "é日", "be": "é日😀", "none": "plain", "cyrillic": "Привет", "han": "汉字"}
+    assert tuple(SF.feed_stats(spark, str(tmp_path), listed).first()) == (14, 13, 1, 9)  # a file of no bytes did not land
+    out = SF.archive_raw(spark, str(tmp_path), str(tmp_path / "archive"), "r")
+    assert {r["source"]: bytes(r["content"]) for r in spark.read.parquet(out).collect()} == {n: feeds[n] for n in got}
+
+
 def test_melt_stats_numbers_and_json(spark):
     s = spark.createDataFrame([(3, True, {"a": 1})], "n long, ok boolean, d map<string,bigint>")
     got = {r["metric_name"]: (r["metric_value"], r["details"]) for r in W.melt_stats(s, "r", "x").collect()}
