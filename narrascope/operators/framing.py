@@ -27,6 +27,8 @@ LITERAL_WORDS = 4096
 ROW_PHRASES = 64
 #: entries that share a prefix and are sorted in one task; more are split by a longer prefix
 GROUP_ROWS = 200_000
+#: characters that an entry of F11 holds at first, and positions that one regex pass lists
+CAP, PIECE = 128, 4096
 _ENT = "\u0001"
 _SEP = "\u0002"
 
@@ -214,56 +216,84 @@ def article_phrases_for(articles: DataFrame, entity: str, stopwords: DataFrame,
     return cut_lineage(maximal_by_group(ph, ["article_id", "url"], "ph"))
 
 
+def _entries(d: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """Every position of every phrase (pid, pos, self) with the ``cap`` characters from there, ``s``.
+
+    A phrase is cut into pieces of ``PIECE`` characters that overlap by ``cap``, and one regex pass lists a piece's
+    entries, so a phrase costs rows in proportion to its length and no long array.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.length("p") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = d.select(*keys, "pid", "p", F.explode(starts).alias("at"))
+    pieces = pieces.select(*keys, "pid", "at", F.when(F.length("p") <= PIECE, F.col("p")).otherwise(F.substring("p", F.col("at") + 1, F.lit(PIECE + cap))).alias("piece"))
+    every = F.slice(F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{1,{cap}}}))."), F.lit(1)), 1, PIECE)
+    listed = pieces.select(*keys, "pid", "at", F.posexplode(F.when(F.col("piece") == "", F.array(F.lit(""))).otherwise(every)).alias("i", "s"))
+    return listed.select(*keys, "pid", (F.col("at") + F.col("i")).alias("pos"), "s", ((F.col("at") + F.col("i")) == 0).alias("self"))
+
+
 def corpus_maximal(phrases: DataFrame, col: str = "phrase", key_len: int = 8, keys: list[str] | None = None,
-                   group_rows: int | None = None) -> DataFrame:
+                   group_rows: int | None = None, cap: int = CAP) -> DataFrame:
     """keep the rows whose phrase is no character substring of another distinct phrase of its group.
 
-    ``keys`` name the group (none: the whole table). Every suffix of every distinct phrase is listed once (its
-    own full string marked ``self``). A phrase lies inside another exactly when some other entry starts
-    with it. Entries are handled by prefix length, ``key_len`` first:
+    ``keys`` name the group (none: the whole table). Every position of every distinct phrase is an entry that knows
+    its phrase by number and holds the next ``cap`` characters, never the rest of the phrase. A phrase lies
+    inside another exactly when some other entry starts with it. Entries are handled by prefix length, ``key_len`` first:
 
-    * phrases shorter than the length: entries emit their prefixes of the lengths such phrases have, are
-      joined to those phrases, and counted (a partial aggregation);
-    * longer ones: entries with the same prefix are sorted, and the entries starting with a phrase
+    * phrases shorter than that: entries emit their prefixes of the lengths such phrases have, are joined to
+      those phrases, and counted (a partial aggregation);
+    * phrases shorter than ``cap``: entries with the same prefix are sorted, and the entries starting with a phrase
       follow it directly, so the next one is tested (``lead``);
-    * a prefix shared by more than ``GROUP_ROWS`` entries is not sorted in one task: its entries go round
-      again with the length doubled. Lengths are bounded by the longest phrase, so this ends.
+    * longer phrases: only those whose first ``cap`` characters start another entry too, and only such entries, go
+      round again with ``cap`` eight times as long;
+    * a prefix shared by more than ``GROUP_ROWS`` entries is not sorted in one task: its entries go round again with
+      ``key_len`` doubled. Both lengths are bounded by the longest phrase, so this ends.
 
     No pair of phrases is ever emitted and no nested-loop join is planned.
     """
     keys = keys or []
     limit = GROUP_ROWS if group_rows is None else group_rows
+    cap = max(cap, 2 * key_len)
     same = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
-    d = cut_lineage(phrases.select(*keys, F.col(col).alias("p")).distinct())
-    if d.isEmpty():
+    other = lambda df, *cols: df.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in cols])
+    whole = cut_lineage(phrases.select(*keys, F.col(col).alias("p")).distinct().withColumn("pid", F.monotonically_increasing_id()))
+    if whole.isEmpty():
         return phrases
-    suf = d.select(*keys, "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p"), F.lit(1)))).alias("pos"))
-    suf = suf.select(*keys, "p", F.expr("substring(p, pos)").alias("s"), (F.col("pos") == 1).alias("self"))
+    d = whole.select(*keys, "pid", "p", F.length("p").alias("size"))
+    suf = _entries(whole, keys, cap)
     inside = []
     while True:
-        short = d.where(F.length("p") < key_len)
-        lengths = sorted(r[0] for r in short.select(F.length("p")).distinct().collect())  # fewer than key_len of them
+        short = d.where(F.col("size") < key_len)
+        lengths = sorted(r[0] for r in short.select("size").distinct().collect())  # at most key_len of them
         if lengths:
             n = F.explode(F.filter(F.lit(lengths), lambda x: x <= F.length("s")))
             pref = suf.select(*keys, n.alias("n"), "s").select(*keys, F.expr("substring(s, 1, n)").alias("p"))
-            tagged = short.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p").alias("_p"))
+            tagged = other(short, "p")
             hit = pref.join(tagged, [*same(pref, tagged), pref["p"] == tagged["_p"]], "left_semi")
-            inside.append(hit.groupBy(*keys, "p").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+            found = other(hit.groupBy(*keys, "p").agg(F.count("*").alias("c")).where("c > 1"), "p")
+            inside.append(short.join(found, [*same(short, found), short["p"] == found["_p"]], "left_semi").select("pid"))
         longs = suf.where(F.length("s") >= key_len).withColumn("key", F.substring("s", 1, key_len))
         big = cut_lineage(longs.groupBy(*keys, "key").agg(F.count("*").alias("c")).where(F.col("c") > limit).drop("c"))
-        hot = big.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("key").alias("_key"))
+        hot = other(big, "key")
         is_hot = [*same(longs, hot), longs["key"] == hot["_key"]]
-        plain = longs if big.isEmpty() else longs.join(hot, is_hot, "left_anti")
+        any_hot = not big.isEmpty()
+        plain = longs.join(hot, is_hot, "left_anti") if any_hot else longs
         w = Window.partitionBy(*keys, "key").orderBy(F.asc("s"), F.desc("self"))
-        flagged = plain.select(*keys, "p", "s", "self", F.lead("s").over(w).alias("nxt"))
-        inside.append(flagged.where(F.col("self") & F.col("nxt").isNotNull()
-                                    & (F.substring("nxt", 1, F.length("s")) == F.col("s"))).select(*keys, "p"))
-        if big.isEmpty():
+        flagged = plain.select(*keys, "pid", "s", "self", F.lead("s").over(w).alias("nxt"))
+        inside.append(flagged.where(F.col("self") & (F.length("s") < cap) & F.col("nxt").isNotNull()
+                                    & (F.substring("nxt", 1, F.length("s")) == F.col("s"))).select("pid"))
+        # first cap characters of a longer phrase that start another entry too
+        open_ = plain.where(F.length("s") >= cap).groupBy(*keys, "s").agg(F.count("*").alias("c"), F.max("self").alias("own")).where("own and c > 1")
+        open_ = cut_lineage(other(open_, "s"))
+        any_open = not open_.isEmpty()
+        if not any_hot and not any_open:
             break
-        suf = cut_lineage(longs.join(hot, is_hot, "left_semi").drop("key"))
-        d = suf.where("self").select(*keys, "p")
-        key_len *= 2
-    gone = reduce(DataFrame.unionByName, inside).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p").alias("_p"))
+        parts = [longs.join(hot, is_hot, "left_semi")] if any_hot else []
+        if any_open:
+            parts.append(plain.join(open_, [*same(plain, open_), plain["s"] == open_["_s"]], "left_semi"))
+        left = reduce(DataFrame.unionByName, [x.select("pid", "pos", "self") for x in parts])
+        key_len, cap = 2 * key_len, max(8 * cap if any_open else cap, 4 * key_len)
+        suf = cut_lineage(left.join(whole, "pid").select(*keys, "pid", "pos", F.substring("p", F.col("pos") + 1, F.lit(cap)).alias("s"), "self"))
+        d = suf.where("self").select("pid").join(whole, "pid").select(*keys, "pid", "p", F.length("p").alias("size"))
+    gone = other(reduce(DataFrame.unionByName, inside).distinct().join(whole, "pid"), "p")
     return phrases.join(gone, [*same(phrases, gone), phrases[col] == gone["_p"]], "left_anti")
 
 

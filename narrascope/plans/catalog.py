@@ -337,8 +337,8 @@ def q_phrase_rule(spark, sf_dir):
 def q_maximal_phrases(spark, sf_dir):
     """F8 applied to the candidate lists of each (article, entity)."""
     c = FR.candidates(FR.trimmed(FR.segments(FR.windows(_occ(bindings(spark, sf_dir))))))
-    g = c.groupBy("article_id", "entity_word").agg(F.collect_list("phrase").alias("cands"))
-    return g.select("article_id", "entity_word", F.explode(FR.maximal_phrases(F.col("cands"))).alias("phrase"))
+    g = c.groupBy("article_id", "entity_word").agg(F.collect_set("phrase").alias("cands"))
+    return FR.maximal_by_group(g, ["article_id", "entity_word"], "cands")
 
 
 def framing(b: Bindings) -> DataFrame:

@@ -55,6 +55,26 @@ def test_corpus_maximal_matches_brute_force(spark):
         assert got == brute_maximal(ps)
 
 
+def test_corpus_maximal_of_long_phrases(spark, monkeypatch):
+    rnd = random.Random(8)
+    ps = {"".join(rnd.choices("ab", k=rnd.randint(0, 40))) for _ in range(150)} | {"ab" * n for n in (1, 9, 30, 31, 200)} | {"héé😀" * 12, "é😀h", "x" * 70}
+    ps |= {p[a:a + rnd.randint(5, 60)] for p in list(ps) for a in (0, 3)}
+    df = spark.createDataFrame([(p,) for p in ps], "phrase string")
+    monkeypatch.setattr(FR, "PIECE", 7)
+    for key_len, group_rows in ((3, None), (2, 9)):
+        assert sorted(r[0] for r in FR.corpus_maximal(df, key_len=key_len, group_rows=group_rows, cap=6).collect()) == brute_maximal(ps)
+
+
+def test_a_token_of_a_million_characters(spark):
+    rnd = random.Random(9)
+    token = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    ps = [f"big {token}", token[5:900_000], "red", token[700_000:700_060], "big", "blue red"]
+    got = {r[0] for r in FR.corpus_maximal(spark.createDataFrame([(p,) for p in ps], "phrase string")).collect()}
+    assert got == {ps[0], "blue red"}
+    n = FR._entries(spark.createDataFrame([(0, token)], "pid long, p string"), [], FR.CAP).agg({"s": "count"}).first()[0]
+    assert n == 1_000_000
+
+
 def test_corpus_maximal_with_half_of_all_phrases_under_one_prefix(spark):
     rnd = random.Random(4)
     ps = {"the same long beginning of " + " ".join(rnd.choices(["ab", "ba", "aab", "b"], k=rnd.randint(1, 5))) for _ in range(400)}
