@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from narrascope.operators.util import cut_lineage, sized_broadcast
 
+#: incoming urls whose hashes are broadcast, at most
+HASHED_URLS = 2_000_000
 ARTICLE_COLS = ["id", "title", "url", "source", "summary", "published_at", "run_id", "run_date"]
 
 class DuplicateKeyError(ValueError):
@@ -48,6 +50,18 @@ def assert_unique(df: DataFrame, key: str, what: str = "incoming") -> None:
         raise DuplicateKeyError(f"{what} holds {key} {dup[0][0]!r} more than once")
 
 
+def met_by_url(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The stored articles that an incoming url may name: by url hash, without a shuffle of the history.
+
+    The hashes of up to ``HASHED_URLS`` incoming urls (8 bytes each) are broadcast to the scan of the history; a
+    larger batch is left to the join on the url. Other urls with the same hash are told apart by that join.
+    """
+    if incoming.limit(HASHED_URLS + 1).count() > HASHED_URLS:
+        return existing
+    hashes = incoming.select(F.xxhash64("url").alias("_hash")).distinct()
+    return existing.join(F.broadcast(hashes), F.xxhash64(existing["url"]) == F.col("_hash"), "left_semi")
+
+
 def upsert_rows(existing: DataFrame, incoming: DataFrame, run_id: str, run_date, max_id: int, order: str = "ord") -> DataFrame:
     """W1, the rows it writes: inserts by url; on conflict only title and summary change.
 
@@ -60,7 +74,7 @@ def upsert_rows(existing: DataFrame, incoming: DataFrame, run_id: str, run_date,
     if bad:
         raise NullKeyError(f"{bad} incoming articles have no url")
     run_date = _dt.date.fromisoformat(run_date) if isinstance(run_date, str) else run_date
-    e = existing.select(F.col("url").alias("_url"), "id", *[F.col(c).alias(f"_{c}") for c in ("source", "published_at", "run_id", "run_date")])
+    e = met_by_url(existing, incoming).select(F.col("url").alias("_url"), "id", *[F.col(c).alias(f"_{c}") for c in ("source", "published_at", "run_id", "run_date")])
     i = incoming.select("url", "title", "summary", "source", "published_at", F.col(order).alias("_ord"))
     j = cut_lineage(i.join(e, F.col("url") == F.col("_url"), "left"))
     updated = j.where(F.col("id").isNotNull()).select(

@@ -652,7 +652,10 @@ def q_incremental_ingest(spark, sf_dir):
 
     land(a.where(F.col("ord") <= half), 1)
     land(a.where(F.col("ord") > half), 2)
-    return current(spark, f"{base}/tables", "articles").drop("id", "run_date")
+    runs = current(spark, f"{base}/tables", "pipeline_runs").select("run_id", "started_at")  # two rows
+    named = runs.select("run_id", F.concat(F.lit("batch-"), F.lpad((F.row_number().over(Window.orderBy("started_at")) - 1).cast("string"), 8, "0")).alias("name"))
+    arts = current(spark, f"{base}/tables", "articles").drop("id", "run_date")
+    return arts.join(named, "run_id").withColumn("run_id", F.col("name")).drop("name")
 
 
 # ------------------------------------------------------------ N1b: a user model

@@ -123,18 +123,52 @@ def test_deltas_compact_and_latest_wins(spark, tmp_path, monkeypatch):
         got = {(r["article_id"], r["label"]) for r in store.view("sentiment_analysis").collect()}
         assert got == {(i, f"r{i}") for i in range(n + 1)}
     assert len(store.state().tables["sentiment_analysis"]) <= 2
-    late = store.begin("late")
-    other = store.begin("other")
-    for a in (late, other):
-        a.put("sentiment_analysis", spark.createDataFrame([(9, a.run_id)], schema))
-    outcomes = []
-    for a in (late, other):
-        try:
-            a.publish()
-            outcomes.append(a.run_id)
-        except TB.ConcurrentRunError:
-            pass
-    assert store.view("sentiment_analysis").filter("article_id = 9").first()["label"] in outcomes
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0)])
+def test_of_two_overlapping_attempts_the_second_to_publish_raises(spark, tmp_path, order):
+    from narrascope.plans import tables as TB
+
+    store = TB.TableStore(spark, str(tmp_path / "t"))
+    schema = "article_id long, label string"
+    for n, base in enumerate((None, "first")):  # from no state, and from one
+        both = [store.begin("a"), store.begin("b")]
+        for at, name in zip(both, ("0" * 32, "f" * 32)):
+            at.id = f"{n}{name[1:]}"
+            at.put("sentiment_analysis", spark.createDataFrame([(n, at.run_id)], schema))
+        first, second = (both[i] for i in order)
+        first.publish()
+        with pytest.raises(TB.ConcurrentRunError):
+            second.publish()
+        assert store.view("sentiment_analysis").filter(F.col("article_id") == n).first()["label"] == first.run_id
+    assert store.view("sentiment_analysis").count() == 2
+    (tmp_path / "t" / "manifest" / "000000000003.json").write_text('{"seq": 3, "att')  # a writer that died
+    retry = store.begin("c")
+    retry.put("sentiment_analysis", spark.createDataFrame([(0, "c")], schema))
+    retry.publish()
+    assert {(r["article_id"], r["label"]) for r in store.view("sentiment_analysis").collect()} == {(0, "c"), (1, first.run_id)}
+
+
+def test_the_history_is_not_shuffled_by_an_upsert(spark, tmp_path):
+    from narrascope.operators import storage as W
+
+    cols = "id long, title string, url string, source string, summary string, published_at timestamp_ntz, run_id string, run_date date"
+    old = [(i, "t", f"http://a/{i}", "s", "x", None, "r1", dt.date(2024, 1, 1)) for i in range(500)]
+    spark.createDataFrame(old, cols).write.parquet(str(tmp_path / "old"))
+    existing = spark.read.parquet(str(tmp_path / "old"))
+    incoming = spark.createDataFrame([("http://a/7", 0), ("http://a/new", 1)], "url string, ord long")
+    met = W.met_by_url(existing, incoming)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r["id"] for r in met.collect()] == [7]
+
+
+def test_batches_are_named_by_their_files(spark):
+    from narrascope.streaming.ingest import batch_id
+
+    of = lambda *paths: batch_id(spark.createDataFrame([(p,) for p in paths], "_path string"))
+    assert of("a", "b") == of("b", "a", "a") != of("a") != of("b")
+    assert len(of("a")) <= 50
 
 
 def test_ingest_twice_adds_nothing(spark, res, tmp_path):
