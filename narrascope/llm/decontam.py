@@ -52,18 +52,17 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = np.frombuffer(data, dtype=np.uint8, count=min(SLICE, len(data) - at), offset=at)
         inside = _WORD[part]
         more = at + len(part) < len(data)
+        if len(part) == SLICE and inside.all():  # a word of a slice or more is hashed alone, wherever it stands
+            end = at + SLICE
+            while end < len(data) and _WORD[data[end]]:
+                end += 1
+            starts.append(np.array([at])), ends.append(np.array([end]))
+            hashes.append(np.array([int.from_bytes(_long_hash(data[at:end]), "little")], dtype=np.uint64))
+            at = end
+            continue
         if more and inside[-1]:  # end the slice before a word that goes on
             gap = np.flatnonzero(~inside)
-            if len(gap):
-                part, inside = part[: gap[-1] + 1], inside[: gap[-1] + 1]
-            else:  # one word longer than a slice: hashed alone
-                end = at
-                while end < len(data) and _WORD[data[end]]:
-                    end += 1
-                starts.append(np.array([at])), ends.append(np.array([end]))
-                hashes.append(np.array([int.from_bytes(_long_hash(data[at:end]), "little")], dtype=np.uint64))
-                at = end
-                continue
+            part, inside = part[: gap[-1] + 1], inside[: gap[-1] + 1]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         s, e = edges[::2], edges[1::2]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])))
@@ -193,7 +192,9 @@ def op9_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``.
 
     Null and empty texts have no words and no hits; items without words match nothing; repeated items
-    count once; repeated documents are each returned.
+    count once, and items without id count as hits but not among the items; repeated documents are each
+    returned. Long texts are scanned in slices, words of any length whole. Columns besides the named ones are
+    not read, whatever their names.
     """
     rows, hits = verified_hits(docs, benchmark, F.col("doc_id"))
     per = hits.groupBy("row").agg(covered(F.collect_set(F.struct("pos", "len"))).alias("n_hit"),

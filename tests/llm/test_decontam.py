@@ -32,6 +32,23 @@ def slow(docs, items):
     return sorted(out)
 
 
+def test_a_word_has_one_hash_wherever_it_stands():
+    for n in (D.SLICE - 1, D.SLICE, D.SLICE + 1):
+        word = b"w" * n
+        alone = D.words_of(word)
+        assert [x.tolist() for x in alone[:2]] == [[0], [n]]
+        for data, i in ((word + b" tail", 0), (b"pre " + word, 1), (b"pre " + word + b" tail", 1), (b"a" * (D.SLICE - 2) + b" " + word, 1)):
+            s, e, h = D.words_of(data)
+            assert e[i] - s[i] == n and h[i] == alone[2][0]
+
+
+def test_a_hit_of_one_very_long_word(spark):
+    word = "w" * D.SLICE
+    docs = spark.createDataFrame([(1, word + " tail"), (2, "pre " + word), (3, word[1:])], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in D.op9_decontaminate(docs, spark.createDataFrame([(1, word)], "item_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 def test_hits_equal_brute_force(spark):
     rng = random.Random(6)
     vocab = ["Ab", "cd", "ÉF", "gh1", "漢字", "x"]
