@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from narrascope.functions import text as X
 from narrascope.functions.arrays import prefix_sum
-from narrascope.operators.util import join_on_hot_key
+from narrascope.operators.util import cut_lineage, join_on_hot_key, small_arrow_batches
 
 NER_MAX_CHARS = 2000
 GAZETTEER_METHOD = "gazetteer"
@@ -107,6 +107,7 @@ def tag_entities_model(articles: DataFrame, factory: Callable[[], Callable[[list
     ``factory()`` returns a model; ``model(texts)`` returns, per text, an iterable of dicts (keys
     entity_group, word, score, start, end, any may be missing). A batch that fails is tried text by text;
     a text that fails gives an empty list, as in the reference, and ``failed`` 1, so failures can be counted.
+    The texts reach Python in batches bounded by bytes, and each is tagged once: the result is checkpointed.
     Output: article_id, method, entities, failed.
     """
     text = X.article_text("title", "summary", ". ")
@@ -141,7 +142,8 @@ def tag_entities_model(articles: DataFrame, factory: Callable[[], Callable[[list
             yield pd.DataFrame({"article_id": pdf["article_id"], "method": method, "entities": [r[0] for r in rows],
                                 "failed": [r[1] for r in rows]})
 
-    return src.mapInPandas(run, out_schema)
+    with small_arrow_batches(src.sparkSession):
+        return cut_lineage(src.mapInPandas(run, out_schema))
 
 
 def explode_entities(df: DataFrame, entities_col: str = "entities", id_col: str = "article_id",

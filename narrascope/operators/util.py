@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it is measured to hold at most this many bytes (as JSON text).
@@ -39,6 +42,20 @@ def join_on_hot_key(rows: DataFrame, side: DataFrame, key: str, how: str = "inne
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+@contextlib.contextmanager
+def small_arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of what is executed inside hold at most so many rows and about so many bytes."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, str(v))
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir``.
 

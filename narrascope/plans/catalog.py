@@ -35,7 +35,7 @@ def register(key: str):
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> Bindings:
-    k = (id(spark), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _BINDINGS:
         _BINDINGS[k] = Bindings(spark, sf_dir)
     return _BINDINGS[k]
@@ -678,6 +678,7 @@ def capitalized_runs(articles: DataFrame) -> DataFrame:
     return placed.select("article_id", F.lit("capitalized_runs").alias("method"), F.transform("runs", run).alias("entities"), F.lit(0).alias("failed"))
 
 
+@register("capitalized_runs")
 @register("tag_entities_model")
 def q_tag_entities_model(spark, sf_dir):
     b = bindings(spark, sf_dir)

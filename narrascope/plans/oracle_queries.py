@@ -603,3 +603,16 @@ SELECT CAST(json_object('title', title, 'url', url, 'summary', summary,
             'published', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), 'source', source) AS VARCHAR) AS value FROM articles""",
        ["articles"])
 oracle("page_count", f"SELECT CAST(ceil(count(*) / {P.PAGE_ROWS}.0) AS BIGINT) AS pages FROM graph_nodes", ["graph_nodes"])
+
+_RUN = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*"
+for _key in ("capitalized_runs", "tag_entities_model"):
+    # each run is marked (private-use characters), so what stands before a mark gives its offset
+    oracle(_key, rf"""
+SELECT id AS article_id, 'capitalized_runs' AS method_name, 'UNKNOWN' AS entity_group, split_part(part, chr(57345), 1) AS word, CAST(0 AS DOUBLE) AS score,
+       CAST(before AS INTEGER) AS start_char, CAST(before + length(split_part(part, chr(57345), 1)) AS INTEGER) AS end_char
+FROM (SELECT *, sum(length(replace(part, chr(57345), ''))) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM (SELECT id, i, parts[i] AS part
+            FROM (SELECT id, string_split(regexp_replace(coalesce(title, '') || '. ' || coalesce(summary, ''), '{_RUN}',
+                                                         chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM articles),
+                 unnest(range(1, len(parts) + 1)) AS r(i)))
+WHERE i > 1""", ["articles"])

@@ -163,6 +163,23 @@ def test_the_history_is_not_shuffled_by_an_upsert(spark, tmp_path):
     assert [r["id"] for r in met.collect()] == [7]
 
 
+def test_a_search_for_one_word_reads_only_files_that_have_it(spark, tmp_path):
+    from narrascope.plans import tables as TB
+
+    store = TB.TableStore(spark, str(tmp_path / "t"))
+    at = store.begin("r1")
+    rows = spark.range(4000).select(F.col("id").alias("article_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("word_lower"))
+    at.put("named_entity_recognition", rows.repartition(4, F.col("article_id") % 7).sortWithinPartitions("word_lower"))
+    at.publish()
+    found = store.view("named_entity_recognition").filter("word_lower = 'word1234'")
+    assert [r["article_id"] for r in found.collect()] == [1234]
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    files = [spark.read.parquet(str(f)) for f in (tmp_path / "t").rglob("rows/part-*.parquet")]
+    sizes = [f.count() for f in files if f.filter("word_lower = 'word1234'").count()]
+    assert len(files) > 1 and len(sizes) == 1
+    assert leaf.metrics().apply("numOutputRows").value() <= sizes[0]
+
+
 def test_batches_are_named_by_their_files(spark):
     from narrascope.streaming.ingest import batch_id
 
