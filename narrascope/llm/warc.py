@@ -72,7 +72,9 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
     uri = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(DATE))]
     host = F.regexp_extract(F.coalesce("url", F.lit("")), "^[^:]*://([^/?#]*)", 1)
-    get = F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF * 2))
+    target = F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), "^[^:]*://[^/?#]*([^#]*)", 1), " ", "%20")
+    get = F.concat(F.lit("GET "), F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)),
+                   F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF * 2))
     facts = F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     response = _record(F.when(again, F.lit("revisit")).otherwise(F.lit("response")), [
         ("WARC-Record-ID", rid), *uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha"))),
@@ -169,7 +171,9 @@ def assemble(records: DataFrame) -> DataFrame:
             .join(part("metadata", "record_id", "fields"), "capture_id", "left"))
     first = tied.filter(F.col("response.type") == "response").select(
         F.col("capture_id").alias("refers_to"), F.struct("capture_id", "metadata", F.col("response.payload_bytes").alias("payload_bytes")).alias("original"))
-    return tied.join(first, "refers_to", "left")
+    # responses refer to nothing: only revisits are joined, so no task gets the rows without a key
+    alone = tied.filter(F.col("refers_to").isNull()).withColumn("original", F.lit(None).cast(first.schema["original"].dataType))
+    return tied.filter(F.col("refers_to").isNotNull()).join(first, "refers_to", "left").unionByName(alone)
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:

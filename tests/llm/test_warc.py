@@ -60,3 +60,18 @@ def test_records_come_one_at_a_time_from_a_stream(spark):
         next(records)
         assert stream.tell() < 1_000_000
         assert sum(1 for _ in records) == 899
+
+
+def test_requests_name_their_target(spark):
+    path = scratch_dir(spark, "warc-test")
+    urls = ["http://a.example/p/x y?q=1&r=2#part", "http://b.example?only=query", "http://c.example", "no scheme", None]
+    W.write_warc(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string"), path)
+    first = {r["url"]: r["request"]["fields"].split("\r\n")[0] for r in W.assemble(W.read_records(spark, path)).collect()}
+    assert first == {urls[0]: "GET /p/x%20y?q=1&r=2 HTTP/1.1", urls[1]: "GET /?only=query HTTP/1.1", urls[2]: "GET / HTTP/1.1", urls[3]: "GET / HTTP/1.1", None: "GET / HTTP/1.1"}
+
+
+def test_only_revisits_are_joined_to_their_response(spark):
+    rows = [("r1", "response", None), ("r2", "response", None), ("v1", "revisit", "r1"), ("v2", "revisit", "gone")]
+    df = spark.createDataFrame([(i, t, None, ref, "u", "d", 1, None, None) for i, t, ref in rows], W.RECORD)
+    got = {r["capture_id"]: r["original"] and r["original"]["capture_id"] for r in W.assemble(df).collect()}
+    assert got == {"r1": None, "r2": None, "v1": "r1", "v2": None}
