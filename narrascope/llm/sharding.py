@@ -5,9 +5,9 @@ shard through a heap. The heap is sequential, so it must not see one entry per g
 in descending size order, are first bundled along their running byte total. Level ``k`` of the
 bundling covers the stretch from ``1 - 2**-k`` to ``1 - 2**-(k+1)`` of all bytes and is cut into
 ``units_per_level`` stretches, so bundles shrink towards the tail and the last ones even out what
-the first ones left. A group larger than a bundle is a bundle of its own. That leaves at most
-``MAX_LEVEL * (units_per_level + 1)`` bundles whatever the input, a proven bound, and these go
-through the heap on the driver.
+the first ones left. A group larger than a bundle is a bundle of its own. A level has ``UNITS_PER_SHARD``
+bundles a shard, 256 at least, so there are at most ``MAX_LEVEL * (max(256, UNITS_PER_SHARD * shards) + 1)``
+bundles whatever the input, a proven bound, and these go through the heap on the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from narrascope.llm.common import fresh, materialize, text_key
 
 ROW_OVERHEAD = 16
 MAX_LEVEL = 31
+UNITS_PER_SHARD = 8
+#: rows that are numbered together: 2 ** 14 of one task, however many copies a text has
+CHUNK_BITS = 14
 
 
 def document_size(text: Column) -> Column:
@@ -39,13 +42,14 @@ def least_loaded(units: list[tuple[int, int]], shards: int) -> list[tuple[int, i
     return out
 
 
-def group_shards(groups: DataFrame, key: str, size: str, shards: int, units_per_level: int = 256) -> DataFrame:
+def group_shards(groups: DataFrame, key: str, size: str, shards: int, units_per_level: int | None = None) -> DataFrame:
     """``key`` and ``shard`` of each group (one row per group), by LPT over bundles.
 
     The running byte total is a distributed prefix sum: range partitions of the sorted groups,
     a window inside each, and the sums of the partitions before it.
     """
     spark = groups.sparkSession
+    units_per_level = units_per_level or max(256, UNITS_PER_SHARD * shards)
     g = groups.select(F.col(key).alias("k"), F.col(size).cast("long").alias("sz"))
     ranged = materialize(g.repartitionByRange(F.desc("sz"), F.col("k")).withColumn("part", F.spark_partition_id()),
                          "lpt-groups")
@@ -87,22 +91,27 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text") -> Da
 def number_slots(rows: DataFrame, shard: str = "shard") -> DataFrame:
     """``rows`` with ``slot``, gapless from 0 in each shard.
 
-    Numbers are given inside (partition, shard) and offset by the counts of the partitions before, so
-    no task holds a whole shard.
+    Numbers are given inside (chunk of a task's rows, shard) and offset by the counts of the chunks before, so
+    no task holds a whole shard, or all copies of a text.
     """
-    part, n, off = fresh(rows.columns, "part", "n_rows", "slot_offset")
-    held = materialize(rows.withColumn(part, F.spark_partition_id()), "shard-rows")
-    counts = held.groupBy(part, shard).agg(F.count(F.lit(1)).alias(n))
-    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, shard, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
-    inside = Window.partitionBy(part, shard).orderBy(F.monotonically_increasing_id())
+    uid, chunk, n, off = fresh(rows.columns, "uid", "chunk", "n_rows", "slot_offset")
+    held = materialize(rows.withColumn(uid, F.monotonically_increasing_id()), "shard-rows").withColumn(chunk, F.shiftright(uid, CHUNK_BITS))
+    counts = held.groupBy(chunk, shard).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(shard).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(chunk, shard, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
+    inside = Window.partitionBy(chunk, shard).orderBy(uid)
     numbered = held.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
-    return (numbered.join(offsets, [part, shard])
-            .withColumn("slot", F.col("slot") + F.col(off)).drop(part, off))
+    return (numbered.join(offsets, [chunk, shard])
+            .withColumn("slot", F.col("slot") + F.col(off)).drop(uid, chunk, off))
 
 
 def op6_lpt_sharding(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """The digest rows of the contract: shard and slot of every document under the ``bytes`` law."""
+    """The digest rows of the contract: shard and slot of every document under the ``bytes`` law.
+
+    Null texts form one group (size 16 each), empty texts another; rows without id and repeated rows are placed each. Equal
+    sizes go in the order of the text's digest, equal loads to the smaller shard. A table without rows gives none. Texts of
+    any length count whole; columns besides ``doc_id`` and ``text`` are not read, whatever their names.
+    """
     digest = docs.select("doc_id", document_size(F.col("text")).alias("size"),
                          F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
                          text_key(F.col("text")).alias("k"))

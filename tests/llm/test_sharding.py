@@ -51,3 +51,32 @@ def test_one_hot_group_empty_table_and_clashing_column(spark):
     assert len(got) == 60 and len({r["shard"] for r in got if r["text"] == "same text"}) == 1
     none = spark.createDataFrame([], "doc_id long, text string")
     assert L.op6_lpt_sharding(none).count() == 0 and L.shard_documents(none).count() == 0
+
+
+def test_many_shards_stay_even(spark):
+    groups = spark.range(60_000).selectExpr("id as k", "cast(100 + pmod(hash(id), 400) as long) as sz")
+    placed = L.group_shards(groups, "k", "sz", 1500).join(groups, "k").groupBy("shard").sum("sz").collect()
+    loads = [r["sum(sz)"] for r in placed]
+    assert len(loads) == 1500 and max(loads) <= 1.3 * sum(loads) / 1500
+
+
+def test_copies_of_one_text_are_numbered_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_BITS", 3)
+    rows = spark.range(500).selectExpr("id as doc_id", "if(id < 400, 0, id) as shard", "id as uid").coalesce(1)
+    slots = defaultdict(list)
+    for r in L.number_slots(rows).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert len(slots) == 101 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_bundles_against_a_heap_over_all_groups(spark):
+    """The heaviest shard is at most a bundle above what LPT over single groups gives."""
+    rng = random.Random(12)
+    sizes = [int(rng.paretovariate(1.3) * 50) for _ in range(5000)]
+    placed = L.group_shards(spark.createDataFrame(list(enumerate(sizes)), "k long, sz long"), "k", "sz", 7).collect()
+    got, want = [0] * 7, [0] * 7
+    for r in placed:
+        got[r["shard"]] += sizes[r["k"]]
+    for u, s in L.least_loaded(list(enumerate(sizes)), 7):
+        want[s] += sizes[u]
+    assert len(placed) == 5000 and sum(got) == sum(sizes) and max(got) <= 1.01 * max(want)
