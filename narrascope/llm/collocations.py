@@ -7,6 +7,9 @@ full cycle, so phrases of all lengths are counted in the same scan. A scan knows
 reached the threshold from a bitmap of their hashes, of a fixed size at most. A wrong bit only makes a
 phrase count earlier; a count in a shard is a true count whenever it is made, so counts are exact.
 
+Texts are cut into words once: a shard holds, for every ``CHUNK`` words of a task, the number of each word in its order,
+and the key and name of each number. The scans read those.
+
 A phrase is known by a 128-bit key: of its language and text for a word, of the keys of its two overlapping
 parts for a longer one. The strings are put together at the end, from the words up, for frequent phrases only.
 """
@@ -35,8 +38,10 @@ SHARDS = 3
 TOP = 2000
 #: bits of each of the two bitmaps, at most (32 MiB)
 MAX_BITS_LOG2 = 28
-#: words that a task counts together
+#: words that a task counts together: one row of a shard
 CHUNK = 1 << 21
+#: bytes of the row groups of a shard, about; a row has some 12 bytes a word at most
+GROUP_BYTES = 16 << 20
 #: A-Z become lower case, the characters between pieces a full stop, tabs a space
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b".........\x20")
 _SLICE = re.compile(rb"(?s).{1,1048576}[^ .]*")
@@ -85,48 +90,69 @@ class Chunk:
             self.size += len(found)
         self.parts.append(np.array([-1]))
 
-    def counts(self, bits: Bits | None, count_words: bool) -> Iterator[pa.RecordBatch]:
-        """Counts of the words, and of the active phrases of every length; definitions of the latest known ones."""
+    def row(self, shard: int) -> pa.RecordBatch:
+        """The words in order, then per word its key and its name (length of the language, language, word), and the words of each language."""
         ids = np.concatenate(self.parts)
-        names = [(lang, w, i) for lang, held in self.words.items() for w, i in held.items() if i >= 0]
-        if not names:
-            return
+        names = sorted((i, lang, w) for lang, held in self.words.items() for w, i in held.items() if i >= 0)
         before = {lang: f"{len(lang)}:{lang}".encode() for lang in self.words}
-        digests = b"".join([xxhash.xxh3_128_digest(before[lang] + w) for lang, w, _ in names])
-        keys = np.empty((len(names), 2), np.uint64)
-        keys[[i for _, _, i in names]] = np.frombuffer(digests, ">u8").reshape(-1, 2)
-        if count_words:
-            n = np.bincount(ids[ids >= 0], minlength=len(names))
-            yield _batch(1, keys, n)
-            for lang, held in self.words.items():
-                mine = np.fromiter(held.values(), np.int64, len(held))
-                yield _batch(0, np.zeros((1, 2), np.uint64), np.array([n[mine[mine >= 0]].sum()]), [lang])
-        if bits is None:
+        defs = [before[lang] + w for _, lang, w in names]
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, defs)), ">u8").astype(np.uint64)
+        n = np.bincount(ids[ids >= 0], minlength=len(names))
+        sizes = []
+        for held in self.words.values():
+            mine = np.fromiter(held.values(), np.int64, len(held))
+            sizes.append(int(n[mine[mine >= 0]].sum()))
+        return pa.RecordBatch.from_pylist([{"ids": ids.astype(np.int32).tobytes(), "keys": keys.tobytes(), "defs": [d.decode() for d in defs],
+                                            "langs": list(self.words), "sizes": sizes, "shard": shard}], schema=_ENCODED)
+
+
+def dealer(shards: int):
+    """Texts (lang, text, shard) to rows of words, for ``mapInArrow``."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = [Chunk() for _ in range(shards)]
+        for b in batches:
+            for lang, text, shard in zip(b.column("lang").to_pylist(), b.column("text"), b.column("shard").to_pylist()):
+                chunks[shard].add(lang, text.as_py())
+                if chunks[shard].size >= CHUNK:
+                    yield chunks[shard].row(shard)
+                    chunks[shard] = Chunk()
+        for shard, chunk in enumerate(chunks):
+            if chunk.size:
+                yield chunk.row(shard)
+    return deal
+
+
+def counts(ids: np.ndarray, keys: np.ndarray, defs: pa.StringArray, bits: Bits | None, count_words: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the words, and of the active phrases of every length; definitions of the latest known ones."""
+    if count_words:
+        yield _batch(1, keys, np.bincount(ids[ids >= 0], minlength=len(keys)))
+    if bits is None:
+        return
+    known, recent = bits.has(0, keys), bits.has(1, keys)
+    told = np.flatnonzero(known & recent)
+    yield _batch(1, keys[told], np.zeros(len(told), np.int64), defs.take(pa.array(told)))
+    at = np.flatnonzero(ids >= 0)
+    at = at[known[ids[at]]]  # where a known phrase of the length below starts
+    held, fresh = keys[ids[at]], recent[ids[at]]
+    for size in range(2, MAX_WORDS + 1):
+        i = np.flatnonzero(at[1:] == at[:-1] + 1)
+        new, active = phrase_keys(held[i], held[i + 1]), fresh[i] | fresh[i + 1]
+        where = np.flatnonzero(active)
+        if len(where):
+            code, first = _distinct(new[where])
+            first = where[first]
+            parts = _parts(held, i[first]) if size == MAX_WORDS else None
+            yield _batch(size, new[first], np.bincount(code, minlength=len(first)), parts)
+        if size == MAX_WORDS:
             return
-        known, recent = bits.has(0, keys), bits.has(1, keys)
-        told = [(i, (before[lang] + w).decode()) for lang, w, i in names if known[i] and recent[i]]
-        yield _batch(1, keys[[i for i, _ in told]], np.zeros(len(told), np.int64), [d for _, d in told])
-        at = np.flatnonzero(ids >= 0)
-        at = at[known[ids[at]]]  # where a known phrase of the length below starts
-        held, fresh = keys[ids[at]], recent[ids[at]]
-        for size in range(2, MAX_WORDS + 1):
-            i = np.flatnonzero(at[1:] == at[:-1] + 1)
-            new, active = phrase_keys(held[i], held[i + 1]), fresh[i] | fresh[i + 1]
-            where = np.flatnonzero(active)
-            if len(where):
-                code, first = _distinct(new[where])
-                first = where[first]
-                parts = _parts(held, i[first]) if size == MAX_WORDS else None
-                yield _batch(size, new[first], np.bincount(code, minlength=len(first)), parts)
-            if size == MAX_WORDS:
-                return
-            known = bits.has(0, new)
-            fresh = known & bits.has(1, new)
-            where = np.flatnonzero(fresh)
-            if len(where):
-                first = where[_distinct(new[where])[1]]
-                yield _batch(size, new[first], np.zeros(len(first), np.int64), _parts(held, i[first]))
-            at, held, fresh = at[i][known], new[known], fresh[known]
+        known = bits.has(0, new)
+        fresh = known & bits.has(1, new)
+        where = np.flatnonzero(fresh)
+        if len(where):
+            first = where[_distinct(new[where])[1]]
+            yield _batch(size, new[first], np.zeros(len(first), np.int64), _parts(held, i[first]))
+        at, held, fresh = at[i][known], new[known], fresh[known]
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +170,9 @@ def _parts(held: np.ndarray, at: np.ndarray) -> list[str]:
     return [",".join(map(str, x)) for x in both.tolist()]
 
 
+ENCODED = "ids binary, keys binary, defs array<string>, langs array<string>, sizes array<long>, shard int"
+_ENCODED = pa.schema([("ids", pa.binary()), ("keys", pa.binary()), ("defs", pa.list_(pa.string())), ("langs", pa.list_(pa.string())),
+                      ("sizes", pa.list_(pa.int64())), ("shard", pa.int32())])
 SCHEMA = "k int, h1 long, h2 long, def string, n long"
 _KIND = pa.schema([("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("def", pa.string()), ("n", pa.int64())])
 KEY = ["h1", "h2"]
@@ -151,26 +180,25 @@ KEY = ["h1", "h2"]
 SMALL = 500_000
 
 
-def _batch(k: int, keys: np.ndarray, n: np.ndarray, told: list[str] | None = None) -> pa.RecordBatch:
+def _batch(k: int, keys: np.ndarray, n: np.ndarray, told: list[str] | pa.StringArray | None = None) -> pa.RecordBatch:
     size = len(n)
     lanes = [pa.array(np.ascontiguousarray(keys[:, x]).view(np.int64)) for x in (0, 1)]
-    told = pa.nulls(size, pa.string()) if told is None else pa.array(told, pa.string())
+    told = pa.nulls(size, pa.string()) if told is None else told if isinstance(told, pa.Array) else pa.array(told, pa.string())
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), *lanes, told, pa.array(n.astype(np.int64))], schema=_KIND)
 
 
 def counter(held, count_words: bool):
-    """The scan of one shard, for ``mapInArrow``: counts by chunk, added up by Spark."""
+    """The scan of one shard, for ``mapInArrow``: counts by row of words, added up by Spark."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, chunk = (Bits(*held.value) if held is not None else None), Chunk()
+        bits = Bits(*held.value) if held is not None else None
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                chunk.add(lang, text.as_py())
-                if chunk.size >= CHUNK:
-                    yield from chunk.counts(bits, count_words)
-                    chunk = Chunk()
-        if chunk.size:
-            yield from chunk.counts(bits, count_words)
+            for r in range(b.num_rows):
+                if count_words:
+                    sizes = zip(b.column("langs")[r].as_py(), b.column("sizes")[r].as_py())
+                    yield from (_batch(0, np.zeros((1, 2), np.uint64), np.array([n]), [lang]) for lang, n in sizes)
+                ids, keys = (np.frombuffer(b.column(x)[r].as_buffer(), t) for x, t in (("ids", np.int32), ("keys", np.uint64)))
+                yield from counts(ids, keys.reshape(-1, 2), b.column("defs")[r].values, bits, count_words)
     return scan
 
 
@@ -214,8 +242,11 @@ def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[list[Data
     spark = docs.sparkSession
     path = scratch_dir(spark, "phrase-shards")
     dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"))
-    dealt.write.partitionBy("shard").parquet(path)
+                        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
+    # few, wide rows: the writer's bounds are looked at after each, not after each hundred
+    sizes = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    with arrow_bounds(spark):
+        dealt.mapInArrow(dealer(shards), ENCODED).write.options(**sizes).partitionBy("shard").parquet(path)
     steps: list[DataFrame] = []
     known: list[DataFrame] = []
     held = None
@@ -227,8 +258,8 @@ def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[list[Data
                 if step >= shards and not recent:
                     held.unpersist()
                     return steps, _union(known)
-            shard = spark.read.schema("lang string, text string, shard int").option("basePath", path).parquet(path).filter(F.col("shard") == step % shards)
-            found = shard.select("lang", "text").mapInArrow(counter(held, step < shards), SCHEMA)
+            shard = spark.read.schema(ENCODED).option("basePath", path).parquet(path).filter(F.col("shard") == step % shards)
+            found = shard.drop("shard").mapInArrow(counter(held, step < shards), SCHEMA)
             steps.append(materialize(found.groupBy("k", *KEY, "def").agg(F.sum("n").alias("n")), "phrase-counts"))
             if held is not None:
                 held.unpersist()
