@@ -1,8 +1,10 @@
 """Entity mentions.
 
-N1a tags mentions by a gazetteer table. Each token of an article is one row; the join is on the first
-token of a name (broadcast if the table is measured to be small, else with hot tokens spread), so
-only tokens that begin some name survive, and only for those the rest of the name is compared. The few
+N1a tags mentions by a gazetteer table. Each token of an article is one row, with the token after it if some
+name has several; the join is on the first token of a name (broadcast if the table is measured to be small, else
+with hot tokens spread), so only tokens that begin some name survive. Names of three tokens or more are
+met by their first two; only the articles that hold such a pair are read again, and only the places of the
+pair take as many tokens as the longest name that begins with it has, so one long name widens no other row. The few
 hits are shuffled by article to drop a match lying strictly inside a longer one.
 """
 
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 
 from narrascope.functions import text as X
 from narrascope.functions.arrays import prefix_sum
-from narrascope.operators.util import cut_lineage, join_on_hot_key, small_arrow_batches
+from narrascope.operators.util import cut_lineage, join_on_hot_key, sized_broadcast, small_arrow_batches
 
 NER_MAX_CHARS = 2000
 GAZETTEER_METHOD = "gazetteer"
@@ -37,19 +39,34 @@ _PIECE = f"[^{X.WORD_CLASS}]*[{X.WORD_CLASS}]+"
 
 
 def prepare_gazetteer(gazetteer: DataFrame) -> DataFrame:
-    """One entry per lowered word: (key, first token, entity_group, score, ntok)."""
+    """One entry per lowered word: (key, first token, first two tokens, entity_group, score, ntok)."""
     g = gazetteer.select(F.lower("word").alias("key"), "entity_group", F.col("score").cast("double"))
     best = g.groupBy("key").agg(F.max(F.struct("score", "entity_group")).alias("b"))
     toks = F.regexp_extract_all(F.col("key"), F.lit(f"[{X.WORD_CLASS}]+"), 0)
-    return best.select("key", F.get(toks, F.lit(0)).alias("first"), F.col("b.entity_group").alias("entity_group"),
-                       F.col("b.score").alias("score"), F.size(toks).alias("ntok"))
+    return best.select("key", F.get(toks, F.lit(0)).alias("first"), F.concat_ws(" ", F.slice(toks, 1, 2)).alias("pair"),
+                       F.col("b.entity_group").alias("entity_group"), F.col("b.score").alias("score"), F.size(toks).alias("ntok"))
+
+
+def _long_names(base: DataFrame, cand: DataFrame, names: DataFrame) -> DataFrame:
+    """The places of names of three tokens or more, by way of their first two: article_id, tok, e, tail (pieces after it), name.
+
+    ``base`` holds an article in one row. The places are written once, so their bytes are known to the join with it.
+    """
+    pairs = names.groupBy("pair").agg(F.max("ntok").alias("need"))
+    begun = cand.withColumn("pair", F.concat_ws(" ", "first", F.lower(F.regexp_extract("nxt", f"[{X.WORD_CLASS}]+", 0))))
+    at = join_on_hot_key(begun, pairs, "pair").select("article_id", F.struct("pos", "tok", "e", "pair", "need").alias("at"))
+    at = cut_lineage(at.groupBy("article_id").agg(F.collect_list("at").alias("ats")))  # at most the tokens of one article
+    held = base.join(sized_broadcast(at), "article_id").select("article_id", "ats", F.regexp_extract_all("text", F.lit(_PIECE), 0).alias("pieces"))
+    wide = F.transform("ats", lambda p: p.withField("tail", F.slice("pieces", p["pos"] + 2, p["need"] - 1)))
+    rows = held.select("article_id", F.explode(wide).alias("p")).select("article_id", "p.tok", "p.e", "p.tail", "p.pair")
+    return join_on_hot_key(rows, names, "pair")
 
 
 def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
                  max_chars: int | None = None, method: str = GAZETTEER_METHOD) -> DataFrame:
     """One row per mention in ``title. summary``.
 
-    The whole text is tagged by default; ``max_chars=NER_MAX_CHARS`` reproduces
+    ``id_col`` must be unique. The whole text is tagged by default; ``max_chars=NER_MAX_CHARS`` reproduces
     the reference model's input cut when parity with it is wanted.
 
     Output: article_id, method_name, entity_group, word (surface form),
@@ -65,20 +82,24 @@ def tag_entities(articles: DataFrame, gazetteer: DataFrame, id_col: str = "id",
         text = F.substring(text, 1, max_chars)
     base = articles.select(F.col(id_col).alias("article_id"), text.alias("text"))
     # pieces (separator + token) and tokens come from two native regex passes
-    base = base.select("article_id", F.regexp_extract_all("text", F.lit(_PIECE), 0).alias("pieces"),
-                       F.regexp_extract_all("text", F.lit(f"[{X.WORD_CLASS}]+"), 0).alias("toks"))
+    split = base.select("article_id", F.regexp_extract_all("text", F.lit(_PIECE), 0).alias("pieces"),
+                        F.regexp_extract_all("text", F.lit(f"[{X.WORD_CLASS}]+"), 0).alias("toks"))
     # end offset of every token = running length of the pieces (linear scan)
     ends = prefix_sum(F.transform("pieces", lambda p: F.length(p)))
-    # a row per token: itself, where it ends, and the pieces a name of several tokens may take after it
-    more = F.transform(F.col("pieces"), lambda _, i: F.slice("pieces", i + 2, max_n - 1)) if max_n > 1 else F.transform(F.col("pieces"), lambda _: F.lit(None).cast("array<string>"))
-    cand = base.select("article_id", F.explode(F.arrays_zip(F.col("toks").alias("t"), ends.alias("e"), more.alias("more"))).alias("g"))
-    cand = cand.select("article_id", F.col("g.t").alias("tok"), F.col("g.e").cast("int").alias("e"), F.col("g.more").alias("more"),
-                       F.lower("g.t").alias("first"))
-    hits = join_on_hot_key(cand, gz, "first")
-    tail = F.array_join(F.slice(F.coalesce("more", F.array().cast("array<string>")), F.lit(1), F.col("ntok") - 1), "")
-    word = F.when(F.col("ntok") == 1, F.col("tok")).otherwise(F.concat("tok", tail))
+    # a row per token: itself, where it ends, and the piece after it if a name may go on there
+    parts = [F.col("toks").alias("t"), ends.alias("e")] + ([F.slice("pieces", F.lit(2), F.size("pieces")).alias("nxt")] if max_n > 1 else [])
+    cand = split.select("article_id", F.posexplode(F.arrays_zip(*parts)).alias("pos", "g"))
+    cand = cand.select("article_id", "pos", F.col("g.t").alias("tok"), F.col("g.e").cast("int").alias("e"),
+                       (F.col("g.nxt") if max_n > 1 else F.lit(None).cast("string")).alias("nxt"), F.lower("g.t").alias("first"))
+    word = F.when(F.col("ntok") == 1, F.col("tok")).otherwise(F.concat("tok", F.coalesce("nxt", F.lit(""))))
+    found = ["article_id", "tok", "e", "word", "key", "entity_group", "score"]
+    hits = join_on_hot_key(cand, gz.where(F.col("ntok") <= 2).drop("pair"), "first").withColumn("word", word).select(*found)
+    if max_n > 2:
+        long = _long_names(base, cand, gz.where(F.col("ntok") > 2).drop("first"))
+        tail = F.array_join(F.slice("tail", F.lit(1), F.col("ntok") - 1), "")
+        hits = hits.unionByName(long.withColumn("word", F.concat("tok", tail)).select(*found))
     start = F.col("e") - F.length("tok")
-    hits = (hits.withColumn("word", word).where(F.lower("word") == F.col("key"))
+    hits = (hits.where(F.lower("word") == F.col("key"))
             .select("article_id", "entity_group", "word", "score", start.alias("start_char"), (start + F.length("word")).alias("end_char")))
     # drop a match that lies strictly inside a longer one of the same article
     w = (Window.partitionBy("article_id").orderBy(F.asc("start_char"), F.desc("end_char"))

@@ -97,3 +97,44 @@ def test_registered_model_query_is_native(spark):
     assert got == sorted(want)
     plan = catalog.REGISTRY["tag_entities_model"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "Python" not in plan
+
+
+def test_names_of_many_tokens_match_a_loop_over_tokens(spark, monkeypatch):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from narrascope.operators import entities
+
+    rnd = random.Random(5)
+    sixty = " ".join(f"w{i}" for i in range(60))
+    names = ["a", "b a", "a b c", "a b d", "a b c d", "b  c a", "c-a b a", "d.", sixty]
+    gaz = [(n, "ORG", 0.5 + i / 100) for i, n in enumerate(names)]
+    texts = ["".join(rnd.choice("aAbBcd") + rnd.choice([" ", " ", " ", "  ", "-", ". "]) for _ in range(rnd.randint(0, 80))) for _ in range(30)]
+    texts += [f"w0 w1 {sixty.upper()} a b", f"{sixty[:-1]}", "", "a b", sixty]
+    want = set()
+    for i, t in enumerate(texts):
+        full = f"{t}. x"
+        toks = [(m.start(), m.end()) for m in re.finditer(r"\w+", full)]
+        spans = []
+        for p, (at, _) in enumerate(toks):
+            for n, _, score in gaz:
+                k = len(re.findall(r"\w+", n))
+                if p + k <= len(toks) and full[at:toks[p + k - 1][1]].lower() == n:
+                    spans.append((at, toks[p + k - 1][1], score))
+        want |= {(i, full[a:b], a, b, s) for a, b, s in spans if not any(x <= a and b <= y and (x, y) != (a, b) for x, y, _ in spans)}
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, title string, summary string")
+    table = spark.createDataFrame(gaz, "word string, entity_group string, score double")
+    for _ in range(2):
+        rows = entities.tag_entities(df, table).collect()
+        got = {(r["article_id"], r["word"], r["start_char"], r["end_char"], r["score"]) for r in rows}
+        assert len(rows) == len(got) and got == want and any(b - a > 200 for _, _, a, b, _ in got)
+        monkeypatch.setattr("narrascope.operators.util.BROADCAST_MAX_BYTES", 0)
+    # only the places of a pair that begins a long name are widened
+    base = df.select(F.col("id").alias("article_id"), F.concat("title", F.lit(". x")).alias("text"))
+    gz = entities.prepare_gazetteer(table)
+    cand = spark.createDataFrame([(0, 0, "a", 1, " b", "a"), (30, 0, "w0", 2, " w1", "w0")],
+                                 "article_id long, pos int, tok string, e int, nxt string, first string")
+    wide = entities._long_names(base, cand, gz.where("ntok > 2").drop("first")).groupBy("article_id").agg(F.max(F.size("tail")).alias("n"))
+    assert {r["article_id"]: r["n"] <= 3 for r in wide.collect()}.get(0, True) and [r["n"] for r in wide.where("article_id = 30").collect()] == [59]
