@@ -27,6 +27,8 @@ from narrascope.llm.common import arrow_function, bound_arrow, materialize
 
 #: bound on the labelled rows that the weights are fitted on
 MAX_FIT_ROWS = 20_000
+#: files of their features, one driver job each at most
+FIT_FILES = 8
 MIN_ROWS = 5
 MIN_Z = 5.0
 THRESHOLD = 0.7
@@ -125,8 +127,10 @@ def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
             yield pa.array([[sorted(held[w] for w in s[2]) for s in sentence_terms(t.as_py(), known)] for t in texts],
                            pa.list_(pa.list_(pa.int32())))
 
+    # the features are written by one job into a fixed number of files, so the driver reads them by few jobs however many files the table has
+    chosen = sample.select("toxic", "pick", features("text").alias("f")).repartition(FIT_FILES, "pick").sortWithinPartitions("pick")
     labels, docs, sent, term = [], [], [], []
-    for d, r in enumerate(sample.select("toxic", features("text").alias("f")).toLocalIterator()):
+    for d, r in enumerate(materialize(chosen, "toxicity-fit").toLocalIterator()):
         labels.append(r["toxic"])
         for s in r["f"]:
             sent.extend([len(docs)] * len(s)), term.extend(s)

@@ -64,3 +64,16 @@ def test_terms_outside_the_fitted_rows_have_weight(spark):
     rows = [(r["id"], "Du Schuft." if k >= 3992 else "Ein Halunke." if k % 10 == 0 else "Alles ruhig hier.", int(k >= 3992 or k % 10 == 0)) for k, r in enumerate(ids)]
     model = T.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), max_rows=400)
     assert all(T.noisy_or(model, T.sentence_scores(model, t, frozenset(model.weights))) > 0.7 for t in ("Du Schuft.", "Ein Halunke."))
+
+
+def test_jobs_of_the_fit_do_not_follow_the_partitions(spark):
+    rows = spark.range(400).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'vile filth', 'kind words'), '. Number ', id, '.') as text", "cast(id % 2 = 0 as int) as toxic")
+    sc, jobs, models = spark.sparkContext, [], []
+    for parts in (4, 40):
+        sc.setJobGroup(f"fit-{parts}", "fit")
+        models.append(T.fit(rows.repartition(parts, "doc_id")))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"fit-{parts}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert models[0].weights and models[0].weights.keys() == models[1].weights.keys()
+    assert all(abs(models[0].weights[w] - models[1].weights[w]) < 1e-9 for w in models[0].weights)
+    assert 0 < jobs[1] <= jobs[0] + 4
