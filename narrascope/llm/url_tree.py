@@ -7,18 +7,22 @@
 3. Sibling branches are merged where they are statistically alike: literal branches with the same
    most frequent continuation form a pool, and a branch is compared with its pool, by the total
    variation between their distributions over what follows and by their labelled rates. If neither
-   differs by more than sampling would explain, it becomes ``{*}``. A branch without labels has no rate
-   to compare, so it stays apart. Each branch meets only its pool, never its siblings one by one.
-4. A template is rejected if its smoothed purity, ``(blocked + ALPHA * r) / (labelled + ALPHA)`` with ``r`` the
-   blocked share of all labelled urls, reaches ``REJECT``.
+   differs by more than sampling would explain, it becomes ``{*}``. A branch or pool without labels has no
+   rate to compare and is judged by its continuations alone, so that the merged template carries the labels
+   of its alike siblings. Each branch meets only its pool, never its siblings one by one.
+4. A template is rejected if its smoothed purity reaches ``REJECT``. Purity is the blocked share of its labelled
+   urls, ``(blocked + ALPHA * h) / (labelled + ALPHA)``; ``h`` is the same share over its host, smoothed likewise
+   towards that of its literal templates (those before merging) on all hosts, and that one towards the share of
+   all labelled urls.
 
 Labels come from rules: a url that a rule fits has the rule's verdict and counts as labelled; the tree
-judges the rest.
+judges the rest. Paths of any depth are taken whole: a prefix or a rest is known by a 128-bit key, the XOR of
+the hashes of its (position, segment) pairs, so a path costs its length and no prefix is written out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrascope.llm.common import ascii_lower, materialize
@@ -26,14 +30,13 @@ from narrascope.llm.common import ascii_lower, materialize
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: segments after so many count as one variable tail, ``<**>``
-MAX_DEPTH = 64
 MIN_SUPPORT = 5
 MIN_SHARE_PERCENT = 1
 MAX_VARIATION = 0.1
 MAX_RATE_GAP = 0.1
 ALPHA = 5
 REJECT = 0.8
+SALT = 16  # parts over which the rows of one host or template are dealt when they meet its sums
 UNIT = 1_000_000_000  # distributions are summed as whole billionths, so sums do not depend on their order
 
 
@@ -54,52 +57,64 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def shape(path: Column) -> Column:
     """The path's segments with variable text classed, as one string; empty segments do not count."""
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    classed = F.transform(F.slice(segments, 1, MAX_DEPTH), lambda s: F.when(s.rlike("^[0-9A-Fa-f-]{8,}$") & s.rlike("[0-9]"), F.lit("<h>"))
-                          .otherwise(F.regexp_replace(s, "[0-9]+", "<n>")))
-    tail = F.when(F.size(segments) > MAX_DEPTH, F.lit("/<**>")).otherwise(F.lit(""))
-    return F.concat(F.array_join(classed, "/"), tail)
+    return F.array_join(F.transform(_segments(path), lambda s: F.when(s.rlike("^[0-9A-Fa-f-]{8,}$") & s.rlike("[0-9]"), F.lit("<h>"))
+                                    .otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))), "/")
 
 
-def _segments(c: str) -> Column:
+def _segments(c) -> Column:
     return F.filter(F.split(c, "/"), lambda s: s != "")
 
 
+def _key(pos: Column, tok: Column) -> Column:
+    return F.struct(F.xxhash64(pos, tok).alias("a"), F.xxhash64(tok, pos, F.lit(1)).alias("b"))
+
+
+def _xor(x: Column, y: Column) -> Column:
+    return F.struct(x["a"].bitwiseXOR(y["a"]).alias("a"), x["b"].bitwiseXOR(y["b"]).alias("b"))
+
+
 def _exploded(rows: DataFrame, col: str, *carry: str) -> DataFrame:
-    """One row per segment of ``col``: its position, the prefix before it and the rest after it."""
-    seg = rows.select("host", col, *carry, _segments(col).alias("segs"))
-    out = seg.select("host", col, *carry, "segs", F.posexplode("segs").alias("pos", "tok"))
-    return out.select("host", col, *carry, "pos", "tok",
-                      F.array_join(F.slice("segs", F.lit(1), F.col("pos")), "/").alias("prefix"),
-                      F.array_join(F.slice("segs", F.col("pos") + 2, F.size("segs")), "/").alias("rest"))
+    """One row per segment of ``col``: its position, and the keys of the prefix before it and of the rest after it."""
+    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    seg = rows.select("host", "id", *carry, _segments(col).alias("segs"))
+    seg = seg.withColumn("whole", F.aggregate(F.transform("segs", lambda s, i: _key(i, s)), zero, _xor))
+    out = seg.select("host", "id", *carry, "whole", F.posexplode("segs").alias("pos", "tok")).withColumn("key", _key(F.col("pos"), F.col("tok")))
+    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumn("upto", F.struct(*[F.bit_xor(F.col("key")[c]).over(so_far).alias(c) for c in "ab"]))
+    return out.select("host", "id", *carry, "pos", "tok", _xor(F.col("upto"), F.col("key")).alias("prefix"),
+                      _xor(F.col("whole"), F.col("upto")).alias("rest"))
 
 
-def _rebuilt(rows: DataFrame, labelled: DataFrame, col: str, new: str) -> DataFrame:
-    """``rows`` with ``new``: the labels of all segments of ``col`` put together again."""
-    joined = labelled.groupBy("host", col).agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("s"))
-    joined = joined.select("host", col, F.array_join(F.transform("s", lambda x: x["label"]), "/").alias(new))
-    return rows.join(joined, ["host", col], "left").withColumn(new, F.coalesce(new, F.lit("")))
+def _rebuilt(rows: DataFrame, labelled: DataFrame, new: str) -> DataFrame:
+    """``rows`` with ``new``: the labels of all segments put together again."""
+    joined = labelled.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("s"))
+    joined = joined.select("id", F.array_join(F.transform("s", lambda x: x["label"]), "/").alias(new))
+    return rows.join(joined, "id", "left").withColumn(new, F.coalesce(new, F.lit("")))
 
 
 def generalise(shapes: DataFrame) -> DataFrame:
-    """``shapes`` with ``template``: segments that are rare under their prefix as ``*``."""
-    e = materialize(_exploded(shapes, "shape", "n"), "url-segments")
-    tokens = e.groupBy("host", "prefix", "tok").agg(F.sum("n").alias("n_tok"))
-    total = e.groupBy("host", "prefix").agg(F.sum("n").alias("n_all"))
+    """``shapes`` (with ``id``) with ``template``: segments that are rare under their prefix as ``*``."""
+    e = materialize(_exploded(shapes, "shape", "n").drop("rest"), "url-segments")
+    at = ["host", "pos", "prefix"]
+    tokens = e.groupBy(*at, "tok").agg(F.sum("n").alias("n_tok"))
+    total = e.groupBy(*at).agg(F.sum("n").alias("n_all"))
     kept = (F.col("n_tok") >= MIN_SUPPORT) & (F.col("n_tok") * 100 >= F.col("n_all") * MIN_SHARE_PERCENT)
-    named = tokens.join(total, ["host", "prefix"]).select("host", "prefix", "tok", F.when(kept, F.col("tok")).otherwise("*").alias("label"))
-    return _rebuilt(shapes, e.join(named, ["host", "prefix", "tok"]), "shape", "template")
+    named = tokens.join(total, at).select(*at, "tok", F.when(kept, F.col("tok")).otherwise("*").alias("label"))
+    return _rebuilt(shapes, e.join(named, [*at, "tok"]), "template")
 
 
 def merge_branches(templates: DataFrame) -> DataFrame:
-    """``templates`` (host, template, n, labelled, blocked) with ``merged``: alike sibling branches as ``{*}``."""
+    """``templates`` (id, host, template, n, labelled, blocked) with ``merged``: alike sibling branches as ``{*}``.
+
+    ``id`` must follow the order of the templates of a host: of equally frequent continuations the last one counts.
+    """
     e = materialize(_exploded(templates, "template", "n", "labelled", "blocked"), "url-branches")
     literal = e.filter((F.col("tok") != "*") & ~F.contains("tok", F.lit("<")))
-    branch = ["host", "prefix", "tok"]
-    suffix = literal.groupBy(*branch, "rest").agg(F.sum("n").alias("n_bs"))
+    branch = ["host", "pos", "prefix", "tok"]
+    suffix = literal.groupBy(*branch, "rest").agg(F.sum("n").alias("n_bs"), F.max("id").alias("last"))
     of_branch = (literal.groupBy(*branch).agg(F.sum("n").alias("n_b"), F.sum("labelled").alias("lab_b"), F.sum("blocked").alias("blk_b"))
-                 .join(suffix.groupBy(*branch).agg(F.max(F.struct("n_bs", "rest"))["rest"].alias("mode")), branch))
-    parent = ["host", "prefix", "mode"]
+                 .join(suffix.groupBy(*branch).agg(F.max(F.struct("n_bs", "last", "rest"))["rest"].alias("mode")), branch))
+    parent = ["host", "pos", "prefix", "mode"]
     suffix = suffix.join(of_branch, branch)
     pool_suffix = suffix.groupBy(*parent, "rest").agg(F.sum("n_bs").alias("n_s"))
     kinds = pool_suffix.groupBy(*parent).agg(F.count(F.lit(1)).alias("k"))
@@ -111,20 +126,40 @@ def merge_branches(templates: DataFrame) -> DataFrame:
              .join(kinds, parent))
     variation = F.col("gap") / (2.0 * UNIT)
     rate = F.try_divide("blk", "lab")
-    alike = ((F.col("lab_b") > 0) & (variation <= MAX_VARIATION + F.sqrt(F.col("k") / F.col("n_b")) / 2)
-             & (F.abs(F.try_divide("blk_b", "lab_b") - rate) <= MAX_RATE_GAP + 2 * F.sqrt(F.try_divide(rate * (1 - rate), "lab_b"))))
-    judged = facts.filter(F.coalesce(alike, F.lit(False))).select(*branch, "mode")
+    same_rate = F.abs(F.try_divide("blk_b", "lab_b") - rate) <= MAX_RATE_GAP + 2 * F.sqrt(F.try_divide(rate * (1 - rate), "lab_b"))
+    alike = (variation <= MAX_VARIATION + F.sqrt(F.col("k") / F.col("n_b")) / 2) & F.coalesce(same_rate, F.lit(True))
+    judged = facts.filter(alike).select(*branch, "mode")
     several = judged.groupBy(*parent).agg(F.count(F.lit(1)).alias("n_alike")).filter("n_alike > 1")
     merged = judged.join(several, parent, "left_semi").select(*branch, F.lit("{*}").alias("one"))
     labelled = e.join(merged, branch, "left").withColumn("label", F.coalesce("one", "tok"))
-    return _rebuilt(templates, labelled, "template", "merged")
+    return _rebuilt(templates, labelled, "merged")
+
+
+def _meet(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to the one row of ``sums`` for their ``key``; rows of a frequent key are dealt over copies of it."""
+    copies = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("host", "template"), F.lit(SALT)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
+
+def purities(merged: DataFrame) -> DataFrame:
+    """``host, merged, purity`` of every merged template, smoothed towards host, its literal templates anywhere, all urls."""
+    share = merged.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("r")).first()["r"]
+    on_host = merged.groupBy("host").agg(F.sum("labelled").alias("lab_h"), F.sum("blocked").alias("blk_h"))
+    anywhere = merged.groupBy("template").agg(F.sum("labelled").alias("lab_t"), F.sum("blocked").alias("blk_t"))
+    met = _meet(_meet(merged, on_host, "host"), anywhere, "template")
+    own = met.groupBy("host", "merged", "lab_h", "blk_h").agg(*[F.sum(c).alias(c) for c in ("labelled", "blocked", "lab_t", "blk_t")])
+    smooth = lambda blocked, labelled, prior: (F.col(blocked) + ALPHA * prior) / (F.col(labelled) + ALPHA)
+    purity = smooth("blocked", "labelled", smooth("blk_h", "lab_h", smooth("blk_t", "lab_t", F.lit(float(share)))))
+    return own.select("host", "merged", F.round(purity, 6).alias("purity"))
 
 
 def op1_url_tree(pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, purity`` of every row of ``pages``.
 
-    A url without host or path has the template of an empty path, which no label reaches unless a rule fits
-    it; without any label at all the blocked share counts as 0. Repeated rows are all returned.
+    A url without host or path has the template of an empty path, which is judged like any other template;
+    without any label at all the blocked share counts as 0. Repeated rows are all returned, very long and deep
+    paths are taken whole, equally frequent continuations go to the last in byte order, and columns other than
+    ``page_id`` and ``url`` are not looked at.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -132,18 +167,14 @@ def op1_url_tree(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = urls.withColumn("rule", rule).withColumn("rule_verdict", verdict).withColumn("shape", shape(F.col("path")))
     shapes = materialize(urls.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("rule").alias("labelled"),
-        F.sum((F.coalesce("rule_verdict", F.lit("")) == "block").cast("long")).alias("blocked")), "url-shapes")
+        F.sum((F.coalesce("rule_verdict", F.lit("")) == "block").cast("long")).alias("blocked")).withColumn("id", F.monotonically_increasing_id()), "url-shapes")
     shapes = materialize(generalise(shapes), "url-templates")
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    templates = materialize(shapes.groupBy("host", "template").agg(*sums), "url-tree")
+    templates = shapes.groupBy("host", "template").agg(*sums).orderBy("host", "template")
+    templates = materialize(templates.withColumn("id", F.monotonically_increasing_id()), "url-tree")
     merged = materialize(merge_branches(templates), "url-merged")
-    prior = merged.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("labelled")), F.lit(0.0)).alias("r"))
-    rate = float(prior.first()["r"])
-    final = merged.groupBy("host", "merged").agg(*sums).withColumn("r", F.lit(rate))
-    purity = (F.col("blocked") + ALPHA * F.col("r")) / (F.col("labelled") + ALPHA)
-    final = final.select("host", "merged", F.round(purity, 6).alias("purity"))
     judged = materialize(shapes.select("host", "shape", "template").join(merged.select("host", "template", "merged"), ["host", "template"])
-                         .join(final, ["host", "merged"]).select("host", "shape", F.col("merged").alias("template"), "purity"), "url-verdicts")
+                         .join(purities(merged), ["host", "merged"]).select("host", "shape", F.col("merged").alias("template"), "purity"), "url-verdicts")
     tree = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(judged, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", tree).alias("verdict"), "template", "purity")
@@ -158,10 +189,9 @@ rules(rv, rh, rp) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in
 r AS (
   SELECT u.*, (SELECT max(struct_pack(l := length(rh || rp), rule := rh || rp, rv := rv)) FROM rules
                WHERE starts_with(path, rp) AND (host = rh OR ends_with(host, '.' || rh))) AS best,
-         array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:{MAX_DEPTH}],
+         array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
            lambda x: CASE WHEN regexp_matches(x, '^[0-9A-Fa-f-]{{8,}}$') AND regexp_matches(x, '[0-9]') THEN '<h>'
-                ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END), '/')
-           || CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) > {MAX_DEPTH} THEN '/<**>' ELSE '' END AS shape
+                ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END), '/') AS shape
   FROM u),
 shapes AS (
   SELECT host, shape, count(*) AS n, count(best) AS labelled, sum(CASE WHEN best.rv = 'block' THEN 1 ELSE 0 END)::BIGINT AS blocked
@@ -196,16 +226,21 @@ facts AS (
   GROUP BY ALL),
 alike AS (
   SELECT *, count(*) OVER (PARTITION BY host, prefix, mode) AS n_alike FROM facts
-  WHERE lab_b > 0 AND gap / {2.0 * UNIT:.1f}::DOUBLE <= {MAX_VARIATION}::DOUBLE + sqrt(k / n_b) / 2
-    AND abs(blk_b / lab_b - blk / lab) <= {MAX_RATE_GAP}::DOUBLE + 2 * sqrt((blk / lab) * (1 - blk / lab) / lab_b)),
+  WHERE gap / {2.0 * UNIT:.1f}::DOUBLE <= {MAX_VARIATION}::DOUBLE + sqrt(k / n_b) / 2
+    AND (lab_b = 0 OR abs(blk_b / nullif(lab_b, 0) - blk / nullif(lab, 0))
+                      <= {MAX_RATE_GAP}::DOUBLE + 2 * sqrt((blk / nullif(lab, 0)) * (1 - blk / nullif(lab, 0)) / nullif(lab_b, 0)))),
 merged AS (
   SELECT t.*, coalesce(m.merged, '') AS merged FROM templates t LEFT JOIN (
     SELECT b.host, b.template, string_agg(CASE WHEN a.n_alike > 1 THEN '{{*}}' ELSE b.tok END, '/' ORDER BY b.pos) AS merged
     FROM b LEFT JOIN alike a ON a.host = b.host AND a.prefix = b.prefix AND a.tok = b.tok GROUP BY ALL) m USING (host, template)),
+on_host AS (SELECT host, sum(blocked)::BIGINT AS blk_h, sum(labelled)::BIGINT AS lab_h FROM merged GROUP BY ALL),
+anywhere AS (SELECT template, sum(blocked)::BIGINT AS blk_t, sum(labelled)::BIGINT AS lab_t FROM merged GROUP BY ALL),
+own AS (SELECT host, merged, sum(blocked)::BIGINT AS blk, sum(labelled)::BIGINT AS lab, sum(blk_t)::BIGINT AS blk_t, sum(lab_t)::BIGINT AS lab_t
+        FROM merged JOIN anywhere USING (template) GROUP BY ALL),
+share AS (SELECT coalesce(sum(blk) / nullif(sum(lab), 0), 0)::DOUBLE AS r FROM own),
 final AS (
-  SELECT host, merged, round((sum(blocked) + {ALPHA} * (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) FROM merged))
-                             / (sum(labelled) + {ALPHA}), 6) AS purity
-  FROM merged GROUP BY ALL)
+  SELECT host, merged, round((blk + {ALPHA} * ((blk_h + {ALPHA} * ((blk_t + {ALPHA} * r) / (lab_t + {ALPHA}))) / (lab_h + {ALPHA}))) / (lab + {ALPHA}), 6) AS purity
+  FROM own JOIN on_host USING (host), share)
 SELECT page_id, r.host, path, best.rule AS rule, coalesce(best.rv, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
        merged AS template, purity
 FROM r JOIN shaped USING (host, shape) JOIN merged USING (host, template) JOIN final USING (host, merged)
