@@ -1,13 +1,13 @@
 """Phrase collocations by dynamic itemset counting.
 
-Documents are dealt into ``SHARDS`` shards and the shards are scanned in a cycle, one a step. Words are counted
+Chunks of documents are dealt into ``SHARDS`` shards in turn and the shards are scanned in a cycle, one a step. Words are counted
 from the first step. A longer phrase is active once the two phrases it overlaps to (all but its last
 word, all but its first) have both reached the threshold, whatever step that is, and is then counted through one
 full cycle, so phrases of all lengths are counted in the same scan. A scan knows which phrases have
 reached the threshold from a bitmap of their hashes, of a fixed size at most. A wrong bit only makes a
 phrase count earlier; a count in a shard is a true count whenever it is made, so counts are exact.
 
-Texts are cut into words once: a shard holds, for every ``CHUNK`` words of a task, the number of each word in its order,
+Texts are cut into words once: a shard holds, for each of its chunks (``CHUNK`` words of a task), the number of each word in its order,
 and the key and name of each number. The scans read those.
 
 A phrase is known by a 128-bit key: of its language and text for a word, of the keys of its two overlapping
@@ -38,8 +38,8 @@ SHARDS = 3
 TOP = 2000
 #: bits of each of the two bitmaps, at most (32 MiB)
 MAX_BITS_LOG2 = 28
-#: words that a task counts together: one row of a shard
-CHUNK = 1 << 21
+#: words that a task counts together, a quarter of them distinct at most: one row of a shard (whole texts, so one text may exceed it)
+CHUNK = 1 << 20
 #: bytes of the row groups of a shard, about; a row has some 12 bytes a word at most
 GROUP_BYTES = 16 << 20
 #: A-Z become lower case, the characters between pieces a full stop, tabs a space
@@ -86,9 +86,12 @@ class Chunk:
             held[b"."] = -1
         for piece in _SLICE.finditer(text.encode().translate(_FOLD)):
             found = piece[0].replace(b".", b" . ").split()
-            self.parts.append(np.fromiter(map(held.__getitem__, found), np.int64, len(found)))
+            self.parts.append(np.fromiter(map(held.__getitem__, found), np.int32, len(found)))
             self.size += len(found)
-        self.parts.append(np.array([-1]))
+        self.parts.append(np.array([-1], np.int32))
+
+    def full(self) -> bool:
+        return self.size >= CHUNK or sum(map(len, self.words.values())) >= CHUNK // 4
 
     def row(self, shard: int) -> pa.RecordBatch:
         """The words in order, then per word its key and its name (length of the language, language, word), and the words of each language."""
@@ -102,24 +105,23 @@ class Chunk:
         for held in self.words.values():
             mine = np.fromiter(held.values(), np.int64, len(held))
             sizes.append(int(n[mine[mine >= 0]].sum()))
-        return pa.RecordBatch.from_pylist([{"ids": ids.astype(np.int32).tobytes(), "keys": keys.tobytes(), "defs": [d.decode() for d in defs],
+        return pa.RecordBatch.from_pylist([{"ids": ids.astype(np.int32, copy=False).tobytes(), "keys": keys.tobytes(), "defs": [d.decode() for d in defs],
                                             "langs": list(self.words), "sizes": sizes, "shard": shard}], schema=_ENCODED)
 
 
 def dealer(shards: int):
-    """Texts (lang, text, shard) to rows of words, for ``mapInArrow``."""
+    """Texts (lang, text, shard of the task's first chunk) to rows of words, for ``mapInArrow``; one chunk is held at a time."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = [Chunk() for _ in range(shards)]
+        chunk, done, first = Chunk(), 0, 0
         for b in batches:
-            for lang, text, shard in zip(b.column("lang").to_pylist(), b.column("text"), b.column("shard").to_pylist()):
-                chunks[shard].add(lang, text.as_py())
-                if chunks[shard].size >= CHUNK:
-                    yield chunks[shard].row(shard)
-                    chunks[shard] = Chunk()
-        for shard, chunk in enumerate(chunks):
-            if chunk.size:
-                yield chunk.row(shard)
+            for lang, text, first in zip(b.column("lang").to_pylist(), b.column("text"), b.column("shard").to_pylist()):
+                chunk.add(lang, text.as_py())
+                if chunk.full():
+                    yield chunk.row((first + done) % shards)
+                    chunk, done = Chunk(), done + 1
+        if chunk.size:
+            yield chunk.row((first + done) % shards)
     return deal
 
 
@@ -242,7 +244,7 @@ def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[list[Data
     spark = docs.sparkSession
     path = scratch_dir(spark, "phrase-shards")
     dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
+                        F.pmod(F.spark_partition_id(), F.lit(shards)).cast("int").alias("shard"))
     # few, wide rows: the writer's bounds are looked at after each, not after each hundred
     sizes = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
     with arrow_bounds(spark):
