@@ -110,3 +110,18 @@ def test_corpus_maximality_before_count_rule(spark):
     arts = spark.createDataFrame(rows, "id long, url string, title string, summary string")
     sw = spark.createDataFrame([("zz",)], "word string")
     assert FR.corpus_phrases(arts, "x", sw).count() == 0
+
+
+def test_an_occurrence_holds_only_the_tokens_around_it(spark):
+    """A long sentence with many runs is not copied for each of them."""
+    text = " ".join(f"w{i} x" for i in range(500))
+    arts = spark.createDataFrame([(1, text, "")], "id long, title string, summary string")
+    targets = spark.createDataFrame([(1, "x")], "article_id long, entity_word string")
+    occ = FR.occurrences(arts, targets, spark.createDataFrame([("w1",)], "word string"), size=3)
+    rows = occ.select("start", "at", "near", "stops").orderBy("start").collect()
+    toks = (text + ". ").replace(".", "").split()
+    assert [r["start"] for r in rows] == list(range(2, 1001, 2))
+    for r in rows:
+        lo = max(1, r["start"] - 3)
+        assert r["near"][:7] == toks[lo - 1:r["start"] + 3] and r["near"][r["at"] - 1] == "x"
+        assert r["stops"] == (["w1"] if "w1" in r["near"] else [])
