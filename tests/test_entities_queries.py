@@ -138,3 +138,24 @@ def test_names_of_many_tokens_match_a_loop_over_tokens(spark, monkeypatch):
                                  "article_id long, pos int, tok string, e int, nxt string, first string")
     wide = entities._long_names(base, cand, gz.where("ntok > 2").drop("first")).groupBy("article_id").agg(F.max(F.size("tail")).alias("n"))
     assert {r["article_id"]: r["n"] <= 3 for r in wide.collect()}.get(0, True) and [r["n"] for r in wide.where("article_id = 30").collect()] == [59]
+
+
+def test_places_over_several_chunks(spark, monkeypatch):
+    """Names of one to three tokens, in and across chunks of a text: the places of a plain scan."""
+    import random
+    import re
+
+    rnd = random.Random(6)
+    names = ["ab", "cd ef", "ef ab cd"]
+    texts = ["".join(rnd.choice(["ab", "Cd", "ef", "é1", "😀x"]) + rnd.choice([" ", ", ", " 😀 ", "\n"]) for _ in range(n)) for n in (0, 1, 2, 3, 40, 90)]
+    arts = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id long, title string, summary string")
+    gaz = spark.createDataFrame([(w, "PER", 0.5) for w in names], "word string, entity_group string, score double")
+    monkeypatch.setattr(N, "CHUNK_TOKENS", 3)
+    monkeypatch.setattr(N, "_CHUNK", N._CHUNK.replace("{1,32}", "{1,3}"))
+    got = {(r["article_id"], r["start_char"], r["end_char"], r["word"]) for r in N.tag_entities(arts, gaz).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        t = ". " + t
+        found = [(m.start(), m.start() + len(w)) for w in names for m in re.finditer(rf"(?<!\w)(?={w}(?!\w))", t.lower())]
+        want |= {(i, a, b, t[a:b]) for a, b in found if not any((c, d) != (a, b) and c <= a and b <= d for c, d in found)}
+    assert got == want

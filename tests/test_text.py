@@ -58,3 +58,8 @@ def test_strip_html_pairs(spark):
     rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pairs)], "i int, s string")
     got = {r["i"]: r["r"] for r in rows.select("i", X.strip_html("s").alias("r")).collect()}
     assert [got[i] for i in range(len(pairs))] == [t for _, t in pairs]
+
+
+def test_prefix_sum_is_a_small_expression():
+    """Nested once per step, planning it took seconds."""
+    assert len(str(prefix_sum(F.col("a"))._jc)) < 3000
