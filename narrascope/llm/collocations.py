@@ -8,7 +8,9 @@ reached the threshold from a bitmap of their hashes, of a fixed size at most. A
 phrase count earlier; a count in a shard is a true count whenever it is made, so counts are exact.
 
 Texts are cut into words once: a shard holds, for each of its chunks (``CHUNK`` words of a task), the number of each word in its order,
-and the key and name of each number. The scans read those.
+and the key and name of each number. The scans read those, names only while words can be new.
+
+What the steps find lies in one folder by step, so a plan reads any number of steps by one scan: plans do not grow with the steps.
 
 A phrase is known by a 128-bit key: of its language and text for a word, of the keys of its two overlapping
 parts for a longer one. The strings are put together at the end, from the words up, for frequent phrases only.
@@ -96,16 +98,19 @@ class Chunk:
     def row(self, shard: int) -> pa.RecordBatch:
         """The words in order, then per word its key and its name (length of the language, language, word), and the words of each language."""
         ids = np.concatenate(self.parts)
-        names = sorted((i, lang, w) for lang, held in self.words.items() for w, i in held.items() if i >= 0)
-        before = {lang: f"{len(lang)}:{lang}".encode() for lang in self.words}
-        defs = [before[lang] + w for _, lang, w in names]
+        defs = [b""] * sum(len(held) - 1 for held in self.words.values())
+        for lang, held in self.words.items():
+            before = f"{len(lang)}:{lang}".encode()
+            for w, i in held.items():
+                if i >= 0:
+                    defs[i] = before + w
         keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, defs)), ">u8").astype(np.uint64)
-        n = np.bincount(ids[ids >= 0], minlength=len(names))
+        n = np.bincount(ids[ids >= 0], minlength=len(defs))
         sizes = []
         for held in self.words.values():
             mine = np.fromiter(held.values(), np.int64, len(held))
             sizes.append(int(n[mine[mine >= 0]].sum()))
-        return pa.RecordBatch.from_pylist([{"ids": ids.astype(np.int32, copy=False).tobytes(), "keys": keys.tobytes(), "defs": [d.decode() for d in defs],
+        return pa.RecordBatch.from_pylist([{"ids": ids.astype(np.int32, copy=False).tobytes(), "keys": keys.tobytes(), "defs": defs,
                                             "langs": list(self.words), "sizes": sizes, "shard": shard}], schema=_ENCODED)
 
 
@@ -125,15 +130,16 @@ def dealer(shards: int):
     return deal
 
 
-def counts(ids: np.ndarray, keys: np.ndarray, defs: pa.StringArray, bits: Bits | None, count_words: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of the words, and of the active phrases of every length; definitions of the latest known ones."""
+def counts(ids: np.ndarray, keys: np.ndarray, defs: pa.BinaryArray | None, bits: Bits | None, count_words: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the words, and of the active phrases of every length; definitions of the latest known ones (of words if ``defs`` are given)."""
     if count_words:
         yield _batch(1, keys, np.bincount(ids[ids >= 0], minlength=len(keys)))
     if bits is None:
         return
     known, recent = bits.has(0, keys), bits.has(1, keys)
-    told = np.flatnonzero(known & recent)
-    yield _batch(1, keys[told], np.zeros(len(told), np.int64), defs.take(pa.array(told)))
+    if defs is not None:
+        told = np.flatnonzero(known & recent)
+        yield _batch(1, keys[told], np.zeros(len(told), np.int64), defs.take(pa.array(told)))
     at = np.flatnonzero(ids >= 0)
     at = at[known[ids[at]]]  # where a known phrase of the length below starts
     held, fresh = keys[ids[at]], recent[ids[at]]
@@ -167,25 +173,29 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.reshape(-1), first
 
 
-def _parts(held: np.ndarray, at: np.ndarray) -> list[str]:
-    both = np.hstack((held[at], held[at + 1])).view(np.int64)
-    return [",".join(map(str, x)) for x in both.tolist()]
+def _parts(held: np.ndarray, at: np.ndarray) -> pa.BinaryArray:
+    """The keys of both parts, 32 bytes each, big-endian."""
+    both = np.hstack((held[at], held[at + 1])).astype(">u8")
+    ends = np.arange(0, 32 * len(at) + 1, 32, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(both.tobytes())])
 
 
-ENCODED = "ids binary, keys binary, defs array<string>, langs array<string>, sizes array<long>, shard int"
-_ENCODED = pa.schema([("ids", pa.binary()), ("keys", pa.binary()), ("defs", pa.list_(pa.string())), ("langs", pa.list_(pa.string())),
+ENCODED = "ids binary, keys binary, defs array<binary>, langs array<string>, sizes array<long>, shard int"
+_ENCODED = pa.schema([("ids", pa.binary()), ("keys", pa.binary()), ("defs", pa.list_(pa.binary())), ("langs", pa.list_(pa.string())),
                       ("sizes", pa.list_(pa.int64())), ("shard", pa.int32())])
-SCHEMA = "k int, h1 long, h2 long, def string, n long"
-_KIND = pa.schema([("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("def", pa.string()), ("n", pa.int64())])
+SCHEMA = "k int, h1 long, h2 long, def binary, n long"
+_KIND = pa.schema([("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("def", pa.binary()), ("n", pa.int64())])
+KEYS = "k int, h1 long, h2 long"
+LEVEL = "lang string, phrase string, n long, h1 long, h2 long, p1 long, p2 long, s1 long, s2 long, firsts array<long>, rests array<long>"
 KEY = ["h1", "h2"]
 #: rows of keys that are broadcast, at most (16 bytes each)
 SMALL = 500_000
 
 
-def _batch(k: int, keys: np.ndarray, n: np.ndarray, told: list[str] | pa.StringArray | None = None) -> pa.RecordBatch:
+def _batch(k: int, keys: np.ndarray, n: np.ndarray, told: pa.BinaryArray | None = None) -> pa.RecordBatch:
     size = len(n)
     lanes = [pa.array(np.ascontiguousarray(keys[:, x]).view(np.int64)) for x in (0, 1)]
-    told = pa.nulls(size, pa.string()) if told is None else told if isinstance(told, pa.Array) else pa.array(told, pa.string())
+    told = pa.nulls(size, pa.binary()) if told is None else told
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), *lanes, told, pa.array(n.astype(np.int64))], schema=_KIND)
 
 
@@ -196,11 +206,9 @@ def counter(held, count_words: bool):
         bits = Bits(*held.value) if held is not None else None
         for b in batches:
             for r in range(b.num_rows):
-                if count_words:
-                    sizes = zip(b.column("langs")[r].as_py(), b.column("sizes")[r].as_py())
-                    yield from (_batch(0, np.zeros((1, 2), np.uint64), np.array([n]), [lang]) for lang, n in sizes)
                 ids, keys = (np.frombuffer(b.column(x)[r].as_buffer(), t) for x, t in (("ids", np.int32), ("keys", np.uint64)))
-                yield from counts(ids, keys.reshape(-1, 2), b.column("defs")[r].values, bits, count_words)
+                defs = b.column("defs")[r].values if "defs" in b.schema.names else None
+                yield from counts(ids, keys.reshape(-1, 2), defs, bits, count_words)
     return scan
 
 
@@ -228,45 +236,56 @@ def _of(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(keys) if n <= SMALL else keys, KEY, "left_semi")
 
 
-def reached(steps: list[DataFrame], known: DataFrame | None, min_count: int) -> DataFrame:
-    """Keys (k, h1, h2) that reach ``min_count`` in the given steps, one for each shard, and are not known.
+def _put(df: DataFrame, root: str, part: str, at: int) -> None:
+    df.write.parquet(f"{root}/{part}={at}")
 
-    One of the steps has an even share of the threshold, so the others are read for such keys alone.
-    """
-    rows = _union(steps).filter("k > 0")
-    hot = rows.filter(F.col("n") >= -(-min_count // len(steps))).select(*KEY).distinct()
-    hot = materialize(hot if known is None else hot.join(known.select(*KEY), KEY, "left_anti"), "phrase-hot")
-    return _of(rows, hot, hot.count()).groupBy("k", *KEY).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).select("k", *KEY)
+
+def _got(spark: SparkSession, schema: str, root: str, part: str, at: range) -> DataFrame:
+    """What ``_put`` wrote at these values of the column ``part``, by one scan."""
+    return spark.read.schema(f"{schema}, {part} int").option("basePath", root).parquet(*(f"{root}/{part}={i}" for i in at))
 
 
-def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[list[DataFrame], DataFrame]:
-    """The counts of every step and the keys (k, h1, h2) of all phrases that reached ``min_count``."""
+def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The counts of every step, the keys (k, h1, h2) of all phrases that reached ``min_count``, and the number of words of each language.
+
+    A phrase that reaches ``min_count`` in the last steps, one for each shard, has an even share of it in one of them, so
+    the others are read for such keys alone.
+    """
     spark = docs.sparkSession
-    path = scratch_dir(spark, "phrase-shards")
+    path, counted, shared, found = (scratch_dir(spark, f"phrase-{x}") for x in ("shards", "counts", "hot", "known"))
     dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                         F.pmod(F.spark_partition_id(), F.lit(shards)).cast("int").alias("shard"))
     # few, wide rows: the writer's bounds are looked at after each, not after each hundred
     sizes = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
     with arrow_bounds(spark):
         dealt.mapInArrow(dealer(shards), ENCODED).write.options(**sizes).partitionBy("shard").parquet(path)
-    steps: list[DataFrame] = []
-    known: list[DataFrame] = []
-    held = None
+    encoded = spark.read.schema(ENCODED).option("basePath", path).parquet(path)
+    total = encoded.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("total"))
+    n_hot: list[int] = []
+    known = held = None
     with arrow_bounds(spark):
-        while True:
-            step = len(steps)
+        for step in itertools.count():
             if step:
-                held, recent = bitmaps(spark, _union(known), step - shards)
+                # phrases of MAX_WORDS words are parts of none
+                held, recent = bitmaps(spark, known.filter(F.col("k") < MAX_WORDS), step - shards)
                 if step >= shards and not recent:
                     held.unpersist()
-                    return steps, _union(known)
-            shard = spark.read.schema(ENCODED).option("basePath", path).parquet(path).filter(F.col("shard") == step % shards)
-            found = shard.drop("shard").mapInArrow(counter(held, step < shards), SCHEMA)
-            steps.append(materialize(found.groupBy("k", *KEY, "def").agg(F.sum("n").alias("n")), "phrase-counts"))
+                    return _got(spark, SCHEMA, counted, "step", range(step)), known, total
+            # the last words become known at step shards - 1 and are told for a cycle
+            shard = encoded.filter(F.col("shard") == step % shards).select("ids", "keys", *["defs"] * (step < 2 * shards))
+            rows = shard.mapInArrow(counter(held, step < shards), SCHEMA)
+            _put(rows.groupBy("k", *KEY, "def").agg(F.sum("n").alias("n")), counted, "step", step)
             if held is not None:
                 held.unpersist()
-            new = reached(steps[-shards:], _union(known) if known else None, min_count)
-            known.append(materialize(new.withColumn("since", F.lit(step)), "phrase-known"))
+            new = lambda keys: keys if known is None else keys.join(known.select(*KEY), KEY, "left_anti")
+            hot = _got(spark, SCHEMA, counted, "step", range(step, step + 1)).filter(F.col("n") >= -(-min_count // shards))
+            _put(new(hot.select(*KEY)), shared, "step", step)
+            last = range(max(0, step + 1 - shards), step + 1)
+            n_hot.append(_got(spark, "h1 long, h2 long", shared, "step", range(step, step + 1)).count())
+            keys = new(_got(spark, "h1 long, h2 long", shared, "step", last).select(*KEY).distinct())
+            sums = _of(_got(spark, SCHEMA, counted, "step", last), keys, sum(n_hot[i] for i in last)).groupBy("k", *KEY).agg(F.sum("n").alias("n"))
+            _put(sums.filter(F.col("n") >= min_count).select("k", *KEY), found, "since", step)
+            known = _got(spark, KEYS, found, "since", range(step + 1))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -274,30 +293,30 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
 
     Phrases: ``lang, phrase, k, n``, the keys, and for each cut the counts of its parts (``firsts``, ``rests``).
     """
-    steps, known = scan_cycles(docs, min_count, shards)
-    total = materialize(_union(steps).filter("k = 0").groupBy(F.col("def").alias("lang")).agg(F.sum("n").alias("total")), "phrase-totals")
-    n_known = known.count()
-    rows = _of(_union([s.withColumn("shard", F.lit(i % shards)) for i, s in enumerate(steps)]).filter("k > 0"), known.select(*KEY), n_known)
+    spark = docs.sparkSession
+    steps, known, total = scan_cycles(docs, min_count, shards)
+    total = materialize(total, "phrase-totals")
+    rows = _of(steps.withColumn("shard", F.col("step") % shards), known.select(*KEY), known.count())
     # a shard's count is the same in whichever steps it was made
-    once = rows.groupBy("k", *KEY, "shard").agg(F.max("n").alias("n")).groupBy("k", *KEY).agg(F.sum("n").alias("n"))
-    told = _of(_union(steps).filter("k > 0 and def is not null"), known.select(*KEY), n_known).select(*KEY, "def").distinct()
-    part = lambda i: F.when(F.col("k") > 1, F.get(F.split("def", ","), F.lit(i)).cast("long"))
-    digits = F.substring_index("def", ":", 1)
-    size = F.when(F.col("k") == 1, digits).try_cast("int")
-    counted = materialize(once.join(told, KEY).select(
+    once = rows.groupBy("k", *KEY, "shard").agg(F.max("n").alias("n"), F.max("def").alias("def")).groupBy("k", *KEY).agg(F.sum("n").alias("n"), F.max("def").alias("def"))
+    part = lambda i: F.when(F.col("k") > 1, F.conv(F.hex(F.substring("def", 8 * i + 1, 8)), 16, -10).cast("long"))
+    named = F.when(F.col("k") == 1, F.col("def").cast("string"))
+    digits = F.substring_index(named, ":", 1)
+    size = digits.try_cast("int")
+    counted = materialize(once.select(
         "k", *KEY, "n", part(0).alias("p1"), part(1).alias("p2"), part(2).alias("s1"), part(3).alias("s2"),
-        F.substring("def", F.length(digits) + 2, size).alias("lang"), F.substring("def", F.length(digits) + 2 + size, F.length("def")).alias("word")), "phrase-frequent")
+        F.substring(named, F.length(digits) + 2, size).alias("lang"), F.substring(named, F.length(digits) + 2 + size, F.length(named)).alias("word")), "phrase-frequent")
     none = F.array().cast("array<long>")
-    level = counted.filter("k = 1").select("lang", F.col("word").alias("phrase"), "k", "n", *KEY, "p1", "p2", "s1", "s2", none.alias("firsts"), none.alias("rests"))
-    levels = [level]
+    root = scratch_dir(spark, "phrase-levels")
+    _put(counted.filter("k = 1").select("lang", F.col("word").alias("phrase"), "n", *KEY, "p1", "p2", "s1", "s2", none.alias("firsts"), none.alias("rests")), root, "k", 1)
     for k in range(2, MAX_WORDS + 1):
+        level = _got(spark, LEVEL, root, "k", range(k - 1, k))
         p = level.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("lang").alias("p_lang"), F.col("phrase").alias("p_phrase"), F.col("n").alias("p_n"), F.col("firsts").alias("p_firsts"))
         s = level.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.substring_index("phrase", " ", -1).alias("s_word"), F.col("n").alias("s_n"), F.col("rests").alias("s_rests"))
-        level = materialize(counted.filter(F.col("k") == k).drop("lang").join(p, ["p1", "p2"]).join(s, ["s1", "s2"]).select(
-            F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "s_word").alias("phrase"), "k", "n", *KEY, "p1", "p2", "s1", "s2",
-            F.concat("p_firsts", F.array("p_n")).alias("firsts"), F.concat(F.array("s_n"), "s_rests").alias("rests")), "phrase-level")
-        levels.append(level)
-    return _union(levels), total
+        _put(counted.filter(F.col("k") == k).drop("lang").join(p, ["p1", "p2"]).join(s, ["s1", "s2"]).select(
+            F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "s_word").alias("phrase"), "n", *KEY, "p1", "p2", "s1", "s2",
+            F.concat("p_firsts", F.array("p_n")).alias("firsts"), F.concat(F.array("s_n"), "s_rests").alias("rests")), root, "k", k)
+    return _got(spark, LEVEL, root, "k", range(1, MAX_WORDS + 1)), total
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, shards: int = SHARDS) -> DataFrame:

@@ -67,6 +67,28 @@ def test_long_text_and_exact_scores(spark):
     assert got(C.collocations(df, 100, 2000, 1)) == sorted(plain(rows, 100, 2000))
 
 
+def test_plans_do_not_grow_with_steps(spark, monkeypatch):
+    """What all steps counted is read by one scan, and phrases of five words need no cycle after they are counted."""
+    scans, steps, of, bits = [], [], C._of, C.bitmaps
+    monkeypatch.setattr(C, "_of", lambda rows, *a: scans.append(rows._jdf.queryExecution().analyzed().toString().count("Relation [")) or of(rows, *a))
+    monkeypatch.setattr(C, "bitmaps", lambda s, k, since: steps.append(since) or bits(s, k, since))
+    rows = [("en", "one two three four five")] * 60 + [(None, "one two three four five six")] * 50
+    assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"), 40, 2000, 2)) == sorted(plain(rows, 40, 2000))
+    assert set(scans) == {1}
+    scans.clear()
+    steps.clear()
+    C.collocations(spark.createDataFrame(rows, "lang string, text string"), 40, 2000, 1)
+    assert set(scans) == {1} and len(steps) == 5
+
+
+def test_key_parts_of_all_64_bits(spark):
+    """A part's key is read back as it was, the sign too."""
+    keys = C.np.array([[1, 2**63], [2**64 - 1, 7], [2**63 - 1, 0], [2**31, 2**63 + 5]], C.np.uint64)
+    df = spark.createDataFrame([(bytes(x),) for x in C._parts(keys, C.np.arange(3)).to_pylist()], "def binary")
+    read = [tuple(r) for r in df.select(*(C.F.conv(C.F.hex(C.F.substring("def", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(4))).collect()]
+    assert read == [tuple(C.np.concatenate((keys[i], keys[i + 1])).view(C.np.int64).tolist()) for i in range(3)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert C.op12_collocations(none).count() == 0
