@@ -42,6 +42,8 @@ TOP = 2000
 MAX_BITS_LOG2 = 28
 #: words that a task counts together, a quarter of them distinct at most: one row of a shard (whole texts, so one text may exceed it)
 CHUNK = 1 << 20
+#: chunks that a task of a scan adds up before the shuffle, if all cores have work
+TASK_CHUNKS = 12
 #: bytes of the row groups of a shard, about; a row has some 12 bytes a word at most
 GROUP_BYTES = 16 << 20
 #: A-Z become lower case, the characters between pieces a full stop, tabs a space
@@ -261,6 +263,7 @@ def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[DataFrame
         dealt.mapInArrow(dealer(shards), ENCODED).write.options(**sizes).partitionBy("shard").parquet(path)
     encoded = spark.read.schema(ENCODED).option("basePath", path).parquet(path)
     total = encoded.select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("total"))
+    tasks = {r["shard"]: max(spark.sparkContext.defaultParallelism, -(-r["count"] // TASK_CHUNKS)) for r in encoded.groupBy("shard").count().collect()}  # one row a shard
     n_hot: list[int] = []
     known = held = None
     with arrow_bounds(spark):
@@ -273,7 +276,7 @@ def scan_cycles(docs: DataFrame, min_count: int, shards: int) -> tuple[DataFrame
                     return _got(spark, SCHEMA, counted, "step", range(step)), known, total
             # the last words become known at step shards - 1 and are told for a cycle
             shard = encoded.filter(F.col("shard") == step % shards).select("ids", "keys", *["defs"] * (step < 2 * shards))
-            rows = shard.mapInArrow(counter(held, step < shards), SCHEMA)
+            rows = shard.coalesce(tasks.get(step % shards, 1)).mapInArrow(counter(held, step < shards), SCHEMA)
             _put(rows.groupBy("k", *KEY, "def").agg(F.sum("n").alias("n")), counted, "step", step)
             if held is not None:
                 held.unpersist()
