@@ -125,3 +125,19 @@ def test_an_occurrence_holds_only_the_tokens_around_it(spark):
         lo = max(1, r["start"] - 3)
         assert r["near"][:7] == toks[lo - 1:r["start"] + 3] and r["near"][r["at"] - 1] == "x"
         assert r["stops"] == (["w1"] if "w1" in r["near"] else [])
+
+
+def test_the_integrity_check_tags_once(spark, monkeypatch, tmp_path):
+    import datetime as dt
+
+    from narrascope.plans import catalog as CT
+
+    calls, tag = [], CT.N.tag_entities
+    monkeypatch.setattr(CT.N, "tag_entities", lambda *a, **k: calls.append(1) or tag(*a, **k))
+    text = "The minister said that the plan is good. The city agrees with the minister. "
+    docs = spark.createDataFrame([(i, text * 3 + str(i), "en" if i % 2 else "fr", "src1", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ev = [(i, dt.datetime(2024, 1, 1, i), 1, "signup" if i == 0 else "view", 1.0, '{"k": 1}') for i in range(4)]
+    spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["rule"]: r["violations"] for r in CT.q_check_integrity(spark, str(tmp_path)).collect()}
+    assert len(got) == 44 and got["articles.url not null"] == 0 and len(calls) == 1

@@ -63,3 +63,21 @@ def test_strip_html_pairs(spark):
 def test_prefix_sum_is_a_small_expression():
     """Nested once per step, planning it took seconds."""
     assert len(str(prefix_sum(F.col("a"))._jc)) < 3000
+
+
+def test_the_text_is_named_once_in_the_plan_of_tokenize(spark):
+    """Outside generated code each naming is computed again: six times for the contractions alone."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(F.explode(X.tokenize("s")).alias("t"))
+    shown = plan._jdf.queryExecution().analyzed().toString()
+    assert shown.count("lower(coalesce(s") == 1
+    shown = spark.range(1).select(F.col("id").cast("string").alias("s")).select(X.strip_html("s").alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("coalesce(s") == 1
+
+
+def test_sentences_keep_no_whitespace_at_their_ends(spark):
+    """Ends of the text, marks of its own and the sentence mark itself, against Python."""
+    for text in ("  a b.  c!\t", "\u2003x. \u00a0y \u0001 z ", "a.\n\nb", " ", "", "one", "\u0001 a \u0001\u0001b. ", "a ?! b."):
+        want = [x.strip() for x in re.sub(r"([.!?]+)\s+", "\\1\x01", text).split("\x01")]
+        assert one(spark, X.split_sentences("s"), text) == [x for x in want if x]
+    assert one(spark, X.split_sentences("s"), None) is None
+    assert one(spark, X.clean_for_sentences("s"), " \u2003A http://x.y\nB \n") == "a  b"
