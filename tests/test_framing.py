@@ -141,3 +141,22 @@ def test_the_integrity_check_tags_once(spark, monkeypatch, tmp_path):
     spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["rule"]: r["violations"] for r in CT.q_check_integrity(spark, str(tmp_path)).collect()}
     assert len(got) == 44 and got["articles.url not null"] == 0 and len(calls) == 1
+
+
+def test_texts_meet_their_targets_in_several_partitions_a_core(spark):
+    from narrascope.operators.util import SPREAD_TASKS
+
+    arts = spark.range(200).select("id", F.lit("the door. ").alias("title"), F.col("id").cast("string").alias("summary"))
+    targets = arts.select(F.col("id").alias("article_id"), F.lit("door").alias("entity_word"))
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "200"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        met = FR._with_targets(arts, targets, "id")
+        assert met.rdd.getNumPartitions() == SPREAD_TASKS * spark.sparkContext.defaultParallelism
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4  # two, shown in both plans
+        assert met.count() == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

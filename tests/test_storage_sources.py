@@ -165,3 +165,20 @@ def test_feed_formats_and_broken_feeds(spark, tmp_path):
     assert tuple(SF.feed_stats(spark, str(tmp_path), listed).first()) == (5, 4, 1, 2)
     out = SF.archive_raw(spark, str(tmp_path), str(tmp_path / "out"), "r")
     assert {r["source"] for r in spark.read.parquet(out).collect()} == {"a", "b", "d"}
+
+
+def test_the_text_of_an_article_is_not_among_what_an_upsert_ranks(spark, monkeypatch):
+    import datetime as dt
+
+    from narrascope.operators import storage as W
+
+    cut, seen = W.cut_lineage, []
+    monkeypatch.setattr(W, "cut_lineage", lambda df, **k: seen.append(df.columns) or cut(df, **k))
+    cols = "id long, title string, url string, source string, summary string, published_at timestamp_ntz, run_id string, run_date date"
+    old = spark.createDataFrame([(4, "t", "u4", "s", "x", None, "r1", dt.date(2024, 1, 1)), (9, "t", "u9", None, None, None, "r1", dt.date(2024, 1, 1))], cols)
+    new = spark.createDataFrame([("u9", "T9", None, "z", None, 3), ("u1", "T1", "S1", "z", None, 2), ("u0", None, "S0", "z", None, 5)],
+                                "url string, title string, summary string, source string, published_at timestamp_ntz, ord long")
+    got = sorted(tuple(r)[:5] + tuple(r)[6:] for r in W.upsert_rows(old, new, "r2", "2024-02-01", 9).collect())
+    r1, r2 = ("r1", dt.date(2024, 1, 1)), ("r2", dt.date(2024, 2, 1))
+    assert got == [(9, "T9", "u9", None, None, *r1), (10, "T1", "u1", "z", "S1", *r2), (11, None, "u0", "z", "S0", *r2)]
+    assert seen and not any({"title", "summary"} & set(c) for c in seen)
