@@ -224,3 +224,54 @@ def test_feeds_go_into_a_run(spark, res, tmp_path):
     got = {r["metric_name"]: r["metric_value"] for r in current(spark, root, "run_statistics").filter("stage = 'collect'").collect()}
     assert got == {"total_sources": 3.0, "successful": 2.0, "failed": 1.0, "total_articles": 4.0}
     assert current(spark, root, "pipeline_runs").first()["total_sources"] == 3
+
+
+def kept_files(spark):
+    from pathlib import Path
+
+    from narrascope.session import checkpoint_dir
+    return {p.name for p in Path(checkpoint_dir(spark).removeprefix("file:")).glob("rdd-*")}
+
+
+def test_a_run_leaves_no_intermediate_tables(spark, res, tmp_path):
+    res.language_model.wide()  # kept: later runs read it
+    before = kept_files(spark)
+    out = run_pipeline(spark, articles(spark), str(tmp_path / "t"), res, run_id="r1", run_date=dt.date(2024, 1, 1))
+    assert kept_files(spark) <= before
+    assert out["articles"].count() == 2 and out["written"]["entity_framing"].count() > 0
+    assert current(spark, str(tmp_path / "t"), "run_statistics").filter("metric_name = 'after_dedup'").first()["metric_value"] == 3
+
+
+def test_a_failed_run_leaves_no_intermediate_tables(spark, res, tmp_path, monkeypatch):
+    from narrascope.plans import pipeline as PL
+
+    res.language_model.wide()
+    before = kept_files(spark)
+    monkeypatch.setattr(PL.N, "tag_entities", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_pipeline(spark, articles(spark), str(tmp_path / "t"), res, run_id="r1", run_date=dt.date(2024, 1, 1))
+    assert kept_files(spark) <= before
+
+
+def test_an_ingest_leaves_no_intermediate_tables(spark, res, tmp_path):
+    from narrascope.sources.files import write_jsonl
+    from narrascope.streaming.ingest import incremental_ingest
+
+    res.language_model.wide()
+    write_jsonl(articles(spark).select("title", "url", "summary", F.col("published_at").alias("published"), "source"), str(tmp_path / "in" / "a"))
+    before = kept_files(spark)
+    incremental_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "ck"), res)
+    assert kept_files(spark) <= before and current(spark, str(tmp_path / "t"), "articles").count() == 2
+
+
+def test_a_scratch_inside_another_may_pass_a_table_on(spark):
+    from narrascope.operators.util import cut_lineage, scratch
+
+    before = kept_files(spark)
+    with scratch(spark):
+        with scratch(spark):
+            a, b = cut_lineage(spark.range(3)), cut_lineage(spark.range(4), up=1)
+            assert a.count() == 3 and len(kept_files(spark) - before) == 2
+            c = cut_lineage(spark.range(5), up=None)
+        assert b.count() == 4 and len(kept_files(spark) - before) == 2
+    assert len(kept_files(spark) - before) == 1 and c.count() == 5
